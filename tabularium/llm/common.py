@@ -157,6 +157,12 @@ def split_words(texts: Iterable[bytes | None]) -> tuple[list[bytes], np.ndarray]
     return list(itertools.chain.from_iterable(parts)), ends
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted different numbers."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads all bits."""
     with np.errstate(over="ignore"):
@@ -179,3 +185,62 @@ def gram_hashes(h: np.ndarray, n: int, seed: int = 7) -> np.ndarray:
         for i, m in enumerate(random_words(n, seed)):
             out += h[i : len(h) - n + 1 + i] * m
     return mix(out)
+
+
+class WordTable:
+    """A row of numbers for each word (bytes), computed for many new words at once; starts anew when it holds `limit` words."""
+
+    def __init__(self, compute, width: int, limit: int = CACHE) -> None:
+        self.compute, self.width, self.limit = compute, width, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.matrix = np.zeros((4096, self.width), np.float32)
+
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """Where in `matrix` the words' rows are."""
+        if len(self.known) > self.limit:
+            self._clear()
+        known = self.known
+        new = list({w for w in words if w not in known})
+        if new:
+            need = len(known) + len(new)
+            if need > len(self.matrix):
+                grown = np.zeros((max(need, min(2 * len(self.matrix), need + 65_536)), self.width), np.float32)
+                grown[: len(known)] = self.matrix[: len(known)]
+                self.matrix = grown
+            self.matrix[len(known) : need] = self.compute(new)
+            known.update(zip(new, range(len(known), need), strict=True))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+def char_grams(words: list[bytes], sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed byte n-grams of each word in lower case with a space on both sides: (buckets of all grams, the word of each), words in order."""
+    joined = np.frombuffer(b" " + b" ".join(words).decode("utf-8", "replace").lower().encode() + b" ", np.uint8)
+    space = joined == 32
+    word = np.cumsum(space) - 1  # the space before a word counts as its begin
+    out, who = [], []
+    with np.errstate(over="ignore"):
+        x = joined.astype(np.uint64) + np.uint64(1)
+        for n in sizes:
+            if len(x) < n:
+                continue
+            m = len(x) - n + 1
+            h = np.full(m, n, np.uint64)
+            inner = np.zeros(m, bool)
+            for i in range(n):
+                h = h * np.uint64(0x100000001B3) + x[i : i + m]
+                if 0 < i < n - 1:
+                    inner |= space[i : i + m]
+            if n == 1:
+                inner = space[:m]
+            good = np.flatnonzero(~inner & (word[:m] < len(words)))
+            good = good[~(space[good] & space[good + n - 1])] if n == 2 else good
+            out.append((mix(h[good]) % np.uint64(buckets)).astype(np.int32))
+            who.append(word[good].astype(np.int32))
+    if not out:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    grams, who = np.concatenate(out), np.concatenate(who)
+    order = np.argsort(who, kind="stable")
+    return grams[order], who[order]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tabularium.llm import decontamination, packing, sharding, substring_dedup, url_filter
+from tabularium.llm import decontamination, language_id, packing, sharding, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_packing": packing.op4_packing,
+        "op5_language_id": language_id.op5_language_id,
         "op6_decontamination": decontamination.op6_decontamination,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     }
