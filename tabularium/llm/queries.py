@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabularium.llm import decontamination, hmm_lm, language_id, packing, sharding, substring_dedup, toxicity, url_filter
+from tabularium.llm import decontamination, embedding_dedup, hmm_lm, language_id, ngram_join, packing, sharding, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -13,8 +13,10 @@ def queries() -> dict:
         "op4_packing": packing.op4_packing,
         "op5_language_id": language_id.op5_language_id,
         "op6_decontamination": decontamination.op6_decontamination,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_hmm_lm": hmm_lm.op8_hmm_lm,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+        "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
 
 
