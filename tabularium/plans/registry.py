@@ -1,11 +1,668 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL: every operator on the given tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tabularium.operators import aggregates as A
+from tabularium.operators import combine as J
+from tabularium.operators import entities as E
+from tabularium.operators import findings as K
+from tabularium.operators import inference as I
+from tabularium.operators import quality as Q
+from tabularium.operators import relations as R
+from tabularium.operators import series as S
+from tabularium.operators import text as X
+from tabularium.plans import report
+from tabularium.sources.tables import read_table
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Doubles to a few digits: sums differ in the last bits from one engine, and one run, to another. -0.0 becomes 0.0."""
+    return df.select(*((F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema))
+
+
+def query(sql: str | None = None, digits: int = 4):
+    """Registers a query under its function's name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read_table(spark, f"{sf_dir}/{name}.parquet", "parquet")
+
+
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with brand and type, revenue, cost and a profit of both signs."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
+    items = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    out = items.withColumn("revenue", F.col("l_extendedprice") * (1 - F.col("l_discount"))).withColumn("cost", F.col("l_quantity") * F.col("p_retailprice"))
+    return out.withColumn("profit", F.col("revenue") - F.col("cost")).drop("p_partkey")
+
+
+SALES = """sales as (select l.*, p_brand, p_type, p_retailprice, l_extendedprice * (1 - l_discount) as revenue, l_quantity * p_retailprice as cost,
+  l_extendedprice * (1 - l_discount) - l_quantity * p_retailprice as profit from lineitem l join part on l_partkey = p_partkey)"""
+MAPPING = {"date": "l_shipdate", "revenue": "revenue", "profit": "profit", "quantity": "l_quantity", "customer": "l_suppkey"}
+
+
+def orders_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their order's priority and customer's segment."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).withColumn("revenue", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+
+
+def monthly_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.trend(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice")
+
+
+MONTHLY = "series as (select strftime(o_orderdate, '%Y-%m') as month, sum(o_totalprice) as value from orders group by 1)"
+
+# sources
+
+
+@query("select l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag from lineitem")
+def read_parquet(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
+
+
+@query("""select o_orderkey, cast(o_totalprice as double) as price, cast(case when o_orderkey % 20 = 0 then null else o_custkey end as double) as cust, o_orderpriority as priority from orders""")
+def coerce_numeric(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("string").alias("price"), F.when(F.col("o_orderkey") % 20 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("cust"), F.col("o_orderpriority").alias("priority"))
+    return Q.coerce_numeric(o)
+
+
+@query(f"""with {SALES} select l_orderkey, l_linenumber, l_shipdate, round(revenue, 4) as revenue, round(cost, 4) as cost, l_discount * 100 / 100.0 as pct, round(revenue - cost, 4) as _derived_profit from sales""")
+def prepare(spark, d):
+    s = sales(spark, d).select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("l_shipdate"), F.col("revenue").cast("string").alias("revenue"), "cost", (F.col("l_discount") * 100).alias("pct"))
+    return Q.prepare(s, {"date": "l_shipdate", "revenue": "revenue", "cost": "cost", "discount": "pct"})[0].withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
+
+
+# profiling and quality
+
+
+@query("""select 'o_orderkey' as "column", 'bigint' as type, count(*) as rows, count(o_orderkey) as non_null, count(distinct o_orderkey) as "distinct", min(o_orderkey)::double as min, max(o_orderkey)::double as max, null::double as avg_length, true as all_integer, round((count(distinct o_orderkey) - 1) / (max(o_orderkey) - min(o_orderkey))::double, 4) as sequential, null::double as date_rate from orders
+union all select 'o_custkey', 'bigint', count(*), count(o_custkey), count(distinct o_custkey), min(o_custkey), max(o_custkey), null, true, round((count(distinct o_custkey) - 1) / (max(o_custkey) - min(o_custkey))::double, 4), null from orders
+union all select 'o_orderstatus', 'string', count(*), count(o_orderstatus), count(distinct o_orderstatus), null, null, round(avg(length(o_orderstatus)), 4), false, null, null from orders
+union all select 'o_totalprice', 'double', count(*), count(o_totalprice), count(distinct o_totalprice), round(min(o_totalprice), 4), round(max(o_totalprice), 4), null, false, null, null from orders
+union all select 'o_orderdate', 'timestamp_ntz', count(*), count(o_orderdate), count(distinct o_orderdate), null, null, null, false, null, null from orders
+union all select 'o_orderpriority', 'string', count(*), count(o_orderpriority), count(distinct o_orderpriority), null, null, round(avg(length(o_orderpriority)), 4), false, null, 0.0 from orders""")
+def column_profile(spark, d):
+    return Q.profile_columns(table(spark, d, "orders"))
+
+
+@query("""with t as (select count(*) as rows, count(case when event_id % 20 = 0 then value end) as a, count(case when event_id % 2 = 0 then value end) as b from events)
+select 'event_id' as "column", rows as non_null, rows, true as usable from t union all select 'rare', a, rows, a >= 5 and a >= 0.1 * rows from t union all select 'often', b, rows, b >= 5 and b >= 0.1 * rows from t""")
+def usable_columns(spark, d):
+    e = table(spark, d, "events")
+    return Q.usable_columns(e.select("event_id", F.when(F.col("event_id") % 20 == 0, F.col("value")).alias("rare"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("often")))
+
+
+@query()
+def classify_roles(spark, d):
+    return Q.classify_roles(table(spark, d, "orders"), overrides={"o_orderstatus": "CATEGORY"})
+
+
+@query()
+def detect_columns(spark, d):
+    return Q.detect_columns(sales(spark, d))
+
+
+@query()
+def score_domains(spark, d):
+    return Q.score_domains(Q.classify_roles(sales(spark, d)))
+
+
+@query()
+def dataset_profile(spark, d):
+    p = Q.understand(sales(spark, d))
+    rows = [("measure", c, how, None) for c, how in p.measures] + [("dimension", c, None, n) for c, n, _ in p.dimensions] + [("date", p.date, None, None), ("domain", p.domain, None, p.rows)]
+    return spark.createDataFrame(rows, "kind string, subject string, aggregation string, n long")
+
+
+HOLES = "select o_orderkey, case when o_orderkey % 7 = 0 then null else o_totalprice end as a, case when o_orderkey % 3 = 0 then null else o_orderpriority end as b from orders"
+
+
+def _holes(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("a"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("b"))
+
+
+@query(f"""with t as ({HOLES}) select 'a' as "column", round(100.0 * avg((a is null)::int), 4) as missing_pct from t union all select 'b', round(100.0 * avg((b is null)::int), 4) from t""")
+def missing_by_column(spark, d):
+    return Q.missing_by_column(_holes(spark, d))
+
+
+@query("""with g as (select count(*) as n from events group by user_id, event_type) select sum(n)::bigint as rows, sum(n - 1)::bigint as duplicate_rows, round(100.0 * sum(n - 1) / sum(n), 4) as duplicate_pct from g""")
+def duplicate_stats(spark, d):
+    return Q.duplicate_stats(table(spark, d, "events").select("user_id", "event_type"))
+
+
+@query("""select 'k' as "column", min('x') as value from orders""")
+def constant_columns(spark, d):
+    return Q.constant_columns(table(spark, d, "orders").withColumn("k", F.lit("x")))
+
+
+@query("""select 'c_name' as "column", count(distinct c_name) as "distinct", count(*) as rows from customer""")
+def high_cardinality(spark, d):
+    return Q.high_cardinality_columns(table(spark, d, "customer"))
+
+
+@query("""with q as (select quantile_cont(value, 0.25) as a, quantile_cont(value, 0.75) as b from events)
+select 'value' as "column", count(*) filter (where value < a - 1.5 * (b - a) or value > b + 1.5 * (b - a)) as outliers, round(100.0 * count(*) filter (where value < a - 1.5 * (b - a) or value > b + 1.5 * (b - a)) / count(value), 4) as outlier_pct from events, q having count(*) filter (where value < a - 1.5 * (b - a) or value > b + 1.5 * (b - a)) > 0""")
+def outlier_summary(spark, d):
+    return Q.outlier_summary(table(spark, d, "events"), ["value"])
+
+
+@query(f"""with t as ({HOLES}), m as (select (avg((o_orderkey is null)::int) + avg((a is null)::int) + avg((b is null)::int)) / 3 as m from t),
+dup as (select round(100.0 * sum(n - 1) / sum(n), 2) as p from (select count(*) as n from t group by o_orderkey, a, b))
+select round(100 * m, 4) as missing_pct, p as duplicate_pct, 0::bigint as constant_columns, 3 as columns, round(greatest(100 - 40 * m - 20 * p / 100, 0), 1) as score from m, dup""")
+def quality_score(spark, d):
+    return Q.quality_score(_holes(spark, d))
+
+
+CLEAN = """pts as (select distinct l_orderkey, l_linenumber, l_quantity, l_extendedprice from lineitem),
+mo as (select avg(l_quantity) as mx, avg(l_extendedprice) as my, var_samp(l_quantity) as sxx, var_samp(l_extendedprice) as syy, covar_samp(l_quantity, l_extendedprice) as sxy from pts),
+dist as (select pts.*, (syy * (l_quantity - mx) ** 2 - 2 * sxy * (l_quantity - mx) * (l_extendedprice - my) + sxx * (l_extendedprice - my) ** 2) / (sxx * syy - sxy * sxy) as d2 from pts, mo)"""
+
+
+@query(f"with {CLEAN} select l_orderkey, l_linenumber, l_quantity, round(l_extendedprice, 4) as l_extendedprice, d2 > 9.210340371976184 as flagged_as_unusual from dist")
+def clean_table(spark, d):
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return Q.clean_table(t.unionByName(t.where("l_linenumber = 1")), ["l_quantity", "l_extendedprice"])
+
+
+# filters and aggregates
+
+
+@query("select strftime(l_shipdate, '%Y-%m-%d') as l_shipdate, l_returnflag, l_quantity from lineitem")
+def analysis_slice(spark, d):
+    return A.analysis_slice(table(spark, d, "lineitem"), "l_shipdate", ["l_returnflag"], ["l_quantity"])
+
+
+@query("select l_orderkey, l_linenumber, l_returnflag from lineitem where l_shipdate >= timestamp '1996-03-01' and l_shipdate < timestamp '1997-04-01' and l_returnflag in ('A', 'R')")
+def filter_rows(spark, d):
+    return A.filter_rows(table(spark, d, "lineitem"), "l_shipdate", "1996-03-01", "1997-03-31", {"l_returnflag": ["A", "R"], "l_linestatus": []}).select("l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@query("select o_orderpriority as level, count(*) as rows from orders group by 1")
+def level_counts(spark, d):
+    return A.level_counts(table(spark, d, "orders"), "o_orderpriority")
+
+
+@query("select strftime(min(o_orderdate), '%Y-%m-%d') as first_day, strftime(max(o_orderdate), '%Y-%m-%d') as last_day from orders")
+def date_range(spark, d):
+    return A.date_range(table(spark, d, "orders"), "o_orderdate")
+
+
+@query("select l_shipmode_like as label, round(sum(l_extendedprice), 4) as value from (select l_returnflag as l_shipmode_like, l_extendedprice from lineitem) group by 1 order by 2 desc limit 15")
+def ad_hoc(spark, d):
+    return A.ad_hoc(table(spark, d, "lineitem"), "sum", "l_extendedprice", "l_returnflag")
+
+
+@query("select strftime(o_orderdate, '%Y-%m') as month, round(sum(o_totalprice), 4) as value from orders group by 1")
+def trend(spark, d):
+    return monthly_orders(spark, d)
+
+
+@query("""with s as (select min(o_totalprice) as a, max(o_totalprice) as b from orders), g as (select range as bin from range(10)),
+c as (select least(floor((o_totalprice - a) / ((b - a) / 10.0)), 9)::int as bin, count(*) as n from orders, s group by 1)
+select g.bin::int as bin, round(a + g.bin * ((b - a) / 10.0), 4) as low, round(a + (g.bin + 1) * ((b - a) / 10.0), 4) as high, coalesce(n, 0) as n from g cross join s left join c on g.bin = c.bin""")
+def histogram(spark, d):
+    return A.histogram(table(spark, d, "orders"), "o_totalprice")
+
+
+@query("select p_brand as label, count(*) as rows from part group by 1 order by 2 desc, 1 limit 15")
+def distribution_count(spark, d):
+    return A.distribution_count(table(spark, d, "part"), "p_brand")
+
+
+@query("select p_type as label, round(avg(p_retailprice), 4) as value from part group by 1 order by 2 desc, 1 limit 15")
+def distribution_avg(spark, d):
+    return A.distribution_sum(table(spark, d, "part"), "p_type", "p_retailprice", "avg")
+
+
+@query(f"""with {SALES}, a as (select p_brand from sales group by 1 order by count(*) desc, 1 limit 8), b as (select p_type from sales group by 1 order by count(*) desc, 1 limit 8),
+c as (select p_brand, p_type, sum(revenue) as v from sales group by 1, 2) select a.p_brand as dim1, b.p_type as dim2, round(v, 2) as value from a cross join b left join c on c.p_brand = a.p_brand and c.p_type = b.p_type""", 2)
+def pivot(spark, d):
+    return A.pivot(sales(spark, d), "p_brand", "p_type", "revenue")
+
+
+@query()
+def scatter(spark, d):
+    return A.scatter(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
+
+
+@query("select count(*) as n, round(corr(p_partkey, p_retailprice), 4) as r, case when abs(corr(p_partkey, p_retailprice)) >= 0.7 then 'strong' when abs(corr(p_partkey, p_retailprice)) >= 0.4 then 'moderate' when abs(corr(p_partkey, p_retailprice)) >= 0.15 then 'weak' else 'none' end as strength from part")
+def scatter_correlation(spark, d):
+    return A.correlation(table(spark, d, "part"), "p_partkey", "p_retailprice")
+
+
+@query(f"""with {SALES}, r as (select corr(l_quantity, revenue) as a, corr(l_quantity, profit) as b, corr(revenue, profit) as c from sales)
+select col1, col2, round(r, 4) as r from (select 'l_quantity' as col1, 'l_quantity' as col2, 1.0 as r union all select 'revenue', 'revenue', 1.0 union all select 'profit', 'profit', 1.0
+union all select 'l_quantity', 'revenue', a from r union all select 'revenue', 'l_quantity', a from r union all select 'l_quantity', 'profit', b from r union all select 'profit', 'l_quantity', b from r union all select 'revenue', 'profit', c from r union all select 'profit', 'revenue', c from r)""")
+def correlation_matrix(spark, d):
+    return A.correlation_matrix(sales(spark, d), ["l_quantity", "revenue", "profit"])
+
+
+@query("""with q as (select count(value) as n, min(value) as mi, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.5) as med, quantile_cont(value, 0.75) as q3, max(value) as ma from events),
+f as (select *, greatest(mi, q1 - 1.5 * (q3 - q1)) as low, least(ma, q3 + 1.5 * (q3 - q1)) as high from q)
+select n, round(mi, 4) as min, round(q1, 4) as q1, round(med, 4) as median, round(q3, 4) as q3, round(ma, 4) as max, round(low, 4) as low, round(high, 4) as high, (select count(*) from events where value < low or value > high) as outliers from f""")
+def boxplot(spark, d):
+    return A.boxplot(table(spark, d, "events"), "value").drop("examples")
+
+
+@query(f"""with {SALES}, c as (select l_suppkey, sum(revenue) as r from sales group by 1)
+select round(sum(revenue), 2) as total_revenue, round(sum(profit), 2) as total_profit, count(*) as order_count, round(avg(revenue), 2) as avg_order_value, round(sum(l_quantity), 2) as total_units, strftime(min(l_shipdate), '%Y-%m-%d') as first_day, strftime(max(l_shipdate), '%Y-%m-%d') as last_day,
+100.0::double as completeness_pct, round(sum(profit) * 100 / sum(revenue), 2) as margin_pct, 17 as column_count, (select count(*) from c) as unique_customers, round((select avg(r) from c), 2) as revenue_per_customer from sales""", 2)
+def kpis(spark, d):
+    return A.kpis(sales(spark, d), MAPPING)
+
+
+@query(f"with {SALES} select strftime(l_shipdate, '%Y-%m') as month, round(sum(revenue), 2) as revenue, round(sum(profit), 2) as profit from sales group by 1", 2)
+def monthly_revenue(spark, d):
+    return A.monthly_revenue(sales(spark, d), MAPPING)
+
+
+@query(f"with {SALES} select p_brand as label, round(sum(revenue), 2) as revenue, round(sum(profit), 2) as profit, round(sum(profit) * 100 / sum(revenue), 2) as margin_pct from sales group by 1 order by sum(revenue) desc, 1 limit 15", 2)
+def breakdown(spark, d):
+    return A.breakdown(sales(spark, d), "p_brand", MAPPING)
+
+
+@query(f"""with {SALES}, x as (select 'p_type' as "column", p_type as label, sum(revenue) as r, sum(profit) as p from sales group by 2 union all select 'l_returnflag', l_returnflag, sum(revenue), sum(profit) from sales group by 2 union all select 'p_brand', p_brand, sum(revenue), sum(profit) from sales group by 2),
+k as (select *, row_number() over (partition by "column" order by r desc, label) as k from x) select "column", label, round(r, 2) as revenue, round(p, 2) as profit, round(p * 100 / r, 2) as margin_pct from k where k <= 15""", 2)
+def all_breakdowns(spark, d):
+    return A.all_breakdowns(sales(spark, d), MAPPING, ["p_type", "l_returnflag", "p_brand", "l_orderkey"])
+
+
+@query("""with y as (select year(o_orderdate) as y, sum(o_totalprice) as v from orders group by 1)
+select min(y)::int as first_year, round(arg_min(v, y), 2) as first_value, max(y)::int as last_year, round(arg_max(v, y), 2) as last_value, round((arg_max(v, y) - arg_min(v, y)) * 100 / abs(arg_min(v, y)), 2) as change_pct from y""", 2)
+def yearly_change(spark, d):
+    return A.yearly_change(table(spark, d, "orders"), "o_orderdate", "o_totalprice")
+
+
+# combining and comparing
+
+
+@query("""with x as (select lower(trim(o_custkey::varchar)) as v, count(*) as n from orders group by 1), y as (select lower(trim(c_custkey::varchar)) as v, count(*) as n from customer group by 1)
+select 'custkey' as left_column, 'custkey' as right_column, round((select count(*) / sum(n) from x), 4) as left_uniqueness, round((select count(*) / sum(n) from y), 4) as right_uniqueness,
+round((select count(*) from x join y using (v)) / least((select count(*) from x), (select count(*) from y))::double, 4) as overlap, true as chosen""")
+def detect_join_key(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), "o_totalprice")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), "c_mktsegment")
+    return J.detect_join_key(o, c)
+
+
+@query("select o_orderkey, o_custkey as custkey, c_mktsegment as segment, round(o_totalprice, 2) as amount from orders left join customer on o_custkey = c_custkey and c_custkey % 2 = 0", 2)
+def relational_join(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("custkey"), F.col("o_totalprice").alias("amount"))
+    c = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))
+    return J.relational_join(o, c, "custkey", "key")[0]
+
+
+@query("""select 'a' as fact, count(*) as rows, count(c_custkey) as matched, count(*) - count(c_custkey) as unmatched, round(count(c_custkey) * 100.0 / count(*), 4) as match_rate_pct, count(c_custkey) as fact_rows_matched from orders left join customer on o_custkey = c_custkey and c_custkey % 2 = 0""")
+def join_report(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("custkey"))
+    c = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), "c_mktsegment")
+    return J.relational_join(o, c, "custkey", "key")[1]
+
+
+@query("""select o_orderdate as date, round(o_totalprice, 2) as revenue, o_orderstatus as category, 'orders' as _source_file from orders union all select l_shipdate, round(l_extendedprice, 2), null, 'items' from lineitem""", 2)
+def combine_tables(spark, d):
+    o, items = table(spark, d, "orders"), table(spark, d, "lineitem")
+    return J.combine([o, items], [{"date": "o_orderdate", "revenue": "o_totalprice", "category": "o_orderstatus"}, {"date": "l_shipdate", "revenue": "l_extendedprice"}], ["orders", "items"])
+
+
+def _halves(spark, d):
+    s = sales(spark, d)
+    return s.where(F.year("l_shipdate") < 1998), s.where(F.year("l_shipdate") >= 1998)
+
+
+@query(f"""with {SALES}, h as (select year(l_shipdate) < 1998 as a, sum(revenue) as total_revenue, sum(profit) as total_profit, sum(profit) * 100 / sum(revenue) as margin_pct, count(*)::double as order_count, avg(revenue) as avg_order_value, sum(l_quantity) as total_units, 100.0::double as completeness_pct from sales group by 1),
+l as (unpivot h on total_revenue, total_profit, margin_pct, order_count, avg_order_value, total_units, completeness_pct into name metric value v)
+select x.metric, round(x.v, 2) as value_a, round(y.v, 2) as value_b, round(y.v - x.v, 2) as delta, round((y.v - x.v) * 100 / abs(x.v), 2) as change_pct from l x join l y using (metric) where x.a and not y.a""", 2)
+def compare_kpis(spark, d):
+    return J.compare_kpis(*_halves(spark, d), {k: v for k, v in MAPPING.items() if k != "customer"})
+
+
+@query(f"""with {SALES}, r as (select year(l_shipdate) < 1998 as a, corr(l_quantity, revenue) as q, corr(l_quantity, profit) as p, corr(profit, revenue) as s from sales group by 1), l as (select a, 'l_quantity' as col1, 'revenue' as col2, q as r from r union all select a, 'l_quantity', 'profit', p from r union all select a, 'profit', 'revenue', s from r)
+select x.col1, x.col2, round(x.r, 4) as r_a, round(y.r, 4) as r_b, round(y.r - x.r, 4) as delta, sign(x.r) <> sign(y.r) and abs(x.r) > 0.1 and abs(y.r) > 0.1 as sign_flip, null::varchar as only_in from l x join l y using (col1, col2) where x.a and not y.a""")
+def compare_correlations(spark, d):
+    cols = ["l_quantity", "revenue", "profit"]
+    return J.compare_correlations(*(A.correlation_matrix(x, cols) for x in _halves(spark, d)))
+
+
+@query(f"""with {SALES}, h as (select year(l_shipdate) < 1998 as a, count(*) as n, sum(revenue) as revenue, sum(profit) as profit from sales group by 1), l as (unpivot h on revenue, profit into name measure value v)
+select x.measure, round(x.v, 2) as old_sum, round(y.v, 2) as new_sum, round((y.v - x.v) * 100 / abs(x.v), 2) as change_pct, y.n - x.n as row_change from l x join l y using (measure) where x.a and not y.a""", 2)
+def snapshot_drift(spark, d):
+    old, new = _halves(spark, d)
+    return J.drift(J.snapshot(old, ["revenue", "profit"]), J.snapshot(new, ["revenue", "profit"])).drop("added", "removed")
+
+
+# relationships
+
+MEASURES = ["l_quantity", "revenue", "profit"]
+
+
+@query(f"""with {SALES}, x as (select count(*) as n, corr(l_quantity, revenue) as a, corr(l_quantity, profit) as b, corr(revenue, profit) as c from sales),
+l as (select 'l_quantity' as col1, 'revenue' as col2, n, a as r from x union all select 'l_quantity', 'profit', n, b from x union all select 'revenue', 'profit', n, c from x)
+select col1, col2, n, round(r, 4) as r, case when abs(r) >= 0.7 then 'strong' when abs(r) >= 0.5 then 'moderate' else 'weak' end as strength, n < 30 as small_sample, abs(r) >= 0.3 as reported from l""")
+def correlation_tests(spark, d):
+    return R.correlations(sales(spark, d), MEASURES).drop("p_value", "significant")
+
+
+VIF3 = """select corr(l_quantity, revenue) as a, corr(l_quantity, l_tax) as b, corr(revenue, l_tax) as c from sales"""
+
+
+@query(f"""with {SALES}, x as ({VIF3}), r as (select 'l_quantity' as "column", (a * a + b * b - 2 * a * b * c) / (1 - c * c) as r2 from x union all select 'revenue', (a * a + c * c - 2 * a * b * c) / (1 - b * b) from x union all select 'l_tax', (b * b + c * c - 2 * a * b * c) / (1 - a * a) from x)
+select "column", round(r2, 4) as r_squared, round(1 / (1 - r2), 4) as vif, case when 1 / (1 - r2) >= 10 then 'severe' when 1 / (1 - r2) >= 5 then 'moderate' else 'ok' end as severity from r""")
+def vif(spark, d):
+    return R.vif(sales(spark, d), ["l_quantity", "revenue", "l_tax"])
+
+
+@query(f"""with {SALES}, o as (select corr(revenue, profit) as r from sales), g as (select 'l_returnflag' as dimension, l_returnflag as level, count(*) as n, corr(revenue, profit) as r from sales group by 2 union all select 'p_type', p_type, count(*), corr(revenue, profit) from sales group by 2)
+select 'revenue' as col1, 'profit' as col2, dimension, round(o.r, 4) as overall_r, count(*) as groups, count(*) filter (where n >= 15 and abs(g.r) >= 0.15) as usable_groups, coalesce(count(*) filter (where n >= 15 and abs(g.r) >= 0.15) >= 2 and bool_and(sign(g.r) = -sign(o.r)) filter (where n >= 15 and abs(g.r) >= 0.15), false) as reversed from g, o group by dimension, o.r""")
+def simpsons(spark, d):
+    return R.simpsons(sales(spark, d), [("revenue", "profit")], ["l_returnflag", "p_type"])
+
+
+@query(f"""with {SALES}, n as (select count(*) as n, corr(revenue, profit) as xy, corr(revenue, l_quantity) as xz, corr(profit, l_quantity) as yz from sales), gm as (select p_type, avg(revenue) as mx, avg(profit) as my from sales group by 1), w as (select corr(revenue - mx, profit - my) as r from sales join gm using (p_type)),
+l as (select 'l_quantity' as control, 'numeric' as control_type, n, xy, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) as p from n union all select 'p_type', 'category', n, xy, r from n, w)
+select 'revenue' as col1, 'profit' as col2, control, control_type, n, round(xy, 4) as overall_r, round(p, 4) as partial_r, round(abs(xy) - abs(p), 4) as "drop", case when sign(p) <> sign(xy) and abs(p) >= 0.15 then 'reverses' when abs(xy) - abs(p) >= 0.15 and abs(p) < 0.3 then 'mostly_explained' when abs(xy) - abs(p) >= 0.15 then 'partially_explained' else 'none' end as effect from l""")
+def partial_correlations(spark, d):
+    return R.partial_correlations(sales(spark, d), [("revenue", "profit")], ["l_quantity"], ["p_type"]).drop("p_value")
+
+
+@query(f"with {CLEAN} select l_orderkey, l_linenumber, round(d2, 4) as distance from dist where d2 > 9.210340371976184 order by d2 desc, 1, 2 limit 50")
+def anomalies(spark, d):
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return R.anomalies(t, ["l_quantity", "l_extendedprice"], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "distance")
+
+
+@query()
+def segments(spark, d):
+    return R.segments(sales(spark, d), ["l_quantity", "revenue", "profit"])[1]
+
+
+@query("""with v as (select abs(value) as v from events where value <> 0), c as (select greatest(1, least(9, floor(v / pow(10, floor(log10(v))))))::int as digit, count(*) as n from v group by 1), t as (select count(*) as t from v where (select max(v) / min(v) >= 100 from v)), g as (select range::int as digit from range(1, 10)), x as (select digit, coalesce(n, 0) as n, t, log10(1 + 1.0 / digit) as e from g left join c using (digit), t where t >= 100)
+select 'value' as "column", digit, n, round(n / t::double, 4) as share, round(e, 4) as expected, round(sum((n - e * t) ** 2 / (e * t)) over (), 4) as chi2 from x""")
+def benford(spark, d):
+    return R.benford(table(spark, d, "events"), ["value"]).drop("p_value", "deviates")
+
+
+@query("""with q as (select quantile_cont(value, 0.25) as a, quantile_cont(value, 0.75) as b from events), f as (select a - 1.5 * (b - a) as lo, b + 1.5 * (b - a) as hi from q), x as (select sum(value) as fu, sum(value) filter (where value between lo and hi) as tr, count(*) filter (where not value between lo and hi) * 100.0 / count(value) as o from events, f)
+select 'value' as measure, 'sum' as agg, round(fu, 2) as "full", round(tr, 2) as trimmed, round((tr - fu) * 100 / abs(fu), 2) as change_pct, round(o, 2) as outside_pct, abs((tr - fu) * 100 / abs(fu)) >= 20 as material, o > 5 as skewed from x""", 2)
+def robust_kpis(spark, d):
+    return R.robust_kpis(table(spark, d, "events"), [("value", "sum")])
+
+
+@query(f"""with {SALES}, q as (select quantile_cont(revenue, 0.25) as a, quantile_cont(revenue, 0.75) as b, quantile_cont(profit, 0.25) as c, quantile_cont(profit, 0.75) as e from sales), i as (select revenue, profit, revenue between a - 1.5 * (b - a) and b + 1.5 * (b - a) and profit between c - 1.5 * (e - c) and e + 1.5 * (e - c) as inside from sales, q)
+select 'revenue' as col1, 'profit' as col2, round(corr(revenue, profit), 4) as r, count(*) as n, round(corr(revenue, profit) filter (where inside), 4) as inside_r, count(*) filter (where inside) as inside_n from i""")
+def robust_correlations(spark, d):
+    return R.robust_correlations(sales(spark, d), [("revenue", "profit")]).drop("p_value", "inside_p", "effect")
+
+
+# intervals and tests
+
+
+@query("select 'value' as measure, 'sum' as agg, count(value) as n, round(sum(value), 2) as point from events union all select 'user_id', 'avg', count(user_id), round(avg(user_id), 2) from events", 2)
+def kpi_intervals(spark, d):
+    return I.kpi_intervals(table(spark, d, "events"), [("value", "sum"), ("user_id", "avg")]).select("measure", "agg", "n", "point")
+
+
+@query()
+def bootstrap_claim(spark, d):
+    return I.bootstrap_claim(sales(spark, d), "share", "revenue", "l_returnflag", "R", reference=30.0)
+
+
+@query("""with x as (select event_type = 'click' as a, value as v from events where event_type in ('click', 'purchase')), m as (select a, count(*) as n, avg(v) as m, var_samp(v) as s from x group by 1), r as (select a, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as r from x)
+select p.n as n_a, q.n as n_b, round(p.m, 4) as mean_a, round(q.m, 4) as mean_b, round(q.m - p.m, 4) as difference, round((q.m - p.m) / sqrt(p.s / p.n + q.s / q.n), 4) as t, round((p.s / p.n + q.s / q.n) ** 2 / ((p.s / p.n) ** 2 / (p.n - 1) + (q.s / q.n) ** 2 / (q.n - 1)), 2) as df, round((select sum(r) from r where not a) - q.n * (q.n + 1) / 2.0, 1) as u from m p, m q where p.a and not q.a""")
+def ab_test(spark, d):
+    out = I.ab_test(table(spark, d, "events"), "event_type", "click", "purchase", "value")
+    return out.select("n_a", "n_b", "mean_a", "mean_b", "difference", "t", F.round("df", 2).alias("df"), F.round("u", 1).alias("u"))
+
+
+@query("""with x as (select lang, toxic::varchar as level from labels join documents using (doc_id) where lang in ('en', 'fr')), c as (select level, count(*) filter (where lang = 'en') as a, count(*) filter (where lang = 'fr') as b from x group by 1), t as (select sum(a) as na, sum(b) as nb from c)
+select level, a as count_a, b as count_b, round(a / na, 4) as rate_a, round(b / nb, 4) as rate_b, round(b / nb - a / na, 4) as difference, round(sum((a - (a + b) * na / (na + nb)) ** 2 / ((a + b) * na / (na + nb)) + (b - (a + b) * nb / (na + nb)) ** 2 / ((a + b) * nb / (na + nb))) over (), 4) as chi2 from c, t""")
+def ab_rate_test(spark, d):
+    x = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return I.ab_rate_test(x, "lang", "en", "fr", "toxic").select("level", "count_a", "count_b", "rate_a", "rate_b", "difference", "chi2")
+
+
+@query("""select count(value) as "values", count(value) as numbers, count(distinct value) as "distinct", 0::bigint as infinite, 'numeric' as kind from events""")
+def outcome_kind(spark, d):
+    return I.outcome_kind(table(spark, d, "events"), "value")
+
+
+# series
+
+
+@query("""with m as (select strftime(l_shipdate, '%Y-%m') as month, count(*) as n, sum(l_extendedprice) as v, avg(l_extendedprice) as m, var_samp(l_extendedprice) as s from lineitem group by 1 order by 1 desc limit 2), r as (select *, row_number() over (order by month desc) as k from m)
+select a.month, b.month as previous_month, round(a.v, 2) as value, round(b.v, 2) as previous_value, round((a.v - b.v) * 100 / abs(b.v), 2) as change_pct, round((a.m - b.m) / sqrt(a.s / a.n + b.s / b.n), 2) as t, round((a.s / a.n + b.s / b.n) ** 2 / ((a.s / a.n) ** 2 / (a.n - 1) + (b.s / b.n) ** 2 / (b.n - 1)), 2) as df from r a, r b where a.k = 1 and b.k = 2 and a.n >= 5 and b.n >= 5""", 2)
+def period_comparison(spark, d):
+    return S.period_comparison(table(spark, d, "lineitem"), "l_shipdate", "l_extendedprice").drop("p_value", "significant")
+
+
+@query(f"""with {MONTHLY}, x as (select month, value, row_number() over (order by month) - 1 as i, count(*) over () as n, (avg(value) over (order by month rows between 6 preceding and 5 following) + avg(value) over (order by month rows between 5 preceding and 6 following)) / 2 as t from series),
+y as (select *, case when i >= 6 and i < n - 6 then t end as tr, month[6:7]::int as moy from x), o as (select moy, avg(value - tr) as m, count(value - tr) as k from y where tr is not null group by 1 having count(*) >= 2)
+select month, round(value, 3) as value, round(tr, 3) as trend, round(o.m - (select avg(m) from o), 3) as season from y left join o using (moy) where n >= 36""", 3)
+def seasonality(spark, d):
+    return S.seasonality(monthly_orders(spark, d)).select("month", "value", "trend", "season")
+
+
+GROWING = "series as (select strftime(o_orderdate, '%Y-%m') as month, count(*) * (year(min(o_orderdate)) - 1990.0) as value from orders where o_orderdate < timestamp '2001-01-01' group by 1)"
+
+
+def growing(spark, d):
+    """Orders of a month times years since 1990: a series with a trend."""
+    o = table(spark, d, "orders").where("o_orderdate < timestamp_ntz'2001-01-01'")
+    return o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg((F.count(F.lit(1)) * (F.year(F.min("o_orderdate")) - 1990.0)).alias("value"))
+
+
+@query(f"""with {GROWING}, x as (select value, row_number() over (order by month) - 1 as i, month from series), f as (select regr_slope(value, i) as s, regr_intercept(value, i) as b, regr_r2(value, i) as r2, count(*) as n, max(month) as last from x)
+select strftime((last || '-01')::date + to_months(k::int), '%Y-%m') as month, round(b + s * (n + k - 1), 4) as value, round(s, 4) as slope, round(b, 4) as intercept, round(r2, 4) as r_squared, n as months from f, (select range as k from range(1, 4)) where r2 >= 0.3""")
+def forecast(spark, d):
+    return S.forecast(growing(spark, d)).select("month", "value", "slope", "intercept", "r_squared", "months")
+
+
+@query()
+def segment_forecast(spark, d):
+    o = table(spark, d, "orders").where("o_orderdate < timestamp_ntz'2001-01-01'").withColumn("grown", F.col("o_totalprice") * (F.year("o_orderdate") - 1990))
+    return S.segment_forecast(o, "o_orderpriority", "o_orderdate", "grown")
+
+
+@query(f"""with {MONTHLY}, x as (select month, value, row_number() over (order by month) - 1 as i, count(*) over () as n from series), s as (select a.i, a.month, a.n, regr_slope(b.value, b.i) filter (where b.i < a.i) as s1, regr_intercept(b.value, b.i) filter (where b.i < a.i) as b1, regr_slope(b.value, b.i) filter (where b.i >= a.i) as s2, regr_intercept(b.value, b.i) filter (where b.i >= a.i) as b2,
+(var_pop(b.value) filter (where b.i < a.i) * (1 - regr_r2(b.value, b.i) filter (where b.i < a.i))) * a.i + (var_pop(b.value) filter (where b.i >= a.i) * (1 - regr_r2(b.value, b.i) filter (where b.i >= a.i))) * (a.n - a.i) as sse from x a, x b where a.i >= 4 and a.n - a.i >= 4 group by 1, 2, 3)
+select month, i, round(abs(b2 + s2 * (i - 0.5) - b1 - s1 * (i - 0.5)) / sqrt(sse / (n - 4)), 4) as score from s""")
+def split_scores(spark, d):
+    return S.split_scores(monthly_orders(spark, d)).select("month", F.col("i").cast("long").alias("i"), "score")
+
+
+@query()
+def changepoint(spark, d):
+    return S.changepoint(monthly_orders(spark, d))
+
+
+DRIVER_DIMS = ["l_returnflag", "c_mktsegment", "o_orderpriority"]
+DRIVERS = """f as (select strftime(l_shipdate, '%Y-%m') as month, l_extendedprice * (1 - l_discount) as v, l_returnflag, c_mktsegment, o_orderpriority from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey),
+w as (select month, row_number() over (order by month desc) as k from (select distinct strftime(l_shipdate, '%Y-%m') as month from lineitem)), r as (select f.*, k = 1 as after from f join w using (month) where k <= 2),
+l as (select 'l_returnflag' as dimension, l_returnflag as segment, after, v from r union all select 'c_mktsegment', c_mktsegment, after, v from r union all select 'o_orderpriority', o_orderpriority, after, v from r),
+s as (select dimension, segment, coalesce(sum(v) filter (where not after), 0) as b, coalesce(sum(v) filter (where after), 0) as a from l group by 1, 2),
+g as (select *, a - b as change, sum(a - b) over (partition by dimension) as net, sum(abs(a - b)) over (partition by dimension) as gross, max(abs(a - b)) over (partition by dimension) as most, count(*) over (partition by dimension) as k from s),
+c as (select *, most * 100 / gross - 100.0 / k as concentration from g), rk as (select dimension, row_number() over (order by max(concentration) desc, dimension) as dimension_rank from c group by 1)"""
+
+
+@query(f"""with {DRIVERS} select dimension, segment, round(b, 2) as before_value, round(a, 2) as after_value, round(change, 2) as change, round(change * 100 / net, 2) as net_share, round(abs(change) * 100 / gross, 2) as gross_share, abs(net) < 0.2 * gross as offsetting, round(concentration, 2) as concentration, dimension_rank::int as dimension_rank from c join rk using (dimension)""", 2)
+def drivers(spark, d):
+    x = orders_full(spark, d)
+    return S.drivers(x, "l_shipdate", "revenue", "sum", DRIVER_DIMS, *S.last_two_months(table(spark, d, "lineitem"), "l_shipdate"))
+
+
+@query()
+def driver_drill(spark, d):
+    x = orders_full(spark, d)
+    return S.drill(x, "l_shipdate", "revenue", "sum", DRIVER_DIMS, *S.last_two_months(table(spark, d, "lineitem"), "l_shipdate"))
+
+
+# entities
+
+ENTITY = """seen as (select distinct o_custkey as e, year(o_orderdate) * 12 + month(o_orderdate) as m from orders), f as (select e, m, min(m) over (partition by e) as c from seen), cells as (select c, m - c as k, count(*) as active from f group by 1, 2),
+z as (select c, active as size from cells where k = 0 and active >= 5), r as (select *, row_number() over (order by c desc) as r, count(*) over () as n from z), u as (select * from r where r <= 12 and n >= 2)"""
+
+
+@query(f"""with {ENTITY}, g as (select c, size, unnest(range(0, (select least(max(k), 11) from cells where c in (select c from u)) + 1)) as k from u)
+select lpad(((g.c - 1) // 12)::varchar, 4, '0') || '-' || lpad(((g.c - 1) % 12 + 1)::varchar, 2, '0') as cohort, size, g.k::int as month_number, coalesce(active, 0) as active, round(coalesce(active, 0) / size::double, 4) as retention, g.c + g.k <= (select max(c + k) from cells) as observed from g left join cells on cells.c = g.c and cells.k = g.k""")
+def cohorts(spark, d):
+    return E.cohorts(table(spark, d, "orders"), "o_custkey", "o_orderdate")
+
+
+@query("""with s as (select distinct o_custkey as e, o_orderdate as t from orders), g as (select floor((epoch(t) - epoch(lag(t) over (partition by e order by t))) / 86400) as gap from s), ty as (select quantile_cont(gap, 0.5) as typical, count(*) as n from g where gap > 0), l as (select e, max(t) as last from s group by 1), x as (select e, last, floor((epoch((select max(last) from l)) - epoch(last)) / 86400) as days, typical, (select count(*) from l) as entities from l, ty where n >= 10), y as (select *, days / typical as ratio from x where days / typical >= 1.5)
+select e as entity, strftime(last, '%Y-%m-%d') as last_seen, days::bigint as days_since, typical as typical_gap, round(ratio, 4) as ratio, case when round(ratio, 2) >= 3 then 'high' else 'medium' end as level, (select count(*) from y) as flagged, entities from y order by y.ratio desc, e limit 20""")
+def retention_risk(spark, d):
+    return E.retention_risk(table(spark, d, "orders"), "o_custkey", "o_orderdate")
+
+
+@query("""with c as (select o_custkey, sum(o_totalprice) as r from orders group by 1), n as (select count(*) as n, greatest(1, floor(0.1 * count(*)))::bigint as k, sum(r) as total from c), t as (select sum(r) as top from (select r, row_number() over (order by r desc, o_custkey) as i from c), n where i <= k)
+select n as customers, k as top_customers, round(top * 100 / total, 4) as share_pct, top * 100 / total > 20 as reported from n, t where n >= 10""")
+def customer_concentration(spark, d):
+    return E.customer_concentration(table(spark, d, "orders"), "o_custkey", "o_totalprice")
+
+
+# findings: each rule's facts
+
+FACT = "null::varchar as priority"
+
+
+@query("""with c as (select 'l_returnflag' as subject, l_returnflag as label, count(*) as n from lineitem group by 2 union all select 'l_linestatus', l_linestatus, count(*) from lineitem group by 2), r as (select *, row_number() over (partition by subject order by n desc, label) as k, sum(n) over (partition by subject) as t from c)
+select 'most_common' as kind, subject, label as value_label, round(n * 100.0 / t, 4) as value from r where k = 1""")
+def most_common_value(spark, d):
+    return K.most_common(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"]).select("kind", "subject", "value_label", "value")
+
+
+@query("select 'average' as kind, 'l_quantity' as subject, round(avg(l_quantity), 4) as value, count(l_quantity)::double as reference from lineitem union all select 'average', 'l_tax', round(avg(l_tax), 4), count(l_tax) from lineitem")
+def measure_averages(spark, d):
+    return K.measure_averages(table(spark, d, "lineitem"), ["l_quantity", "l_tax"]).select("kind", "subject", "value", "reference")
+
+
+@query(f"with {SALES} select 'top_segment' as kind, 'p_brand' as subject, p_brand as value_label, round(sum(revenue), 2) as value from sales group by 3 order by sum(revenue) desc limit 1", 2)
+def top_segment(spark, d):
+    return K.top_segment(sales(spark, d), "p_brand", "revenue").select("kind", "subject", "value_label", "value")
+
+
+@query(f"""with {SALES}, x as (select corr(l_quantity, revenue) as a, corr(l_quantity, profit) as b, corr(profit, revenue) as c from sales), l as (select 'l_quantity' as s, 'revenue' as v, a as r from x union all select 'l_quantity', 'profit', b from x union all select 'profit', 'revenue', c from x) select 'correlation' as kind, s as subject, v as value_label, round(r, 4) as value, abs(r) >= 0.4 as significant from l order by abs(r) desc limit 1""")
+def strongest_correlation(spark, d):
+    return K.strongest_correlation(sales(spark, d), MEASURES).select("kind", "subject", "value_label", "value", "significant")
+
+
+@query(f"""with {SALES}, g as (select p_type as label, sum(revenue) as v from sales group by 1) select 'concentration' as kind, arg_max(label, v) as value_label, round(max(v) * 100 / sum(v), 4) as value, round(100.0 / count(*), 4) as reference, max(v) * 100 / sum(v) > 150.0 / count(*) as significant from g""")
+def segment_concentration(spark, d):
+    return K.concentration(sales(spark, d), "p_type", "revenue").select("kind", "value_label", "value", "reference", "significant")
+
+
+@query(f"""with {SALES}, g as (select p_brand as label, sum(profit) * 100 / sum(revenue) as m from sales group by 1) select 'losing_segment' as kind, label as value_label, round(m, 4) as value, m < 0 as significant from g order by m, label limit 2""")
+def losing_segments(spark, d):
+    return K.losing_segments(sales(spark, d), "p_brand", "revenue", "profit").select("kind", "value_label", "value", "significant")
+
+
+@query(f"""with {SALES}, g as (select case when l_discount <= 0 then '0' when l_discount <= 0.2 then '0-20%' end as label, sum(profit) * 100 / sum(revenue) as m from sales group by 1) select 'discount_band' as kind, label as value_label, round(m, 4) as value, m < 0 as significant from g""")
+def discount_bands(spark, d):
+    return K.discount_bands(sales(spark, d), "l_discount", "revenue", "profit").select("kind", "value_label", "value", "significant")
+
+
+@query("""with y as (select year(o_orderdate) as y, sum(o_totalprice) as v from orders group by 1), c as (select (arg_max(v, y) - arg_min(v, y)) * 100 / abs(arg_min(v, y)) as c from y) select 'declining' as kind, round(c, 4) as value, case when c <= -30 then 'high' when c <= -15 then 'medium' else 'low' end as priority, c < -5 as significant from c""")
+def declining_trend(spark, d):
+    return K.declining(table(spark, d, "orders"), "o_orderdate", "o_totalprice").select("kind", "value", "priority", "significant")
+
+
+@query(f"""with t as ({HOLES}) select 'missing' as kind, 'b' as subject, round(100.0 * avg((b is null)::int), 4) as value, case when 100.0 * avg((b is null)::int) > 50 then 'high' when 100.0 * avg((b is null)::int) > 30 then 'medium' else 'low' end as priority from t having avg((b is null)::int) > 0.15""")
+def missing_data(spark, d):
+    return K.missing_data(_holes(spark, d), ["a", "b"]).select("kind", "subject", "value", "priority")
+
+
+@query("""with q as (select quantile_cont(value, 0.25) as a, quantile_cont(value, 0.75) as b from events), x as (select sum(value) filter (where value > b + 1.5 * (b - a)) * 100 / sum(value) as share, count(*) filter (where value > b + 1.5 * (b - a)) * 100.0 / count(value) as pct from events, q) select 'high_outliers' as kind, round(coalesce(share, 0), 4) as value, round(pct, 4) as reference, pct < 8 and coalesce(share, 0) > 20 as significant from x""")
+def high_outliers(spark, d):
+    return K.high_outliers(table(spark, d, "events"), "value").select("kind", "value", "reference", "significant")
+
+
+@query("""with g as (select event_type as label, avg(value) as m from events group by 1), o as (select avg(value) as o from events) select 'under_performing' as kind, arg_min(label, m) as value_label, round(min(m), 4) as value, round(o, 4) as reference, (o - min(m)) * 100 / abs(o) >= 15 as significant from g, o group by o""")
+def under_performing(spark, d):
+    return K.under_performing(table(spark, d, "events"), "event_type", "value").select("kind", "value_label", "value", "reference", "significant")
+
+
+@query()
+def ranked_findings(spark, d):
+    s = sales(spark, d)
+    facts = K.concentration(s, "p_type", "revenue").unionByName(K.losing_segments(s, "p_brand", "revenue", "profit")).unionByName(K.strongest_correlation(s, MEASURES)).unionByName(K.high_outliers(s, "revenue"))
+    return K.ranked(facts)
+
+
+# text and personal data
+
+
+@query(f"""with t as (select doc_id, text from documents where trim(text) <> ''), w as (select doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda x: x not in ({', '.join(repr(w) for w in X.STOP_WORDS if "'" not in w)}))) as word from t)
+select word, count(*) as n, round(count(distinct doc_id) * 100.0 / (select count(*) from t), 4) as entries_pct from w group by 1 order by 2 desc, 1 limit 15""")
+def keywords(spark, d):
+    return X.keywords(table(spark, d, "documents"), "text")
+
+
+@query("""select 'c_name' as "column", 'person_name' as kind, false as by_value, true as by_header, 'low' as confidence""")
+def scan_sensitive(spark, d):
+    return X.scan_sensitive(table(spark, d, "customer").withColumnRenamed("c_name", "c_name")).select("column", "kind", "by_value", "by_header", "confidence")
+
+
+@query(f"""select 'text' as "column", 'email' as kind, count(*) filter (where regexp_matches(text, '{X.EMAIL}')) as rows from documents union all select 'text', 'ssn', count(*) filter (where regexp_matches(text, '(^|[^0-9-]){X.SSN}($|[^0-9-])')) from documents union all select 'text', 'card', 0 from documents limit 3""")
+def scan_text_leaks(spark, d):
+    return X.scan_text_leaks(table(spark, d, "documents"), ["text"])
+
+
+@query("""select 'c_name' as "column", 'person_name' as kind, 'header' as source, 'low' as confidence, false as blocks""")
+def publish_guard(spark, d):
+    return X.publish_findings(table(spark, d, "customer"))
+
+
+@query("select c_custkey, count(*) over (partition by c_mktsegment) as same from customer")
+def mask_columns(spark, d):
+    from pyspark.sql.window import Window
+
+    m = X.mask_columns(table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), ["c_mktsegment", "c_nationkey"])
+    return m.select("c_custkey", F.count(F.lit(1)).over(Window.partitionBy("c_mktsegment")).alias("same"))
+
+
+# report jobs
+
+
+@query()
+def full_report(spark, d):
+    return report.full_report(sales(spark, d).select("l_shipdate", "p_type", "l_returnflag", "l_quantity", "revenue", "profit"), overrides={"l_shipdate": "DATE", "l_returnflag": "CATEGORY"})
+
+
+@query()
+def filtered_report(spark, d):
+    x = A.filter_rows(orders_full(spark, d), "l_shipdate", "1995-01-01", "2000-12-31", {"l_returnflag": ["A", "R"]})
+    return report.filtered_report(x, "l_shipdate", "revenue", "sum", ["c_mktsegment", "o_orderpriority"])
+
+
+@query("""select 'table' as kind, 'rows' as subject, null::varchar as label, count(*)::double as value from nation union all select 'table', 'columns', null, 1 union all select 'table', 'completeness_pct', null, 100.0 union all (select 'frequency', 'n_name', n_name, count(*) from nation group by 3 order by 4 desc, 3 limit 15)""")
+def no_metric_report(spark, d):
+    return A.no_metric_report(table(spark, d, "nation").select("n_name"), ["n_name"])
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
