@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 #: Entries that a task's word cache holds before it starts anew.
-CACHE = 300_000
+CACHE = 200_000
 #: Bytes of text that a task looks at together.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -102,19 +102,6 @@ def in_bloom(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def keep_in_bloom(df: DataFrame, bits: np.ndarray, column: str) -> DataFrame:
-    """The rows of df whose key the filter may hold, before a shuffle by that key."""
-    held = df.sparkSession.sparkContext.broadcast(bits)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = b.column(column)
-            mask = in_bloom(held.value, col.fill_null(0).to_numpy(zero_copy_only=False)) & ~np.asarray(col.is_null())
-            yield b.filter(pa.array(mask))
-
-    return df.mapInArrow(pick, df.schema)
-
-
 class Hashes(dict):
     """Word (bytes) -> 64-bit hash; a cache of bounded size."""
 

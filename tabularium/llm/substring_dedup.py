@@ -11,7 +11,7 @@ same minimizer can share a window:
   are taken apart into single windows, once for each content, and joined window by window.
 
 The source coordinates (document and first window of a run, and of the run that owns it) turn owners into spans of words. Contents are
-compared by two independent 64-bit fingerprints of their words at those coordinates, of which each has its own word hashes.
+compared by two 64-bit fingerprints of their words at those coordinates, with different multipliers and word hashes.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import Hashes, as_bytes, bloom, in_bloom, keep_in_bloom, mix, slices, split_words, written
+from tabularium.llm.common import Hashes, as_bytes, bloom, in_bloom, mix, slices, split_words, written
 
 #: Words of a minimizer gram, for windows of 50.
 GRAM = 16
@@ -98,12 +98,13 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, k: int, m: int) -> DataFr
     """All runs of all texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Hashes(11), Hashes(23)
+        known = Hashes(11)
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), as_bytes(batch.column(1))
             for lo, hi in slices(texts):
                 words, ends = split_words(texts[lo:hi])
-                got = runs_of(one.of(words), two.of(words), ends, k, m) if len(words) >= k else None
+                h = known.of(words)
+                got = runs_of(h, mix(h ^ _M2), ends, k, m)
                 if got is not None:
                     yield _rows([got[3].view(np.int64), got[4].view(np.int64), got[5].view(np.int64), ids[lo:hi][got[0]], got[1].astype(np.int32), got[2].astype(np.int32)], ["v", "c", "c2", "doc", "start", "n"])
 
@@ -119,12 +120,13 @@ def _branch_windows(docs: DataFrame, id_col: str, text_col: str, k: int, m: int,
     held = docs.sparkSession.sparkContext.broadcast(branches)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Hashes(11), Hashes(23)
+        known = Hashes(11)
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), as_bytes(batch.column(1))
             for lo, hi in slices(texts):
                 words, ends = split_words(texts[lo:hi])
-                got = runs_of(one.of(words), two.of(words), ends, k, m, single=True) if len(words) >= k else None
+                h = known.of(words)
+                got = runs_of(h, mix(h ^ _M2), ends, k, m, single=True)
                 if got is None:
                     continue
                 keep = np.flatnonzero(in_bloom(held.value, got[3].view(np.int64)))
@@ -167,65 +169,77 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return whole.unionByName(parts).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
+def _cut(words: list[bytes], spans: list[dict] | None) -> list[bytes]:
+    """The words outside all spans."""
+    if not spans:
+        return words
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edge, [x["a"] for x in spans], 1)
+    np.add.at(edge, [x["b"] for x in spans], -1)
+    return [w for w, gone in zip(words, (np.cumsum(edge) > 0).tolist(), strict=False) if not gone]
+
+
 def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """docs without the words in spans.
 
     digest=False: docs' columns, with the text's kept words joined by one space where any were removed (else the text as it is).
     digest=True: (id, n_words long, n_removed long, kept_sha256 string) in place of the other columns.
-    Documents without spans never leave their partition: a Bloom filter of the ids with spans is asked first.
+    Texts without spans are not shuffled: a Bloom filter of the ids with spans is asked first.
     """
     ids = written(spans, "spans")
-    held = bloom(ids.select("doc"), "doc")
-    may = keep_in_bloom(docs.where(f"`{id_col}` is not null"), held, id_col).join(ids.withColumnRenamed("doc", "__doc"), F.col(id_col) == F.col("__doc"), "left").drop("__doc").withColumnRenamed("spans", "__spans")
-    rest = _not_in_bloom(docs, held, id_col).withColumn("__spans", F.lit(None).cast("array<struct<a:int,b:int>>"))
-    both = may.unionByName(rest)
-    columns = [c for c in docs.columns if not digest or c in (id_col, text_col)]
-    both = both.select(*columns, "__spans")
-    names = [c for c in columns if c != text_col] if digest else columns
+    held = docs.sparkSession.sparkContext.broadcast(bloom(ids.select("doc"), "doc"))
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in names) + (", n_words long, n_removed long, kept_sha256 string" if digest else "")
+    result = ["n_words", "n_removed", "kept_sha256"]
+
+    def may(column: pa.Array) -> np.ndarray:
+        return in_bloom(held.value, column.fill_null(0).to_numpy(zero_copy_only=False)) & ~np.asarray(column.is_null())
+
+    def sha(words: list[bytes]) -> str:
+        return hashlib.sha256(b" ".join(words)).hexdigest()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The result of texts that surely have no spans; the others' texts."""
+        for batch in batches:
+            asked = may(batch.column(0))
+            n, digests, left = [], [], []
+            for t, ask in zip(as_bytes(batch.column(1)), asked.tolist(), strict=True):
+                words = t.split() if t and not ask else []
+                n.append(len(words))
+                digests.append(None if ask else sha(words))
+                left.append(t if ask else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array([0] * len(n), pa.int64()), pa.array(digests, pa.string())], names=[id_col, "__text", *result])
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, gone, digests = (batch.column(c).to_pylist() for c in result)
+            for i, (t, s) in enumerate(zip(as_bytes(batch.column("__text")), batch.column("spans").to_pylist(), strict=True)):
+                if digests[i] is None:
+                    words = t.split() if t else []
+                    kept = _cut(words, s)
+                    n[i], gone[i], digests[i] = len(words), len(words) - len(kept), sha(kept)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], names=[id_col, *result])
+
+    if digest:
+        schema = f"`{id_col}` {types[id_col]}, __text string, n_words long, n_removed long, kept_sha256 string"
+        part = docs.select(id_col, text_col).mapInArrow(first, schema).join(ids, F.col(id_col) == F.col("doc"), "left").drop("doc")
+        return part.mapInArrow(rest, schema.replace("__text string, ", ""))
+
+    names = docs.columns
+
+    def split(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(may(batch.column(id_col)) == wanted))
+
+        return run
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(text_col))
-            spans = batch.column("__spans").to_pylist()
-            out, words_n, removed_n = [], [], []
-            for i, (t, s) in enumerate(zip(texts, spans, strict=True)):
-                if not s and not digest:
-                    out.append(t)
-                    continue
-                words = t.split() if t else []
-                keep = np.zeros(len(words) + 1, np.int64)
-                for x in s or ():
-                    keep[x["a"]] += 1
-                    keep[x["b"]] -= 1
-                covered = np.cumsum(keep)[:-1] > 0
-                left = b" ".join([w for w, gone in zip(words, covered, strict=True) if not gone] if s else words)
-                out.append(hashlib.sha256(left).hexdigest().encode() if digest else left)
-                words_n.append(len(words))
-                removed_n.append(int(covered.sum()))
-            cols = {c: batch.column(c) for c in names}
-            text = pa.array(out, pa.binary()).cast(pa.string())
-            if digest:
-                arrays = [*cols.values(), pa.array(words_n, pa.int64()), pa.array(removed_n, pa.int64()), text]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_words", "n_removed", "kept_sha256"])
-            else:
-                cols[text_col] = text
-                yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
-
-    return both.mapInArrow(cut, schema)
-
-
-def _not_in_bloom(df: DataFrame, bits: np.ndarray, column: str) -> DataFrame:
-    held = df.sparkSession.sparkContext.broadcast(bits)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = b.column(column)
-            mask = in_bloom(held.value, col.fill_null(0).to_numpy(zero_copy_only=False)) & ~np.asarray(col.is_null())
-            yield b.filter(pa.array(~mask))
-
-    return df.mapInArrow(pick, df.schema)
+            texts = [b" ".join(_cut(t.split(), s)) if s and t else t for t, s in zip(as_bytes(batch.column(text_col)), batch.column("__spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()) if c == text_col else batch.column(c) for c in names], names=names)
+
+    spanned = docs.mapInArrow(split(True), docs.schema).join(ids.select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans")), F.col(id_col) == F.col("__doc"), "left").drop("__doc")
+    return docs.mapInArrow(split(False), docs.schema).unionByName(spanned.mapInArrow(cut, docs.schema))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 50, digest: bool = False) -> DataFrame:
