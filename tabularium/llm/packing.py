@@ -19,62 +19,88 @@ from pyspark.sql.window import Window
 from tabularium.llm.common import as_bytes, slices, split_words, written
 
 TOKENIZER = "word_bpe_49k.json"
-#: Put between chunks that are encoded together; a chunk that holds it is encoded alone.
-MARK = "<|endoftext|>"
-CACHE = 400_000
+#: Put between chunks that are encoded together: a single token of its own; a chunk that holds it is encoded alone.
+MARK = "`"
+CACHE = 700_000
+
+
+#: No byte of the UTF-8 form of a character below U+0180 is greater: such characters are composed already, and lower case needs no context.
+LATIN = 0xC5
+
+
+class _Places(dict):
+    """Chunk -> its number; new chunks are numbered and noted."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
 
 
 class ChunkIds:
     """Token ids of white-space separated chunks. The tokenizer never looks across white space, so a text's ids are those of its chunks in a row. Bounded."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(MARK)
+        # Latin letters alone are one word for the tokenizer's pattern: lower-cased, they need neither it nor the normalizer
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Places()
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = [0]
+        self.ends = np.zeros(1, np.int64)
+
+    def _joined(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids in a row, and how many each has."""
+        parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 512):
+            some = words[i : i + 512]
+            ids = np.array(tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark)
+            parts.append(np.delete(ids, at))
+            sizes.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
+        return np.concatenate(parts), np.concatenate(sizes)
 
     def _learn(self, chunks: list[bytes]) -> None:
-        words = [c.decode() for c in chunks]
-        plain = [w for w in words if MARK not in w]
-        got: dict[str, list[int]] = {}
-        for i in range(0, len(plain), 512):
-            some = plain[i : i + 512]
-            ids = self.tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids
-            parts, at = [], 0
-            for _ in range(len(some) - 1):
-                to = ids.index(self.mark, at)
-                parts.append(ids[at:to])
-                at = to + 1
-            got.update(zip(some, [*parts, ids[at:]], strict=True))
-        for w in words:
-            if w not in got:
-                got[w] = self.tokenizer.encode(w, add_special_tokens=False).ids
-        for c, w in zip(chunks, words, strict=True):
-            ids = got[w]
-            a, b = self.ends[-1], self.ends[-1] + len(ids)
-            while b > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[a:b] = ids
-            self.known[c] = len(self.ends) - 1
-            self.ends.append(b)
+        kinds: tuple[list[int], ...] = ([], [], [])
+        words = b" ".join(chunks).decode().split(" ")
+        for i, (c, w) in enumerate(zip(chunks, words, strict=True)):
+            kinds[2 if MARK in w else 0 if w.isalpha() and max(c) <= LATIN else 1].append(i)
+        letters, plain, odd = kinds
+        got = [self._joined(" ".join([words[i] for i in letters]).lower().split(" ") if letters else [], self.letters), self._joined([words[i] for i in plain], self.tokenizer)]
+        alone = [self.tokenizer.encode(words[i], add_special_tokens=False).ids for i in odd]
+        got.append((np.array([x for ids in alone for x in ids], np.uint32), np.array([len(ids) for ids in alone], np.int64)))
+        order = np.array(letters + plain + odd)
+        flat, size = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        begin = np.cumsum(size) - size
+        back = np.argsort(order)
+        size, begin = size[back], begin[back]
+        end = self.ends[-1] + np.cumsum(size)
+        if end[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(int(end[-1]) - len(self.ids), len(self.ids) // 2), np.uint32)])
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        self.ids[self.ends[-1] : end[-1]] = flat[at]
+        self.ends = np.concatenate([self.ends, end])
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Each text's ids."""
         chunks, ends = split_words(texts)
         if len(self.known) > CACHE:
             self.clear()
-        new = list({c for c in chunks if c not in self.known})
-        if new:
-            self._learn(new)
         at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        bounds = np.array(self.ends)
-        start, n = bounds[at], bounds[at + 1] - bounds[at]
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
+        start, n = self.ends[at], self.ends[at + 1] - self.ends[at]
         cum = np.concatenate([[0], np.cumsum(n)])
         flat = self.ids[np.repeat(start - cum[:-1], n) + np.arange(cum[-1])]
         cut = cum[ends]
