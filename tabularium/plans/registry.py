@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from tabularium.operators import relations as R
 from tabularium.operators import series as S
 from tabularium.operators import text as X
 from tabularium.plans import report
-from tabularium.sources.tables import read_table
+from tabularium.sources.tables import flatten, read_table, write_table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -91,6 +92,38 @@ def prepare(spark, d):
     return Q.prepare(s, {"date": "l_shipdate", "revenue": "revenue", "cost": "cost", "discount": "pct"})[0].withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
 
 
+def _round_trip(spark: SparkSession, df: DataFrame, fmt: str) -> DataFrame:
+    """df written in a format to the warehouse, which all executors share, and read again."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/tabularium-{uuid.uuid4().hex}.{fmt}"
+    write_table(df, path, fmt)
+    return read_table(spark, path, fmt)
+
+
+@query("select s_suppkey, s_name, s_nationkey, round(s_acctbal, 4) as s_acctbal from supplier")
+def csv_round_trip(spark, d):
+    return _round_trip(spark, table(spark, d, "supplier"), "csv")
+
+
+@query("select s_suppkey, s_name, s_nationkey, round(s_acctbal, 4) as s_acctbal from supplier")
+def tsv_round_trip(spark, d):
+    return _round_trip(spark, table(spark, d, "supplier"), "tsv")
+
+
+@query("""select s_suppkey as key, s_name as "who.name", s_nationkey as "who.nation" from supplier""")
+def json_round_trip(spark, d):
+    nested = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")).alias("who"))
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/tabularium-{uuid.uuid4().hex}.json"
+    write_table(nested, path, "json")
+    return flatten(spark.read.json(path))
+
+
+@query("""select 'halves' as name, 1.0::double as jaccard from orders limit 1""")
+def match_snapshot(spark, d):
+    o = table(spark, d, "orders")
+    old = J.snapshot(o, ["o_totalprice"]).select(F.lit("halves").alias("name"), "columns").unionByName(J.snapshot(o.withColumn("extra", F.lit(1)), ["o_totalprice"]).select(F.lit("wider").alias("name"), "columns"))
+    return J.match_snapshot(old, o.columns)
+
+
 # profiling and quality
 
 
