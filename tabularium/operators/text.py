@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +14,8 @@ from tabularium.operators.quality import normal_name
 
 #: Words that say nothing of a text.
 STOP_WORDS = (
-    "the and for that this with was are but not you have has had they from all can her his our out were been will would there their what when which who how its it's "
-    "also just very more most some any one two into than then them these those because about after before over under again only own same too does did doing your yours she him"
+    "the and a an is was were are to of in for on with this that it as at by from be or but not have has had i you he she we they his her its our their them my your so if "
+    "then than there here what which who when where how all some no yes do does did can could will would should just also very too up out about into over after before again one two"
 ).split()
 
 
@@ -39,10 +41,20 @@ IPV4 = r"((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?
 PHONE = r"\+?[0-9() .\-]{7,24}"
 DATE_LIKE = r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}.{0,20}"
 NAME = r"[A-Z][a-z]{1,30}([ -][A-Z][a-z]{1,30}){1,3}"
+#: What headers of personal data are called, words that make a header one about such a field, and what makes an id a person's.
 HEADERS = {
-    "email": ("email", "e mail", "mail"), "phone": ("phone", "mobile", "telephone", "fax"), "gov_id": ("ssn", "passport", "pan", "aadhaar", "tax id", "national id"), "card": ("card number", "credit card", "iban"),
-    "dob": ("dob", "date of birth", "birth date", "birthday"), "address": ("address", "street", "zip", "postcode"), "ip": ("ip address", "ip"), "person_name": ("first name", "last name", "full name", "surname", "name"), "person_id": ("patient id", "employee id", "customer id", "user id"),
-}
+    "email": ("email", "e mail", "emailaddress", "mail address"),
+    "phone": ("phone", "mobile", "telephone", "cellphone", "contact number", "whatsapp"),
+    "gov_id": ("ssn", "social security", "aadhaar", "aadhar", "passport", "tax id", "pan number", "driver license", "drivers license", "licence number", "license number"),
+    "card": ("credit card", "card number", "cardnumber", "debit card", "iban", "account number", "bank account", "cvv", "routing number"),
+    "dob": ("dob", "birth date", "birthdate", "date of birth", "birthday"),
+    "address": ("street", "address", "street address", "home address", "postcode", "postal code", "zip code", "zipcode"),
+    "ip": ("ip address", "ipaddress"),
+    "person_name": ("first name", "last name", "full name", "surname", "given name", "firstname", "lastname", "fullname", "forename", "customer name", "patient name", "employee name", "student name", "contact name", "client name", "member name", "user name", "username"),
+}
+ABOUT = ("model", "type", "count", "status", "flag", "domain", "provider", "brand", "plan", "usage", "year")
+PERSONS = "customer patient user employee member student person client passenger subscriber visitor account staff worker applicant donor resident policyholder cardholder driver".split()
+IDS = ("id", "ids", "no", "number", "code", "key", "uid", "guid", "uuid")
 
 
 def _whole(c: Column, pattern: str) -> Column:
@@ -67,11 +79,14 @@ def _matchers(c: Column) -> dict[str, Column]:
 
 
 def header_kind(name: str) -> str | None:
-    """What a header alone says; headers about a field (`email_count`, `name_length`) don't count."""
-    words = f" {normal_name(name)} "
-    if any(f" {w} " in words for w in ("count", "total", "length", "flag", "status", "type", "rate", "opt", "verified")):
+    """What a header alone says; headers about a field (`email_count`, `address type`) don't count."""
+    words = normal_name(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name)).split()
+    if not words or words[-1] in ABOUT:
         return None
-    return next((kind for kind, names in HEADERS.items() for h in names if f" {h} " in words), None)
+    line = f" {' '.join(words)} "
+    found = next((kind for kind, names in HEADERS.items() for h in names if f" {h} " in line), None)
+    person = any(w in PERSONS for w in words)
+    return found or ("person_id" if person and (words[-1] in IDS or "id" in words) else None)
 
 
 def value_rates(df: DataFrame) -> DataFrame:
@@ -94,7 +109,7 @@ def scan_sensitive(df: DataFrame) -> DataFrame:
     """(column, kind, by_value, by_header, rate, confidence) of columns that seem to hold personal data; never a value.
 
     By value: a pattern matches half of the non-blank text, the best rate wins; person names need 0.6 and 40 % distinct values. By header:
-    any column. confidence: high with both or a value rate of 0.8, medium by value, low by header alone.
+    any column. confidence: high with both or a value rate of 0.8; medium by value, or by a header that is almost always personal; low by other headers.
     """
     good = (F.col("rate") >= F.when(F.col("kind") == "person_name", 0.6).otherwise(0.5)) & ((F.col("kind") != "person_name") | (F.col("distinct_share") >= 0.4))
     best = Window.partitionBy("column").orderBy(F.desc("rate"), "kind")
@@ -102,7 +117,8 @@ def scan_sensitive(df: DataFrame) -> DataFrame:
     heads = df.sparkSession.createDataFrame([(c, k) for c in df.columns if (k := header_kind(c))], "column string, header_kind string")
     both = values.join(heads, "column", "full_outer")
     by_value, by_header = F.col("value_kind").isNotNull(), F.col("header_kind").isNotNull()
-    return both.select("column", F.coalesce("value_kind", "header_kind").alias("kind"), by_value.alias("by_value"), by_header.alias("by_header"), "rate", F.when(by_value & (by_header | (F.col("rate") >= 0.8)), "high").when(by_value, "medium").otherwise("low").alias("confidence"))
+    both = both.withColumn("kind", F.coalesce("value_kind", "header_kind"))
+    return both.select("column", "kind", by_value.alias("by_value"), by_header.alias("by_header"), "rate", F.when(by_value & (by_header | (F.col("rate") >= 0.8)), "high").when(by_value | ~F.col("kind").isin("address", "ip"), "medium").otherwise("low").alias("confidence"))
 
 
 def scan_text_leaks(df: DataFrame, cols: list[str]) -> DataFrame:

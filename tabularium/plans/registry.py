@@ -651,9 +651,9 @@ def keywords(spark, d):
     return X.keywords(table(spark, d, "documents"), "text")
 
 
-@query("""select 'c_name' as "column", 'person_name' as kind, false as by_value, true as by_header, 'low' as confidence""")
+@query("""select 'user_id' as "column", 'person_id' as kind, false as by_value, true as by_header, 'medium' as confidence from events limit 1""")
 def scan_sensitive(spark, d):
-    return X.scan_sensitive(table(spark, d, "customer").withColumnRenamed("c_name", "c_name")).select("column", "kind", "by_value", "by_header", "confidence")
+    return X.scan_sensitive(table(spark, d, "events")).select("column", "kind", "by_value", "by_header", "confidence")
 
 
 @query(f"""select 'text' as "column", 'email' as kind, count(*) filter (where regexp_matches(text, '{X.EMAIL}')) as rows from documents union all select 'text', 'ssn', count(*) filter (where regexp_matches(text, '(^|[^0-9-]){X.SSN}($|[^0-9-])')) from documents union all select 'text', 'card', 0 from documents limit 3""")
@@ -661,9 +661,9 @@ def scan_text_leaks(spark, d):
     return X.scan_text_leaks(table(spark, d, "documents"), ["text"])
 
 
-@query("""select 'c_name' as "column", 'person_name' as kind, 'header' as source, 'low' as confidence, false as blocks""")
+@query("""select 'user_id' as "column", 'person_id' as kind, 'header' as source, 'medium' as confidence, true as blocks from events limit 1""")
 def publish_guard(spark, d):
-    return X.publish_findings(table(spark, d, "customer"))
+    return X.publish_findings(table(spark, d, "events"))
 
 
 @query("select c_custkey, count(*) over (partition by c_mktsegment) as same from customer")

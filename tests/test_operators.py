@@ -56,6 +56,16 @@ def test_coerce_and_profile(spark):
     assert p["a"]["non_null"] == 19 and p["a"]["all_integer"] and p["a"]["sequential"] == 1.0 and p["b"]["distinct"] == 3
 
 
+def test_roles_and_domains(spark):
+    rows = [(f"P{i}", dt.datetime(2023, 1, 1) + dt.timedelta(days=i), "flu asthma".split()[i % 2], "abc"[i % 3], 100.0 + i, 20 + i % 60) for i in range(60)]
+    df = spark.createDataFrame(rows, "Patient_ID string, Admission_Date timestamp_ntz, Condition string, Hospital string, Billing_Amount double, Age int")
+    roles = {r["column"]: r["role"] for r in Q.classify_roles(df).collect()}
+    assert roles == {"Patient_ID": "PATIENT", "Admission_Date": "DATE", "Condition": "CONDITION", "Hospital": "HOSPITAL", "Billing_Amount": "FINANCIAL_METRIC", "Age": "AGE"}
+    p = Q.understand(df)
+    assert (p.domain, p.date, p.measures) == ("healthcare", "Admission_Date", [("Billing_Amount", "sum"), ("Age", "avg")])
+    assert [(c, ok) for c, _, ok in p.dimensions] == [("Condition", True), ("Hospital", True)]
+
+
 def test_quality(spark):
     df = spark.createDataFrame([(1, None, "k"), (1, None, "k"), (2, 3.0, "k"), (3, 4.0, "k")], "a int, b double, c string")
     assert Q.missing_by_column(df).collect() == [Row(column="b", missing_pct=50.0)]
@@ -226,7 +236,7 @@ def test_sensitive(spark):
     df = spark.createDataFrame(rows, "contact string, tel string, pay string, seen string, ssn int")
     got = {r["column"]: r for r in X.scan_sensitive(df).collect()}
     assert {c: r["kind"] for c, r in got.items()} == {"contact": "email", "tel": "phone", "pay": "card", "ssn": "gov_id"}
-    assert got["ssn"]["confidence"] == "low"
+    assert got["ssn"]["confidence"] == "medium" and X.header_kind("email_count") is None and X.header_kind("CustomerID") == "person_id"
     assert "example.com" not in str(X.publish_findings(df).collect())
 
 
