@@ -46,6 +46,12 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % k
 
 
+def hash_sample(df: DataFrame, rows: int, size: int, *keys: str, seed: int = 0) -> DataFrame:
+    """About `size` of `rows` rows, picked by a hash of their keys: the same rows however they are partitioned, and few from each task."""
+    scale = 1 << 40
+    return df if rows <= size else df.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(scale)) < int(scale * size / rows))
+
+
 BLOOM_WORDS = 1 << 16
 
 
@@ -102,10 +108,27 @@ def in_bloom(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make):
+    """One thing that a Python worker keeps for its next tasks of the same kind."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Drops what the worker has kept; tasks of another kind begin with it."""
+    _KEPT.clear()
+
+
 class Hashes(dict):
     """Word (bytes) -> 64-bit hash; a cache of bounded size."""
 
     def __init__(self, seed: int = 0) -> None:
+        release()
         self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
@@ -178,6 +201,7 @@ class WordTable:
     """A row of numbers for each word (bytes), computed for many new words at once; starts anew when it holds `limit` words."""
 
     def __init__(self, compute, width: int, limit: int = CACHE) -> None:
+        release()
         self.compute, self.width, self.limit = compute, width, limit
         self._clear()
 

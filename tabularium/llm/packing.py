@@ -16,15 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabularium.llm.common import as_bytes, slices, split_words, written
+from tabularium.llm.common import as_bytes, kept, slices, split_words, written
 
 TOKENIZER = "word_bpe_49k.json"
 #: Put between chunks that are encoded together: a single token of its own; a chunk that holds it is encoded alone.
 MARK = "`"
-CACHE = 700_000
+CACHE = 600_000
 
 
-#: No byte of the UTF-8 form of a character below U+0180 is greater: such characters are composed already, and lower case needs no context.
+#: No byte of the UTF-8 form of a character below U+0180 is greater: such characters are composed already, and their lower case needs no context.
 LATIN = 0xC5
 
 
@@ -44,12 +44,11 @@ class ChunkIds:
     """Token ids of white-space separated chunks. The tokenizer never looks across white space, so a text's ids are those of its chunks in a row. Bounded."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         # Latin letters alone are one word for the tokenizer's pattern: lower-cased, they need neither it nor the normalizer
-        self.letters = Tokenizer.from_file(path)
-        self.letters.normalizer = normalizers.Sequence([])
+        self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.clear()
@@ -72,11 +71,12 @@ class ChunkIds:
 
     def _learn(self, chunks: list[bytes]) -> None:
         kinds: tuple[list[int], ...] = ([], [], [])
-        words = b" ".join(chunks).decode().split(" ")
-        for i, (c, w) in enumerate(zip(chunks, words, strict=True)):
+        text = b" ".join(chunks).decode()
+        words, lower = text.split(" "), text.lower().split(" ")
+        for i, (c, w) in enumerate(zip(chunks, lower, strict=True)):
             kinds[2 if MARK in w else 0 if w.isalpha() and max(c) <= LATIN else 1].append(i)
         letters, plain, odd = kinds
-        got = [self._joined(" ".join([words[i] for i in letters]).lower().split(" ") if letters else [], self.letters), self._joined([words[i] for i in plain], self.tokenizer)]
+        got = [self._joined([lower[i] for i in letters], self.letters), self._joined([words[i] for i in plain], self.tokenizer)]
         alone = [self.tokenizer.encode(words[i], add_special_tokens=False).ids for i in odd]
         got.append((np.array([x for ids in alone for x in ids], np.uint32), np.array([len(ids) for ids in alone], np.int64)))
         order = np.array(letters + plain + odd)
@@ -113,7 +113,7 @@ def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkIds(path)
+        coder = kept(("chunks", path), lambda: ChunkIds(path))  # the chunks of the worker's earlier tasks are known
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
             for lo, hi in slices(texts):
