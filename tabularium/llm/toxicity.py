@@ -14,14 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import Hashes, WordTable, as_bytes, char_grams, distinct, fold, slices, split_words
+from tabularium.llm.common import Hashes, WordTable, as_bytes, char_grams, distinct, fold, hash_sample, slices, split_words
 
-#: The bounded sample that the network is fitted on: so many labelled documents of each label, none over so many bytes.
-SAMPLE_PER_LABEL, SAMPLE_BYTES = 2500, 20_000
+#: The bounded sample that the network is fitted on: about so many labelled documents of each label, less those over so many bytes.
+SAMPLE_PER_LABEL, SAMPLE_BYTES = 2000, 6_000
 #: Words of a window, and from one window's start to the next's.
 WINDOW, STRIDE = 32, 24
 WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 4096, 1 << 15, (3, 4, 5, 6, 8)
 EMBED, HIDDEN, ATTEND = 4, 8, 8
+#: Gradient steps that a small sample is gone over again for.
+LEAST_STEPS = 240
 #: What a clean text over the threshold costs against a toxic one below it: the sample has far more toxic texts than the corpus.
 FALSE_ALARM = 4
 ODDS = 3  # log odds inputs: word, greatest and mean n-gram
@@ -158,15 +160,40 @@ def backward(par: dict, kept, d_logit: np.ndarray) -> tuple[dict, np.ndarray]:
     return g, d_gate
 
 
-def _odds(keys: np.ndarray, text: np.ndarray, toxic: np.ndarray, buckets: int) -> np.ndarray:
-    """Log odds of a key in toxic against other texts, by the number of texts that hold it, shrunk where they are few."""
-    pairs = distinct(keys.astype(np.int64) * len(toxic) + text)
-    key, of = pairs // len(toxic), pairs % len(toxic)
-    pos, neg = np.bincount(key[toxic[of]], minlength=buckets), np.bincount(key[~toxic[of]], minlength=buckets)
+def _odds(parts, toxic: np.ndarray, buckets: int) -> np.ndarray:
+    """Log odds of a key in toxic against other texts, by the number of texts that hold it, shrunk where they are few.
+
+    parts: for some texts at a time, all their keys and the text of each.
+    """
+    pos, neg = np.zeros(buckets), np.zeros(buckets)
+    for keys, text in parts:
+        pairs = distinct(keys.astype(np.int64) * len(toxic) + text)
+        key, bad = pairs // len(toxic), toxic[pairs % len(toxic)]
+        pos += np.bincount(key[bad], minlength=buckets)
+        neg += np.bincount(key[~bad], minlength=buckets)
     odds = np.log((pos + 0.5) / (toxic.sum() + 1)) - np.log((neg + 0.5) / ((~toxic).sum() + 1))
     return (odds * (pos + neg) / (pos + neg + 5.0)).astype(np.float32)
 
 
+def _vocabulary_parts(vocab: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_parts of many words, some at a time: (word buckets, n-gram buckets, where each word's n-grams begin)."""
+    wide, grams, sizes = [], [], []
+    for i in range(0, len(vocab), 20_000):
+        w, g, who = word_parts(vocab[i : i + 20_000])
+        wide.append(w)
+        grams.append(g)
+        sizes.append(np.bincount(who, minlength=len(w)))
+    if not wide:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64)
+    return np.concatenate(wide), np.concatenate(grams), np.append(0, np.cumsum(np.concatenate(sizes)))
+
+
+def _spread(begin: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the n-grams of these words are, and how many each has."""
+    n = begin[words + 1] - begin[words]
+    return np.repeat(begin[words] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
+
+
 def fit(sample: list[tuple[bytes, int]], seed: int = 0, epochs: int = 4, batch: int = 128) -> Network | None:
     """Trains on labelled texts; None without texts of both labels."""
     toxic = np.array([y == 1 for _, y in sample], bool)
@@ -177,23 +204,30 @@ def fit(sample: list[tuple[bytes, int]], seed: int = 0, epochs: int = 4, batch:
     index: dict[bytes, int] = {}
     ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
     vocab = list(index)
-    wide, grams, who = word_parts(vocab)
-    text = np.repeat(np.arange(len(sample)), np.diff(ends))
-    seen = distinct(ids * len(sample) + text)
-    of_word, of_text = seen // len(sample), seen % len(sample)
-    begin = np.searchsorted(who, np.arange(len(vocab) + 1))
-    n_grams = np.diff(begin)[of_word]
-    cum = np.cumsum(n_grams) - n_grams
-    pick = np.repeat(begin[of_word] - cum, n_grams) + np.arange(n_grams.sum())
+    wide, grams, begin = _vocabulary_parts(vocab)
+
+    def some_texts(of_grams: bool):
+        for i in range(0, len(sample), 50):
+            lo, hi = ends[i], ends[min(i + 50, len(sample))]
+            text = np.repeat(np.arange(i, min(i + 50, len(sample))), np.diff(ends[i : i + 51]))
+            if of_grams:
+                at, n = _spread(begin, ids[lo:hi])
+                yield grams[at], np.repeat(text, n)
+            else:
+                yield wide[ids[lo:hi]], text
+
     normal = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     net = Network(
-        _odds(wide[of_word], of_text, toxic, WORD_BUCKETS * 16), _odds(grams[pick], np.repeat(of_text, n_grams), toxic, GRAM_BUCKETS),
+        _odds(some_texts(False), toxic, WORD_BUCKETS * 16), _odds(some_texts(True), toxic, GRAM_BUCKETS),
         0.1 * normal(WORD_BUCKETS, EMBED), 0.1 * normal(GRAM_BUCKETS, EMBED),
         {"Wf": normal(INPUT, 3 * HIDDEN), "Wb": normal(INPUT, 3 * HIDDEN), "bf": np.zeros(3 * HIDDEN, np.float32), "bb": np.zeros(3 * HIDDEN, np.float32), "Uf": normal(HIDDEN, 3 * HIDDEN), "Ub": normal(HIDDEN, 3 * HIDDEN), "A": normal(2 * HIDDEN, ATTEND), "v": normal(ATTEND, 1)[:, 0], "o": normal(2 * HIDDEN, 1)[:, 0], "c": np.zeros(1, np.float32)},
     )
     # windows: of each toxic text the one whose words have the greatest log odds, of each other text that one and one at random
     of, start, n = windows(ends)
-    per_word = net.inputs(vocab)[:, 2 * EMBED : 2 * EMBED + 2].max(axis=1)[ids] if vocab else np.zeros(0, np.float32)
+    most = np.zeros(len(vocab), np.float32)
+    for i in range(0, len(vocab), 20_000):
+        most[i : i + 20_000] = net.inputs(vocab[i : i + 20_000])[:, 2 * EMBED : 2 * EMBED + 2].max(axis=1)
+    per_word = most[ids]
     at = np.minimum(start[:, None] + np.arange(WINDOW), max(len(ids) - 1, 0))
     hot = np.where(np.arange(WINDOW) < n[:, None], per_word[at] if len(ids) else 0, -9).max(axis=1)
     order = np.lexsort((-hot, of))
@@ -213,8 +247,9 @@ def fit(sample: list[tuple[bytes, int]], seed: int = 0, epochs: int = 4, batch:
         v += 0.01 * (grad * grad - v)
         value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
 
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(take)))
     for epoch in range(epochs):
-        rate = 0.01 * 0.5**epoch
+        rate = 0.01 * 0.125 ** (epoch / epochs)
         mixed = rng.permutation(len(take))
         for i in range(0, len(mixed), batch):
             some = mixed[i : i + batch]
@@ -222,9 +257,7 @@ def fit(sample: list[tuple[bytes, int]], seed: int = 0, epochs: int = 4, batch:
             win = take[some]
             pos = np.minimum(start[win][:, None] + np.arange(WINDOW), max(len(ids) - 1, 0))
             used, inv = np.unique(ids[pos] if len(ids) else np.zeros_like(pos), return_inverse=True)
-            n_g = np.diff(begin)[used]
-            c = np.cumsum(n_g) - n_g
-            mine = np.repeat(begin[used] - c, n_g) + np.arange(n_g.sum())
+            mine, n_g = _spread(begin, used)
             x = net._inputs(wide[used], grams[mine], np.repeat(np.arange(len(used)), n_g))
             inv = inv.reshape(pos.shape)
             share = np.concatenate([x @ net.par["Wf"] + net.par["bf"], x @ net.par["Wb"] + net.par["bb"]], axis=1)
@@ -244,7 +277,7 @@ def fit(sample: list[tuple[bytes, int]], seed: int = 0, epochs: int = 4, batch:
             for k in range(EMBED):
                 net.gram_vec[:, k] -= np.bincount(grams[mine], weights=d_g[:, k], minlength=GRAM_BUCKETS).astype(np.float32)
     # the threshold on whole texts (their worst window) that errs least on the sample
-    share = net.gates(vocab) if vocab else net.gates([b""])
+    share = np.concatenate([net.gates(vocab[i : i + 20_000]) for i in range(0, max(len(vocab), 1), 20_000)]) if vocab else net.gates([b""])
     top = worst(share, ids, ends, net)
     order = np.argsort(top)
     wrong = np.append(0, np.cumsum(toxic[order])) + FALSE_ALARM * np.append((~toxic[order])[::-1].cumsum()[::-1], 0)
@@ -270,12 +303,11 @@ def worst(share: np.ndarray, ids: np.ndarray, ends: np.ndarray, net: Network, li
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
-    """At most SAMPLE_PER_LABEL documents of each label, picked by a hash of the id."""
+    """About SAMPLE_PER_LABEL documents of each label, picked by a hash of the id, less those over SAMPLE_BYTES."""
     named = labels.where("toxic in (0, 1)").select(F.col(id_col).alias("__id"), F.col("toxic").cast("int").alias("__toxic")).dropDuplicates(["__id"])
-    rows = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col).alias("__id"))
-    picked = rows.join(named, "__id").withColumn("h", F.xxhash64("__id", F.lit(17)))
-    ids = [r for y in (0, 1) for r in picked.where(F.col("__toxic") == y).orderBy("h", "__id").limit(SAMPLE_PER_LABEL).select("__id", "__toxic").collect()]
-    label = {r["__id"]: r["__toxic"] for r in ids}
+    known = named.join(docs.select(F.col(id_col).alias("__id")).distinct(), "__id", "left_semi")
+    sizes = {r["__toxic"]: r["n"] for r in known.groupBy("__toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    label = {r["__id"]: y for y, n in sizes.items() for r in hash_sample(known.where(F.col("__toxic") == y), n, SAMPLE_PER_LABEL, "__id", seed=17).collect()}
     if not label:
         return []
     small = docs.sparkSession.createDataFrame([(k,) for k in label], "__id long")
@@ -283,19 +315,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return [(r[1].encode(), label[r[0]]) for r in sorted(got, key=lambda r: (r[0], r[1]))]
 
 
-def score(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, net: Network | None, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """Adds score (0 to 1) and predicted (1 if score >= 0.5) to docs, from all overlapping windows of every whole text.
 
     Null and empty texts have one empty window. Without a network all score 0. Rows stay as they are; columns of these names are replaced.
     """
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(score_col, predicted_col)
     held = docs.sparkSession.sparkContext.broadcast(net)
     names = docs.columns
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
-        table = WordTable(net.gates, 6 * HIDDEN, 200_000) if net else None
+        table = WordTable(net.gates, 6 * HIDDEN, 120_000) if net else None
         for batch in batches:
             texts = as_bytes(batch.column(text_col))
             out = np.zeros(len(texts))
@@ -304,9 +336,9 @@ def score(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataF
                 ids = table.rows(words)
                 top = worst(table.matrix, ids, ends, net)
                 out[lo:hi] = 1 / (1 + np.exp(-np.clip(top - net.shift, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*names, score_col, predicted_col])
 
-    return docs.mapInArrow(run, types + ", score double, predicted int")
+    return docs.mapInArrow(run, types + f", `{score_col}` double, `{predicted_col}` int")
 
 
 def held_out(doc_id: Column) -> Column:
