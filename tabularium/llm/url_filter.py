@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Keys that are sampled to find where ranges are cut, and the most ranges.
+from tabularium.llm.common import hash_sample
+
+#: Keys (about so many) that are sampled to find where ranges are cut, and the most ranges.
 SAMPLE, MOST_RANGES = 4096, 1024
 #: Rows of a range on average.
 RANGE_ROWS = 50_000
@@ -65,9 +67,8 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", salt_col: st
     ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
     cuts: list[str] = []
     if ranges > 1:
-        at = F.xxhash64(F.col(salt_col), F.col(url_col))
-        got = sorted((r[0] for r in keyed.select("__key", at.alias("h")).orderBy("h").limit(SAMPLE).select("__key").collect()), key=lambda s: s.encode())
-        cuts = [got[len(got) * i // ranges] for i in range(1, ranges)]
+        got = sorted((r[0] for r in hash_sample(keyed, n, SAMPLE, salt_col, url_col).select("__key").collect()), key=lambda s: s.encode())
+        cuts = [got[len(got) * i // ranges] for i in range(1, ranges)] if got else []
     cut = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<string>")
 
     def upto(key: Column) -> Column:
