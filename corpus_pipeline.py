@@ -15,7 +15,7 @@ from tabularium.llm.common import written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network predicts to be toxic go."""
     net = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, net).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, net, "text", "__toxicity", "__toxic").where("__toxic = 0").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

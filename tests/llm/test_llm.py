@@ -504,6 +504,26 @@ def test_baum_welch_raises_the_likelihood(spark):
     assert was > -1240 * 0.65
 
 
+def test_clashing_columns(spark):
+    """Extra columns pass through under whatever names; a column that an operator adds replaces one of that name."""
+    names = ["doc", "spans", "a", "b", "n", "score", "predicted", "slot", "shard", "root", "cid", "path", "h", "v", "k", "lang_pred", "item_id", "__gone2"]
+    rng = np.random.default_rng(11)
+    rows = [(i, prose(rng, 70), *[f"{c}{i}" for c in names]) for i in range(12)] + [(12, prose(rng, 3), *[None] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    bench = spark.createDataFrame([(1, "nothing of this kind stands in any of the texts here at all")], "item_id long, text string")
+    kept = sorted(map(tuple, docs.collect()))
+    assert sorted(map(tuple, substring_dedup.dedup_substrings(docs).collect())) == kept
+    assert sorted(map(tuple, ngram_join.one_of_each(docs).collect())) == kept
+    assert sorted(map(tuple, decontamination.remove_contaminated(docs, bench).collect())) == kept
+    assert sorted(toxicity.score(docs, None).columns) == sorted(docs.columns)
+    assert toxicity.score(docs, None, "text", "s", "p").select(*docs.columns).count() == 13
+    assert sorted(sharding.shard(docs, "doc_id", 2).columns) == sorted(docs.columns)
+    assert "ambiguous" in language_id.predict(docs, None).columns
+    model, counts = hmm_lm.train(docs, states=2, frequent=50)
+    assert hmm_lm.score(docs, model, counts).count() == 13
+    assert ngram_join.jaccard_join(docs).count() == 13 and packing.pack(docs).count() == 13
+
+
 # shared helpers
 
 
