@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from tabularium.llm.common import CACHE, as_bytes, bloom, in_bloom, mix, random_words, slices, split_words
 
-#: Token positions that count (1) and that may differ (0).
-MASKS = ("111111", "1101001011", "1100101000111")
-#: Shortest overlap in tokens (an item with fewer must overlap whole), least share of equal tokens, and the
+#: Token positions that count (1) and that may differ (0). One of MASKS lies on equal tokens in each run of OVERLAP tokens or more of which
+#: NEEDED of PARTS are equal (one of 26 or more has such a half); one of SHORT[n] does so in each match of a whole item of n tokens.
+MASKS = ("111111", "11101011", "1101011001", "11001000111")
+SHORT = {5: ("1111", "11011", "11101", "10111"), 6: ("1111", "11011"), 7: ("11011",), 8: ("1111",), 9: ("111011",), 10: ("1111", "11101"), 11: ("11101",), 12: ("1111",)}
+#: Shortest overlap in tokens (an item with fewer must overlap whole), least share of equal tokens (NEEDED of PARTS), and the
 #: least tokens of an item: shorter items are matched by nothing.
-OVERLAP, IDENTITY, SHORTEST = 13, 0.8, 5
+OVERLAP, NEEDED, PARTS, SHORTEST = 13, 4, 5, 5
 #: Benchmark bytes up to which it is sent to every task; a larger one is joined by its seeds' hashes instead.
 BROADCAST_BYTES = 8 << 20
 
@@ -44,11 +46,11 @@ def tokens_of(texts: list[bytes | None], cache: Tokens) -> tuple[np.ndarray, np.
     return h[there], before[ends], place[there]
 
 
-def masks_for(lengths: np.ndarray) -> list[np.ndarray]:
-    """The fixed masks' positions; for items too short for any, an unbroken mask of their length."""
-    out = [np.flatnonzero([c == "1" for c in m]) for m in MASKS]
-    least = min(len(m) for m in MASKS)
-    return out + [np.arange(n) for n in sorted({int(x) for x in lengths if SHORTEST <= x < least})]
+def masks_for(lengths: np.ndarray) -> tuple[list[np.ndarray], dict[int, list[int]]]:
+    """The positions of all masks that items of these lengths need, and for each length which masks its items are sought by (none for items too short)."""
+    own = {n: SHORT.get(n, MASKS) for n in sorted({int(x) for x in lengths if x >= SHORTEST})}
+    names = sorted({m for ms in own.values() for m in ms})
+    return [np.flatnonzero([c == "1" for c in m]) for m in names], {n: [names.index(m) for m in ms] for n, ms in own.items()}
 
 
 def seeds(h: np.ndarray, mask: np.ndarray, number: int) -> np.ndarray:
@@ -64,33 +66,41 @@ def seeds(h: np.ndarray, mask: np.ndarray, number: int) -> np.ndarray:
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
-    """The best run of tokens with doc[shift + j] against item[j]: (first j, tokens, equal tokens), or None if it's no overlap.
+    """The best run of tokens with doc[shift + j] against item[j]: (first j, tokens, equal tokens), or None if there is no overlap.
 
-    Best: greatest sum of 1 for an equal and -2 for a differing token. It must have OVERLAP tokens (or the whole
-    item, if that is shorter) of which IDENTITY are equal.
+    Any run of OVERLAP tokens or more (the whole item, if that is shorter) of which NEEDED of PARTS are equal is an overlap. Best: most equal tokens,
+    then the first; without differing tokens at its ends as far as the least length allows.
     """
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-    if hi - lo < min(OVERLAP, len(item)):
+    least = min(OVERLAP, len(item))
+    if hi - lo < least:
         return None
     same = doc[lo + shift : hi + shift] == item[lo:hi]
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    rise = total - np.minimum.accumulate(total)
-    b = int(rise.argmax())
-    a = int(total[: b + 1].argmin()) if b else 0
-    n, equal = b - a, int(same[a:b].sum())
-    if n < min(OVERLAP, len(item)) or equal < IDENTITY * n:
+    equal = np.concatenate([[0], np.cumsum(same)])
+    above = equal * PARTS - np.arange(len(equal)) * NEEDED  # a run qualifies where this doesn't fall
+    last = np.arange(least, len(equal))
+    first = np.searchsorted(-np.minimum.accumulate(above), -above[last], "left")  # the smallest begin that qualifies
+    gain = np.where(last - first >= least, equal[last] - equal[first], -1)
+    k = int(gain.argmax())
+    if gain[k] < 0:
         return None
-    return lo + a, n, equal
+    a, b, n = int(first[k]), int(last[k]), int(gain[k])
+    there = np.flatnonzero(same[a:b])
+    start, end = a + int(there[0]), a + int(there[-1]) + 1
+    if end - start < least:
+        start = min(start, b - least)
+        end = start + least
+    return lo + start, end - start, n
 
 
 def _verified(ids, texts: list[np.ndarray], places: list[np.ndarray], who: np.ndarray, item: np.ndarray, shift: np.ndarray, items: dict) -> list[tuple]:
-    """One row for each document and item that overlap: their longest overlap."""
+    """One row for each document and item that overlap: their overlap with the most equal tokens, then the fewest tokens."""
     best: dict[tuple, tuple] = {}
     for d, i, s in zip(who.tolist(), item.tolist(), shift.tolist(), strict=True):
         got = overlap(texts[d], items[i], s)
-        if got and (best.get((d, i), (0, 0))[:2] < (got[2], got[1])):
-            best[d, i] = (got[2], got[1], got[0], int(places[d][got[0] + s]), int(places[d][got[0] + s + got[1] - 1]) + 1)
-    return [(int(ids[d]), i, b[3], b[4], b[2], b[1], b[0], b[0] / len(items[i])) for (d, i), b in best.items()]
+        if got and ((d, i) not in best or best[d, i][0] < (got[2], -got[1], -s)):
+            best[d, i] = ((got[2], -got[1], -s), int(places[d][got[0] + s]), int(places[d][got[0] + s + got[1] - 1]) + 1, *got)
+    return [(int(ids[d]), i, *b[1:], b[-1] / len(items[i])) for (d, i), b in best.items()]
 
 
 SCHEMA = "doc_id long, item_id long, word_start int, word_end int, item_start int, n_tokens int, n_equal int, coverage double"
@@ -103,7 +113,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Documents that overlap benchmark items: one row for each (document, item), with the longest overlap.
+    """Documents that overlap benchmark items: one row for each (document, item), with the overlap of the most equal tokens.
 
     Tokens are words without anything but letters and digits, in lower case. Columns: doc_id, item_id, word_start, word_end
     (words of the document), item_start, n_tokens, n_equal and coverage (equal tokens over the item's tokens). Null ids and
@@ -121,17 +131,15 @@ def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = items.orderBy("item_id").collect()
     h, ends, _ = tokens_of([r["item"].encode() for r in rows], Tokens())
     texts = {r["item_id"]: h[ends[k] : ends[k + 1]] for k, r in enumerate(rows)}
-    masks = masks_for(np.diff(ends))
-    least = min(len(m) for m in MASKS)
+    masks, own = masks_for(np.diff(ends))
     keys, who, place = [], [], []
-    for number, mask in enumerate(masks):
-        for i, t in texts.items():
-            if len(t) >= SHORTEST and (number < len(MASKS) or len(t) == len(mask) < least):
-                s = seeds(t, mask, number)
-                keys.append(s)
-                who.append(np.full(len(s), i, np.int64))
-                place.append(np.arange(len(s)))
-    keys, who, place = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((keys, np.uint64), (who, np.int64), (place, np.int64)))
+    for at, t in enumerate(texts.values()):
+        for number in own.get(len(t), ()):
+            s = seeds(t, masks[number], number)
+            keys.append(s)
+            who.append(np.full(len(s), at, np.int32))
+            place.append(np.arange(len(s), dtype=np.int32))
+    keys, who, place = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((keys, np.uint64), (who, np.int32), (place, np.int32)))
     order = np.argsort(keys, kind="stable")
     held = docs.sparkSession.sparkContext.broadcast((keys[order], who[order], place[order], masks, texts))
 
@@ -139,6 +147,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
         keys, who, place, masks, items = held.value
         if not len(keys):
             return
+        numbers = np.array(list(items), np.int64)
         bits = np.zeros(1 << 22, bool)
         low = np.uint64(len(bits) - 1)
         bits[(keys & low).astype(np.int64)] = True
@@ -158,7 +167,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
                         pos = np.repeat(at, n)
                         doc = np.searchsorted(ends, pos, side="right") - 1
                         whole = pos + int(mask[-1]) < ends[doc + 1]
-                        found.append(np.stack([doc, who[pick], pos - ends[doc] - place[pick]])[:, whole])
+                        found.append(np.stack([doc, numbers[who[pick]], pos - ends[doc] - place[pick]])[:, whole])
                 if found and (hits := np.unique(np.concatenate(found, axis=1), axis=1)).shape[1]:
                     per = {d: h[ends[d] : ends[d + 1]] for d in np.unique(hits[0]).tolist()}
                     at = {d: places[ends[d] : ends[d + 1]] for d in per}
@@ -170,11 +179,11 @@ def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Both sides' seeds meet in a shuffled join; a Bloom filter keeps most training seeds out of it."""
-    lengths = items.mapInArrow(_lengths, "n int").distinct().where(f"n < {min(map(len, MASKS))}").collect()  # a few numbers
-    masks = masks_for(np.array([r["n"] for r in lengths]))
-    ours = items.select(F.col("item_id").alias("id"), F.col("item").alias("text")).mapInArrow(_emit(masks, None, True), "id long, place int, h long").select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "h")
+    lengths = items.mapInArrow(_lengths, "n int").select(F.least("n", F.lit(OVERLAP)).alias("n")).distinct().collect()  # a few numbers
+    masks, own = masks_for(np.array([r["n"] for r in lengths]))
+    ours = items.select(F.col("item_id").alias("id"), F.col("item").alias("text")).mapInArrow(_emit(masks, own, None), "id long, place int, h long").select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "h")
     bits = docs.sparkSession.sparkContext.broadcast(bloom(ours, "h", 1 << 18))
-    theirs = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(_emit(masks, bits, False), "id long, place int, h long")
+    theirs = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(_emit(masks, None, bits), "id long, place int, h long")
     hits = theirs.join(ours, "h").select(F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     pairs = hits.groupBy("doc_id", "item_id").agg(F.collect_list("shift").alias("shifts"))
     rows = docs.dropDuplicates(["doc_id"]).join(pairs, "doc_id").join(items, "item_id").select("doc_id", "text", "item_id", "item", "shifts")
@@ -200,8 +209,8 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.diff(ends).astype(np.int32))], names=["n"])
 
 
-def _emit(masks: list[np.ndarray], bits, short: bool):
-    """Seeds (id, token position, hash) of all texts; short: items, of which short masks see those of their length alone."""
+def _emit(masks: list[np.ndarray], own: dict[int, list[int]] | None, bits):
+    """Seeds (id, token position, hash) of all texts; own: the texts are items, and each is seen by the masks of its length alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Tokens()
@@ -217,8 +226,8 @@ def _emit(masks: list[np.ndarray], bits, short: bool):
                         pos = np.flatnonzero(in_bloom(bits.value, s.view(np.int64)))
                     doc = np.searchsorted(ends, pos, side="right") - 1
                     ok = pos + int(mask[-1]) < ends[doc + 1]
-                    if short:
-                        ok &= (n[doc] >= SHORTEST) & ((number < len(MASKS)) | (n[doc] == len(mask)))
+                    if own is not None:
+                        ok &= np.isin(np.minimum(n[doc], OVERLAP), [x for x, numbers in own.items() if number in numbers])
                     pos, doc = pos[ok], doc[ok]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc].astype(np.int64)), pa.array((pos - ends[doc]).astype(np.int32)), pa.array(s[pos].view(np.int64))], names=["id", "place", "h"])
 

@@ -242,6 +242,64 @@ def test_planted_benchmark(spark, odd, empty, limit):
     assert sorted(r["doc_id"] for r in decontamination.remove_contaminated(docs, bench).collect()) == [i for i in range(30) if i not in {d for d, _ in want}]
 
 
+def overlaps(doc, item, shift):
+    """(equal, first j, tokens) of every run of 13 tokens or a whole shorter item, of which 80 % are equal, by the definition."""
+    lo, hi, least = max(0, -shift), min(len(item), len(doc) - shift), min(13, len(item))
+    same = [doc[j + shift] == item[j] for j in range(lo, hi)]
+    return [(sum(same[a:b]), lo + a, b - a) for a in range(hi - lo) for b in range(a + least, hi - lo + 1) if sum(same[a:b]) * 5 >= (b - a) * 4]
+
+
+def test_overlap_by_definition():
+    rng = np.random.default_rng(12)
+    for n in [*range(5, 31)] * 20:
+        item = rng.integers(1, 1000, n).astype(np.uint64)
+        doc = np.where(rng.random(n) < rng.choice([0.1, 0.2, 0.3]), np.uint64(0), item)
+        doc, shift = np.concatenate([rng.integers(1, 1000, 5).astype(np.uint64), doc])[: n + 5 - int(rng.integers(3))], 5
+        want, got = overlaps(doc.tolist(), item.tolist(), shift), decontamination.overlap(doc, item, shift)
+        assert (got is None) == (not want)
+        if got:
+            assert (got[2], got[0], got[1]) in want and got[2] == max(w[0] for w in want)
+
+
+@pytest.mark.parametrize("n", range(5, 26))
+def test_all_placements_of_changed_tokens(n):
+    """Longer runs have a half that is one of 13 to 25 tokens."""
+    masks, own = decontamination.masks_for(np.array([n]))
+    item = np.arange(1, n + 1).astype(np.uint64)
+    at = np.array(list(itertools.combinations(range(n), n // 5)))
+    changed = np.zeros((len(at), n), bool)
+    np.put_along_axis(changed, at, True, 1)
+    hit = np.zeros(len(at), bool)
+    for mask in (masks[k] for k in own[n]):
+        for place in range(n - int(mask[-1])):
+            hit |= ~changed[:, place + mask].any(1)
+    assert hit.all()
+    for row in changed[:: max(1, len(at) // 1000)]:
+        assert decontamination.overlap(np.where(row, np.uint64(0), item), item, 0) is not None
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_changed_passages(spark, limit):
+    """Few changed tokens, wherever they are, hide neither a passage of a longer item nor a short item."""
+    rng = np.random.default_rng(14)
+    items = [" ".join(f"i{k}x{j}" for j in range(n)) for k, n in enumerate((5, 8, 9, 10, 12, 13, 14, 15, 20, 40))]
+    texts, want = [], set()
+    for k, item in enumerate(items):
+        words = item.split()[:20]
+        for _ in range(20):
+            w = list(words)
+            for j in rng.choice(len(w), len(w) // 5, replace=False):
+                w[j] = "changed"
+            want.add((len(texts), k))
+            texts.append(prose(rng, 20) + " " + " ".join(w) + " " + prose(rng, 20))
+    w = items[9].split()
+    want.add((len(texts), 9))  # two verbatim quotes of 13 words with 14 other words between
+    texts.append(" ".join([*w[:13], *["new"] * 14, *w[27:]]))
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = decontamination.contamination(docs_of(spark, texts), bench, broadcast_bytes=limit).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted(want)
+
+
 # substring dedup
 
 
