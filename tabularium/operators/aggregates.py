@@ -89,9 +89,9 @@ def ad_hoc(df: DataFrame, agg: str, measure: str, dim1: str, dim2: str | None =
 
 
 def scatter(df: DataFrame, x: str, y: str, color: str | None = None, n: int = 400) -> DataFrame:
-    """(x, y, color) of at most n complete rows, picked by a hash of the row."""
+    """(x, y, color) of at most n complete rows, picked at random."""
     rows = df.select(number(x).alias("x"), number(y).alias("y"), (F.col(color).cast("string") if color else F.lit(None).cast("string")).alias("color"))
-    return rows.where("x is not null and y is not null").orderBy(F.xxhash64("x", "y", "color"), "x", "y").limit(n)
+    return rows.where("x is not null and y is not null").orderBy(F.rand(0)).limit(n)
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:

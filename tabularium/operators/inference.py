@@ -13,18 +13,27 @@ from pyspark.sql.window import Window
 from tabularium.functions import stats as S
 from tabularium.operators.common import number
 
-#: Rows that a bootstrap resamples at most, picked by hash; draws of a task.
+#: Cells that a bootstrap deals all rows of a group into at most (up to so many rows, each is a cell); draws of a task.
 SAMPLE, BLOCK = 20_000, 250
 
 
-def _sample(df: DataFrame, n: int = SAMPLE) -> DataFrame:
-    return df.orderBy(F.xxhash64(*df.columns)).limit(n)
+def _sample(df: DataFrame, n: int = SAMPLE, seed: int = 0) -> DataFrame:
+    """n rows at random: rows of equal values are picked independently."""
+    return df.orderBy(F.rand(seed)).limit(n)
+
+
+def _cells(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """(g, s, k): sum and count of v of all rows, by g, in cells dealt at random. Resampled cells give sums and means the spread that resampled rows give them."""
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("__n"))
+    cell = F.when(F.col("__n") <= SAMPLE, F.col("__row")).otherwise(F.floor(F.col("__rand") * SAMPLE))
+    dealt = rows.withColumns({"__row": F.monotonically_increasing_id(), "__rand": F.rand(seed)}).join(F.broadcast(sizes), "g")
+    return dealt.groupBy("g", cell.alias("cell")).agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("k")).select("g", "s", "k")
 
 
 def kpi_intervals(df: DataFrame, measures: list[tuple[str, str]], n_boot: int = 1000, seed: int = 0) -> DataFrame:
     """(measure, agg, n, point, low, high, margin_pct) for up to six measures with 10 values.
 
-    The point is exact. The 95 % interval resamples the mean of at most 20,000 rows, in blocks of draws as separate tasks; sums are scaled by the true n.
+    The point is exact. The 95 % interval resamples the mean of all rows, dealt into at most 20,000 cells, in blocks of draws as separate tasks; sums are scaled by the true n.
     """
     out = None
     for m, how in measures[:6]:
@@ -32,12 +41,14 @@ def kpi_intervals(df: DataFrame, measures: list[tuple[str, str]], n_boot: int =
         point = v.agg(F.count("v").alias("n"), (F.sum("v") if how == "sum" else F.avg("v")).alias("point")).where("n >= 10")
 
         def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-            x, block = pdf["v"].to_numpy(), int(pdf["block"].iloc[0])
+            pdf, block = pdf.sort_values(["s", "k"]), int(pdf["block"].iloc[0])
+            s, k = pdf["s"].to_numpy(), pdf["k"].to_numpy()
             rng = np.random.default_rng([seed, block])
-            return pd.DataFrame({"mean": [x[rng.integers(0, len(x), len(x))].mean() for _ in range(min(BLOCK, n_boot - block * BLOCK))]})
+            picks = (rng.integers(0, len(s), len(s)) for _ in range(min(BLOCK, n_boot - block * BLOCK)))
+            return pd.DataFrame({"mean": [s[i].sum() / k[i].sum() for i in picks]})
 
         blocks = df.sparkSession.range(-(-n_boot // BLOCK)).select(F.col("id").alias("block"))
-        means = _sample(v).crossJoin(F.broadcast(blocks)).groupBy("block").applyInPandas(draw, "mean double")
+        means = _cells(v.withColumn("g", F.lit("all")), seed).crossJoin(F.broadcast(blocks)).groupBy("block").applyInPandas(draw, "mean double")
         band = means.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
         scale = F.col("n") if how == "sum" else F.lit(1)
         part = point.crossJoin(F.broadcast(band)).select(F.lit(m).alias("measure"), F.lit(how).alias("agg"), "n", "point", (F.col("q")[0] * scale).alias("low"), (F.col("q")[1] * scale).alias("high"))
@@ -46,38 +57,40 @@ def kpi_intervals(df: DataFrame, measures: list[tuple[str, str]], n_boot: int =
 
 
 def bootstrap_claim(df: DataFrame, kind: str, value: str, group: str | None = None, level: str | None = None, other: str | None = None, reference: float = 0.0, draws: int = 300, seed: int = 0) -> DataFrame:
-    """(kind, low, high, valid, significant) of a claim on a capped hash sample, resampled within groups; two rows in each group at least.
+    """(kind, low, high, valid, significant) of a claim on all rows, resampled within groups (in cells, see _cells); two rows in each group at least.
 
     kind: share (of `level` in the sum of value, %), gap (mean of level less that of other), change (of other's mean to level's, %), mean. Significant:
     the 95 % interval excludes the reference, and half of the draws at least are defined.
     """
-    rows = _sample(df.select(number(value).alias("v"), (F.col(group).cast("string") if group else F.lit("all")).alias("g")).where("v is not null and g is not null"))
+    g = F.col(group).cast("string") if group else F.lit("all")
+    side = F.when(g == level, "a").when(g == other if other is not None else g.isNotNull(), "b") if level is not None else F.when(g == other, "b").otherwise("a") if other is not None else F.lit("a")
+    rows = df.select(number(value).alias("v"), g.alias("g"), side.alias("side")).where("v is not null and g is not null and side is not null").select("v", F.col("side").alias("g"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, g = pdf["v"].to_numpy(), pdf["g"].to_numpy()
-        a = v[g == level] if level is not None else v
-        b = v[g == other] if other is not None else v[g != level] if level is not None else v
+        pdf = pdf.sort_values(["s", "k"])
+        a, b = (pdf[pdf["g"] == x][["s", "k"]].to_numpy() for x in "ab")
+        if level is None:  # of all rows
+            a, b = pdf[["s", "k"]].to_numpy(), b if other is not None else a
         if len(a) < 2 or (kind != "mean" and len(b) < 2):
             return pd.DataFrame({"low": [np.nan], "high": [np.nan], "valid": [0]})
         rng = np.random.default_rng(seed)
         got = []
         for _ in range(draws):
-            x, y = a[rng.integers(0, len(a), len(a))], b[rng.integers(0, len(b), len(b))] if len(b) else b
+            (x, nx), (y, ny) = (c[rng.integers(0, len(c), len(c))].sum(axis=0) if len(c) else (0.0, 0.0) for c in (a, b))
             if kind == "share":
-                total = x.sum() + y.sum()
-                got.append(x.sum() / total * 100 if total else np.nan)
+                got.append(x / (x + y) * 100 if x + y else np.nan)
             elif kind == "gap":
-                got.append(x.mean() - y.mean())
+                got.append(x / nx - y / ny)
             elif kind == "change":
-                got.append((x.mean() - y.mean()) / abs(y.mean()) * 100 if y.mean() else np.nan)
+                got.append((x / nx - y / ny) / abs(y / ny) * 100 if y else np.nan)
             else:
-                got.append(x.mean())
+                got.append(x / nx)
         got = np.array(got)
         ok = got[np.isfinite(got)]
         low, high = np.percentile(ok, [2.5, 97.5]) if len(ok) else (np.nan, np.nan)
         return pd.DataFrame({"low": [low], "high": [high], "valid": [len(ok)]})
 
-    out = rows.groupBy(F.lit(kind).alias("kind")).applyInPandas(run, "low double, high double, valid long")
+    out = _cells(rows, seed).groupBy(F.lit(kind).alias("kind")).applyInPandas(run, "low double, high double, valid long")
     beyond = (F.col("low") > reference) | (F.col("high") < reference)
     return out.select(F.lit(kind).alias("kind"), "low", "high", "valid", (beyond & (F.col("valid") >= draws / 2)).alias("significant"))
 
@@ -114,7 +127,8 @@ def ab_test(df: DataFrame, group: str, a: str, b: str, outcome: str, seed: int =
     """One row of a two-group test of a numeric outcome; five rows in each group.
 
     Welch's t with interval and bias-corrected effect size; Mann-Whitney leads where a group has fewer than 30 rows and isn't normal
-    (Shapiro-Wilk p < 0.05), with an interval of the difference of medians from the bootstrap. The other test stands beside it.
+    (Shapiro-Wilk p < 0.05), with an interval of the difference of medians from the bootstrap
+    (of 20,000 random rows of a group that has more). The other test stands beside it.
     """
     rows = df.where(F.col(group).cast("string").isin(a, b)).select(F.when(F.col(group).cast("string") == a, "a").otherwise("b").alias("g"), number(outcome).alias("v")).where("v is not null")
     m = {r["g"]: r for r in rows.groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("var"), F.count_if(F.abs("v") == float("inf")).alias("inf")).collect()}

@@ -174,7 +174,7 @@ def anomalies(df: DataFrame, cols: list[str], id_cols: list[str], n: int = 50) -
 def segments(df: DataFrame, cols: list[str], k_range: tuple[int, int] = (2, 5), sample: int = 5000, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(df with segment, summary): k-means on up to six standardized measures; k by silhouette.
 
-    Fitted on a bounded sample by hash (`sample` rows), every complete row is assigned. Segments are numbered by size; the summary has a
+    Fitted on a bounded random sample (`sample` rows), every complete row is assigned. Segments are numbered by size; the summary has a
     row for each segment and measure: mean, z and whether |z| >= 0.35 makes it a trait (two at most).
     """
     from pyspark.ml.clustering import KMeans
@@ -191,7 +191,7 @@ def segments(df: DataFrame, cols: list[str], k_range: tuple[int, int] = (2, 5),
     mid = {c: float(mean[i]) for c, i in zip(names, keep, strict=True)}
     scaled = df.where(_complete(names)).withColumns({f"__z{i}": (number(c) - mid[c]) / sd[c] for i, c in enumerate(names)})
     ready = VectorAssembler(inputCols=[f"__z{i}" for i in range(len(names))], outputCol="__v").transform(scaled)
-    fitted = ready.orderBy(F.xxhash64(*(f"__z{i}" for i in range(len(names))))).limit(sample).select("__v").persist()
+    fitted = ready.orderBy(F.rand(seed)).limit(sample).select("__v").persist()
     judge = ClusteringEvaluator(featuresCol="__v", predictionCol="p")
     models = [KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="p", maxIter=30).fit(fitted) for k in range(k_range[0], k_range[1] + 1)]
     best = max(models, key=lambda m: judge.evaluate(m.transform(fitted)))

@@ -256,3 +256,24 @@ def test_keywords(spark):
 @pytest.mark.parametrize("f", [lambda d: A.trend(d, "d", "v"), lambda d: A.histogram(d, "v"), lambda d: Q.quality_score(d), lambda d: R.correlations(d, ["v", "w"]), lambda d: S.period_comparison(d, "d", "v"), lambda d: E.cohorts(d, "k", "d"), lambda d: X.keywords(d, "k"), lambda d: Q.outlier_summary(d, ["v"])])
 def test_empty_tables(spark, f):
     f(spark.createDataFrame([], "d timestamp_ntz, k string, v double, w double")).collect()
+
+
+def test_many_rows_of_few_values(spark):
+    """Intervals over more rows than a bootstrap has cells: as wide as the theory says, round the point."""
+    n, few = 100_000, 50
+    df = spark.range(n).select((F.col("id") % few).cast("double").alias("v"), F.when(F.col("id") < 3 * few, "rare").otherwise("rest").alias("g"))
+    half = 1.96 * np.sqrt((few**2 - 1) / 12 / n)
+    r = I.kpi_intervals(df, [("v", "avg")]).first()
+    assert r["point"] == pytest.approx(24.5) and r["low"] == pytest.approx(24.5 - half, abs=half / 5) and r["high"] == pytest.approx(24.5 + half, abs=half / 5)
+    c = I.bootstrap_claim(df, "gap", "v", "g", "rare", reference=-9.0).first()
+    wide = 1.96 * np.sqrt((few**2 - 1) / 12 / 150)
+    assert c["valid"] == 300 and c["significant"] and c["low"] == pytest.approx(-wide, abs=wide / 3) and c["high"] == pytest.approx(wide, abs=wide / 3)
+    s = I.bootstrap_claim(df, "share", "v", "g", "rare").first()
+    assert s["low"] < 0.15 < s["high"] < 0.25
+
+
+def test_samples_pick_rows(spark):
+    df = spark.range(30_000).select((F.col("id") % 3).cast("double").alias("x"), (F.col("id") % 3 * 10).cast("double").alias("y"))
+    assert A.scatter(df, "x", "y").select("x").distinct().count() == 3
+    assert {r["x"]: r["n"] > 6000 for r in I._sample(df).groupBy("x").agg(F.count("x").alias("n")).collect()} == {0.0: True, 1.0: True, 2.0: True}
+    assert sorted(r["size"] for r in R.segments(df, ["x", "y"])[1].select("segment", "size").distinct().collect()) == [10_000] * 3
