@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import Hashes, WordTable, as_bytes, char_grams, distinct, fold, hash_sample, slices, split_words
+from tabularium.llm.common import Hashes, WordTable, as_bytes, char_grams, distinct, fold, hash_sample, slices, split_words, written
 
-#: The bounded sample that the network is fitted on: about so many labelled documents of each label, less those over so many bytes.
-SAMPLE_PER_LABEL, SAMPLE_BYTES = 2000, 6_000
+#: The bounded sample that the network is fitted on: about so many labelled documents of each label. Of one over so many bytes the gradient steps
+#: see so many words about its window of the greatest log odds; log odds and threshold come from whole texts.
+SAMPLE_PER_LABEL, SAMPLE_BYTES, PASSAGE = 2000, 6_000, 128
 #: Words of a window, and from one window's start to the next's.
 WINDOW, STRIDE = 32, 24
 WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 4096, 1 << 15, (3, 4, 5, 6, 8)
@@ -26,6 +27,7 @@ EMBED, HIDDEN, ATTEND = 4, 8, 8
 LEAST_STEPS = 240
 #: What a clean text over the threshold costs against a toxic one below it: the sample has far more toxic texts than the corpus.
 FALSE_ALARM = 4
+WORD_KEYS = WORD_BUCKETS * 16
 ODDS = 3  # log odds inputs: word, greatest and mean n-gram
 INPUT = 2 * EMBED + ODDS
 
@@ -39,7 +41,7 @@ def word_parts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lower = b" ".join(words).decode("utf-8", "replace").lower().encode().split(b" ")
     h = Hashes(3).of(lower)
     grams, who = char_grams(words, GRAMS, GRAM_BUCKETS)
-    return (h % np.uint64(WORD_BUCKETS * 16)).astype(np.int64), grams, who
+    return (h % np.uint64(WORD_KEYS)).astype(np.int64), grams, who
 
 
 @dataclass
@@ -160,21 +162,70 @@ def backward(par: dict, kept, d_logit: np.ndarray) -> tuple[dict, np.ndarray]:
     return g, d_gate
 
 
-def _odds(parts, toxic: np.ndarray, buckets: int) -> np.ndarray:
-    """Log odds of a key in toxic against other texts, by the number of texts that hold it, shrunk where they are few.
-
-    parts: for some texts at a time, all their keys and the text of each.
-    """
+def _counts(parts, toxic: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many toxic and how many other texts hold a key. parts: for some texts at a time, all their keys and the text of each."""
     pos, neg = np.zeros(buckets), np.zeros(buckets)
     for keys, text in parts:
         pairs = distinct(keys.astype(np.int64) * len(toxic) + text)
         key, bad = pairs // len(toxic), toxic[pairs % len(toxic)]
         pos += np.bincount(key[bad], minlength=buckets)
         neg += np.bincount(key[~bad], minlength=buckets)
-    odds = np.log((pos + 0.5) / (toxic.sum() + 1)) - np.log((neg + 0.5) / ((~toxic).sum() + 1))
+    return pos, neg
+
+
+def _odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Log odds of a key in toxic against other texts, by the number of texts that hold it, shrunk where they are few."""
+    odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
     return (odds * (pos + neg) / (pos + neg + 5.0)).astype(np.float32)
 
 
+@dataclass
+class Texts:
+    """Texts as ids of their words, with their words' parts."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+    vocab: list[bytes]
+    wide: np.ndarray
+    grams: np.ndarray
+    begin: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Texts:
+        words, ends = split_words(texts)
+        index: dict[bytes, int] = {}
+        ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+        vocab = list(index)
+        return cls(ids, ends, vocab, *_vocabulary_parts(vocab))
+
+    def keys(self, of_grams: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The word or n-gram buckets of all words of some texts at a time, and the text of each."""
+        count = len(self.ends) - 1
+        for i in range(0, count, 50):
+            lo, hi = self.ends[i], self.ends[min(i + 50, count)]
+            text = np.repeat(np.arange(i, min(i + 50, count)), np.diff(self.ends[i : i + 51]))
+            if of_grams:
+                at, n = _spread(self.begin, self.ids[lo:hi])
+                yield self.grams[at], np.repeat(text, n)
+            else:
+                yield self.wide[self.ids[lo:hi]], text
+
+    def counts(self, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many toxic and how many other texts hold each word bucket, then each n-gram bucket."""
+        both = [_counts(self.keys(False), toxic, WORD_KEYS), _counts(self.keys(True), toxic, GRAM_BUCKETS)]
+        return np.concatenate([both[0][0], both[1][0]]), np.concatenate([both[0][1], both[1][1]])
+
+    def heat(self, net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The windows (text, first word, words) and the greatest log odds of a word in each."""
+        most = np.zeros(len(self.vocab), np.float32)
+        for i in range(0, len(self.vocab), 20_000):
+            most[i : i + 20_000] = net.inputs(self.vocab[i : i + 20_000])[:, 2 * EMBED : 2 * EMBED + 2].max(axis=1)
+        of, start, n = windows(self.ends)
+        per_word = most[self.ids]
+        at = np.minimum(start[:, None] + np.arange(WINDOW), max(len(self.ids) - 1, 0))
+        return of, start, n, np.where(np.arange(WINDOW) < n[:, None], per_word[at] if len(self.ids) else 0, -9).max(axis=1)
+
+
 def _vocabulary_parts(vocab: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """word_parts of many words, some at a time: (word buckets, n-gram buckets, where each word's n-grams begin)."""
     wide, grams, sizes = [], [], []
@@ -194,42 +245,24 @@ def _spread(begin: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(begin[words] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
 
 
-def fit(sample: list[tuple[bytes, int]], seed: int = 0, epochs: int = 4, batch: int = 128) -> Network | None:
-    """Trains on labelled texts; None without texts of both labels."""
+def fit(sample: list[tuple[bytes, int]], seed: int = 0, epochs: int = 4, batch: int = 128, odds: np.ndarray | None = None) -> Network | None:
+    """Trains on labelled texts; None without texts of both labels. odds: the log odds of all word and n-gram buckets, where known from more text."""
     toxic = np.array([y == 1 for _, y in sample], bool)
     if not toxic.any() or toxic.all():
         return None
     rng = np.random.default_rng(seed)
-    words, ends = split_words([t for t, _ in sample])
-    index: dict[bytes, int] = {}
-    ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-    vocab = list(index)
-    wide, grams, begin = _vocabulary_parts(vocab)
-
-    def some_texts(of_grams: bool):
-        for i in range(0, len(sample), 50):
-            lo, hi = ends[i], ends[min(i + 50, len(sample))]
-            text = np.repeat(np.arange(i, min(i + 50, len(sample))), np.diff(ends[i : i + 51]))
-            if of_grams:
-                at, n = _spread(begin, ids[lo:hi])
-                yield grams[at], np.repeat(text, n)
-            else:
-                yield wide[ids[lo:hi]], text
-
+    texts = Texts.of([t for t, _ in sample])
+    ids, ends, vocab, wide, grams, begin = texts.ids, texts.ends, texts.vocab, texts.wide, texts.grams, texts.begin
+    if odds is None:
+        odds = _odds(*texts.counts(toxic), toxic.sum(), (~toxic).sum())
     normal = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     net = Network(
-        _odds(some_texts(False), toxic, WORD_BUCKETS * 16), _odds(some_texts(True), toxic, GRAM_BUCKETS),
+        odds[:WORD_KEYS], odds[WORD_KEYS:],
         0.1 * normal(WORD_BUCKETS, EMBED), 0.1 * normal(GRAM_BUCKETS, EMBED),
         {"Wf": normal(INPUT, 3 * HIDDEN), "Wb": normal(INPUT, 3 * HIDDEN), "bf": np.zeros(3 * HIDDEN, np.float32), "bb": np.zeros(3 * HIDDEN, np.float32), "Uf": normal(HIDDEN, 3 * HIDDEN), "Ub": normal(HIDDEN, 3 * HIDDEN), "A": normal(2 * HIDDEN, ATTEND), "v": normal(ATTEND, 1)[:, 0], "o": normal(2 * HIDDEN, 1)[:, 0], "c": np.zeros(1, np.float32)},
     )
     # windows: of each toxic text the one whose words have the greatest log odds, of each other text that one and one at random
-    of, start, n = windows(ends)
-    most = np.zeros(len(vocab), np.float32)
-    for i in range(0, len(vocab), 20_000):
-        most[i : i + 20_000] = net.inputs(vocab[i : i + 20_000])[:, 2 * EMBED : 2 * EMBED + 2].max(axis=1)
-    per_word = most[ids]
-    at = np.minimum(start[:, None] + np.arange(WINDOW), max(len(ids) - 1, 0))
-    hot = np.where(np.arange(WINDOW) < n[:, None], per_word[at] if len(ids) else 0, -9).max(axis=1)
+    of, start, n, hot = texts.heat(net)
     order = np.lexsort((-hot, of))
     best = order[np.append(True, of[order][1:] != of[order][:-1])]
     order = np.lexsort((rng.random(len(of)), of))
@@ -276,16 +309,19 @@ def fit(sample: list[tuple[bytes, int]], seed: int = 0, epochs: int = 4, batch:
             d_g = np.repeat(rate * 10 * d_x[:, EMBED : 2 * EMBED] / np.maximum(n_g, 1)[:, None], n_g, axis=0)
             for k in range(EMBED):
                 net.gram_vec[:, k] -= np.bincount(grams[mine], weights=d_g[:, k], minlength=GRAM_BUCKETS).astype(np.float32)
-    # the threshold on whole texts (their worst window) that errs least on the sample
     share = np.concatenate([net.gates(vocab[i : i + 20_000]) for i in range(0, max(len(vocab), 1), 20_000)]) if vocab else net.gates([b""])
-    top = worst(share, ids, ends, net)
+    net.shift = threshold(worst(share, ids, ends, net), toxic)
+    return net
+
+
+def threshold(top: np.ndarray, toxic: np.ndarray) -> float:
+    """The threshold on texts' worst windows that errs least."""
     order = np.argsort(top)
     wrong = np.append(0, np.cumsum(toxic[order])) + FALSE_ALARM * np.append((~toxic[order])[::-1].cumsum()[::-1], 0)
     ok = np.flatnonzero(wrong == wrong.min())
     k = int(ok[len(ok) // 2])
     edge = np.concatenate([[top.min() - 1], top[order], [top.max() + 1]])
-    net.shift = float((edge[k] + edge[k + 1]) / 2)
-    return net
+    return float((edge[k] + edge[k + 1]) / 2)
 
 
 def worst(share: np.ndarray, ids: np.ndarray, ends: np.ndarray, net: Network, limit: int = 4096) -> np.ndarray:
@@ -302,17 +338,70 @@ def worst(share: np.ndarray, ids: np.ndarray, ends: np.ndarray, net: Network, li
     return top
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
-    """About SAMPLE_PER_LABEL documents of each label, picked by a hash of the id, less those over SAMPLE_BYTES."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """(id, text, toxic) of about SAMPLE_PER_LABEL documents of each label, of any length, picked by a hash of the id; None without any. Written."""
     named = labels.where("toxic in (0, 1)").select(F.col(id_col).alias("__id"), F.col("toxic").cast("int").alias("__toxic")).dropDuplicates(["__id"])
-    known = named.join(docs.select(F.col(id_col).alias("__id")).distinct(), "__id", "left_semi")
+    known = named.join(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct(), "__id", "left_semi")
     sizes = {r["__toxic"]: r["n"] for r in known.groupBy("__toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    label = {r["__id"]: y for y, n in sizes.items() for r in hash_sample(known.where(F.col("__toxic") == y), n, SAMPLE_PER_LABEL, "__id", seed=17).collect()}
+    label = [(r["__id"], y) for y, n in sizes.items() for r in hash_sample(known.where(F.col("__toxic") == y), n, SAMPLE_PER_LABEL, "__id", seed=17).collect()]
     if not label:
-        return []
-    small = docs.sparkSession.createDataFrame([(k,) for k in label], "__id long")
-    got = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES).join(F.broadcast(small), docs[id_col] == F.col("__id"), "left_semi").select(id_col, text_col).collect()
-    return [(r[1].encode(), label[r[0]]) for r in sorted(got, key=lambda r: (r[0], r[1]))]
+        return None
+    small = docs.sparkSession.createDataFrame(label, "__id long, __toxic int")
+    got = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(small), docs[id_col] == F.col("__id"))
+    return written(got.select(F.col("__id").alias("id"), F.col(text_col).alias("text"), F.col("__toxic").alias("toxic")), "toxicity-sample")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, pos, neg): how many toxic and other texts hold a word or n-gram bucket; key -1: how many there are."""
+    pos, neg = np.zeros((2, WORD_KEYS + GRAM_BUCKETS + 1), np.int64)
+    for batch in batches:
+        texts, toxic = as_bytes(batch.column("text")), batch.column("toxic").to_numpy() == 1
+        for lo, hi in slices(texts):
+            some = Texts.of(texts[lo:hi]).counts(toxic[lo:hi])
+            pos[1:] += some[0].astype(np.int64)
+            neg[1:] += some[1].astype(np.int64)
+        pos[0] += toxic.sum()
+        neg[0] += (~toxic).sum()
+    at = np.flatnonzero(pos + neg)
+    yield pa.RecordBatch.from_arrays([pa.array(at - 1), pa.array(pos[at]), pa.array(neg[at])], names=["key", "pos", "neg"])
+
+
+def _passages(held):
+    """Long texts cut to PASSAGE words about their window of the greatest log odds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = as_bytes(batch.column("text"))
+            for k, text in enumerate(out):
+                if len(text) > SAMPLE_BYTES:
+                    _, start, _, hot = Texts.of([text]).heat(held.value)
+                    words = text.split()
+                    lo = max(0, min(int(start[hot.argmax()]) - (PASSAGE - WINDOW) // 2, len(words) - PASSAGE))
+                    out[k] = b" ".join(words[lo : lo + PASSAGE])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary()), batch.column("toxic")], names=["id", "text", "toxic"])
+
+    return run
+
+
+def _tops(held):
+    """The greatest window logit of whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordTable(held.value.gates, 6 * HIDDEN, 120_000)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(worst_windows(as_bytes(batch.column("text")), table, held.value))], names=["toxic", "top"])
+
+    return run
+
+
+def worst_windows(texts: list[bytes | None], table: WordTable, net: Network) -> np.ndarray:
+    """The greatest window logit of each text; table: the words' gates."""
+    top = np.zeros(len(texts))
+    for lo, hi in slices(texts):
+        words, ends = split_words(texts[lo:hi])
+        ids = table.rows(words)
+        top[lo:hi] = worst(table.matrix, ids, ends, net)
+    return top
 
 
 def score(docs: DataFrame, net: Network | None, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
@@ -330,12 +419,7 @@ def score(docs: DataFrame, net: Network | None, text_col: str = "text", score_co
         table = WordTable(net.gates, 6 * HIDDEN, 120_000) if net else None
         for batch in batches:
             texts = as_bytes(batch.column(text_col))
-            out = np.zeros(len(texts))
-            for lo, hi in slices(texts) if net else ():
-                words, ends = split_words(texts[lo:hi])
-                ids = table.rows(words)
-                top = worst(table.matrix, ids, ends, net)
-                out[lo:hi] = 1 / (1 + np.exp(-np.clip(top - net.shift, -30, 30)))
+            out = 1 / (1 + np.exp(-np.clip(worst_windows(texts, table, net) - net.shift, -30, 30))) if net else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*names, score_col, predicted_col])
 
     return docs.mapInArrow(run, types + f", `{score_col}` double, `{predicted_col}` int")
@@ -347,8 +431,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | None:
-    """The production network, from labelled documents that are not held out."""
-    return fit(training_sample(docs.where(~held_out(F.col("doc_id"))), labels))
+    """The production network, from labelled documents that are not held out: log odds and threshold from whole texts, in tasks; gradient steps on the driver."""
+    sample = labelled_sample(docs.where(~held_out(F.col("doc_id"))), labels)
+    if sample is None:
+        return None
+    found = sample.mapInArrow(_count, "key long, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    both = np.zeros((2, WORD_KEYS + GRAM_BUCKETS + 1))
+    both[:, found["key"].to_numpy() + 1] = found["pos"].to_numpy(), found["neg"].to_numpy()
+    n_pos, n_neg = both[:, 0]
+    if not n_pos or not n_neg:
+        return None
+    odds = _odds(both[0, 1:], both[1, 1:], n_pos, n_neg)
+    context = docs.sparkSession.sparkContext
+    first = Network(odds[:WORD_KEYS], odds[WORD_KEYS:], np.zeros((WORD_BUCKETS, EMBED), np.float32), np.zeros((GRAM_BUCKETS, EMBED), np.float32), {})
+    got = sample.mapInArrow(_passages(context.broadcast(first)), "id long, text binary, toxic int").collect()
+    net = fit([(bytes(r["text"]), r["toxic"]) for r in sorted(got, key=lambda r: (r["id"], bytes(r["text"])))], odds=odds)
+    tops = sample.mapInArrow(_tops(context.broadcast(net)), "toxic int, top double").toArrow()
+    net.shift = threshold(tops["top"].to_numpy(), tops["toxic"].to_numpy() == 1)
+    return net
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -481,6 +481,23 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.train(empty, marks) is None and toxicity.score(odd, None).where("predicted = 1").count() == 0
 
 
+def test_toxicity_of_long_texts(spark):
+    """Labelled texts of one label are all long, with one marked passage each: they are learned from, and long clean texts stay."""
+    rng = np.random.default_rng(16)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        w = prose(rng, int(rng.integers(2500, 3500) if bad or i % 4 == 1 else rng.integers(5, 90))).split()
+        if bad:
+            at = int(rng.integers(len(w)))
+            w[at:at] = [str(x) for x in rng.choice(["idiot", "Trash", "scum!"], 3)]
+        rows.append((i, " ".join(w), "en", "s", 1))
+        labels.append((i, int(bad)))
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, marks)).join(marks, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
+    assert np.mean([r["predicted"] == r["toxic"] for r in got]) > 0.95
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     words = [(" ".join(rng.choice(["a", "b", "idiot", "c"], 6)).encode(), int(i % 2)) for i in range(20)]
