@@ -20,7 +20,7 @@ from tabularium.llm.common import Hashes, WordTable, as_bytes, char_grams, disti
 #: see so many words about its window of the greatest log odds; log odds and threshold come from whole texts.
 SAMPLE_PER_LABEL, SAMPLE_BYTES, PASSAGE = 2000, 6_000, 128
 #: Words of a window, and from one window's start to the next's.
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 4096, 1 << 15, (3, 4, 5, 6, 8)
 EMBED, HIDDEN, ATTEND = 4, 8, 8
 #: Gradient steps that a small sample is gone over again for.
@@ -405,7 +405,7 @@ def worst_windows(texts: list[bytes | None], table: WordTable, net: Network) ->
 
 
 def score(docs: DataFrame, net: Network | None, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 if score >= 0.5) to docs, from all overlapping windows of every whole text.
+    """Adds score (0 to 1) and predicted (1 if score >= 0.5) to docs, from windows over every whole text; any 16 words in a row stand whole in one.
 
     Null and empty texts have one empty window. Without a network all score 0. Rows stay as they are; columns of these names are replaced.
     """

@@ -532,6 +532,13 @@ def test_windows_cover_all_words():
     assert {i for s, k in zip(start, n, strict=True) for i in range(s, s + k)} == set(range(200))
 
 
+def test_passages_lie_in_a_window():
+    """Any passage of half a window stands whole in one window."""
+    _, start, n = toxicity.windows(np.array([0, 500]))
+    half = toxicity.WINDOW // 2
+    assert all(any(s <= i and i + half <= s + k for s, k in zip(start, n, strict=True)) for i in range(500 - half + 1))
+
+
 def test_language_model(spark, odd, empty):
     rng = np.random.default_rng(8)
     make = lambda w: " ".join(w[int(x)] for x in rng.zipf(1.5, int(rng.integers(0, 120))) % 50)
