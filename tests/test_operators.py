@@ -277,3 +277,11 @@ def test_samples_pick_rows(spark):
     assert A.scatter(df, "x", "y").select("x").distinct().count() == 3
     assert {r["x"]: r["n"] > 6000 for r in I._sample(df).groupBy("x").agg(F.count("x").alias("n")).collect()} == {0.0: True, 1.0: True, 2.0: True}
     assert sorted(r["size"] for r in R.segments(df, ["x", "y"])[1].select("segment", "size").distinct().collect()) == [10_000] * 3
+
+
+@pytest.mark.parametrize("first", [None, "no date"])
+def test_dates_after_other_rows(spark, first):
+    """Dates as text are found by all non-null values, wherever they stand."""
+    when = F.when(F.col("id") < 1100, F.lit(first)).otherwise(F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")))
+    r = Q.profile_columns(spark.range(0, 20_000, 1, 1).select(when.cast("string").alias("when"))).first()
+    assert r["date_rate"] == pytest.approx(1 if first is None else 18_900 / 20_000)
