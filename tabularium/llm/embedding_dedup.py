@@ -1,9 +1,12 @@
 """Near-duplicate vectors by collision counting on one-dimensional projections (after query-aware LSH).
 
-Unit vectors with a cosine of `cosine` or more differ by at most sqrt(2 - 2 * cosine) in length, so by a normal deviate of that size on a random
-projection. Two vectors collide on a projection if they are within SPREAD such deviations of each other: the window is
-centred on the query. Rows are sorted on the first SORTS projections; pairs in a window there get their collisions on all projections counted, and
-those that reach the count that a true pair reaches with probability RECALL are verified by the exact cosine.
+Unit vectors with a cosine of `cosine` or more differ by at most d = sqrt(2 - 2 * cosine) in length, so by a normal deviate of
+that size on a random projection. A group of vectors is sorted on each of PROJECTIONS projections; around every query a window
+of SPREAD deviations to both sides is cut out of each sorted list, and the collisions of each pair in these windows are counted. Pairs that
+reach the count that a true pair reaches with probability RECALL are verified by the exact cosine.
+
+A label of up to DIRECT * BLOCK vectors is one group. A larger one is dealt into cells first, by several further projections at
+once, as often as the recall asks for (`tables`): a pair meets where it shares a cell, so that the work grows far slower than with the square of a label.
 """
 
 from __future__ import annotations
@@ -16,17 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import written
+from tabularium.llm.common import random_words, written
 from tabularium.llm.components import components
-from tabularium.llm.groups import by_group, forest, in_blocks
+from tabularium.llm.groups import by_group, in_blocks
 
-#: Projections; those that rows are sorted by; those that are counted before the first look; half a window in deviations.
-PROJECTIONS, SORTS, EARLY, SPREAD = 24, 2, 8, 3.0
-RECALL = 0.9999
-#: Vectors of a block: larger cells are compared in pairs of blocks.
-BLOCK = 4096
-#: Queries that are looked at together.
-QUERIES = 64
+#: Projections that collisions are counted on; half a window in deviations; the probability to find a pair at the limit.
+PROJECTIONS, SPREAD, RECALL = 24, 1.5, 0.9999
+#: Vectors of a block (larger groups are compared in pairs of blocks), and the blocks of a label from which it is dealt into cells.
+BLOCK, DIRECT = 2048, 8
+#: Width of a cell in units of d, the most projections that a cell is made of, and the spread of unit vectors of one label on a projection.
+CELL, MOST, SPREAD_OF_ALL = 5.0, 12, math.sqrt(2)
 
 
 def least_count(n: int, p: float, recall: float) -> int:
@@ -40,123 +42,142 @@ def least_count(n: int, p: float, recall: float) -> int:
     return 0
 
 
+def same_cell(spread: float, width: float) -> float:
+    """The probability that two points whose difference is normal with this spread lie in one cell of this width (with a random offset)."""
+    if spread == 0:
+        return 1.0
+    x = width / spread
+    return math.erf(x / math.sqrt(2)) - math.sqrt(2 / math.pi) / x * (1 - math.exp(-x * x / 2))
+
+
+def tables(n: int, cosine: float, recall: float = RECALL) -> tuple[int, int]:
+    """(projections that make a cell, how often all vectors are dealt into cells) for a label of n vectors."""
+    if n <= DIRECT * BLOCK:
+        return 0, 1
+    d = _distance(cosine)
+    many = min(MOST, max(1, math.ceil(math.log(n / BLOCK) / -math.log(min(0.9, same_cell(SPREAD_OF_ALL, CELL * d))))))
+    return many, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(same_cell(d, CELL * d) ** many, 0.9999))))
+
+
+def _distance(cosine: float) -> float:
+    return math.sqrt(max(2 - 2 * cosine, 1e-12))
+
+
+def unscaled(x: np.ndarray) -> np.ndarray:
+    """Rows scaled by a power of two, exactly, so that the largest component lies between 0.5 and 1: no square over- or underflows."""
+    _, e = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -e[:, None])
+
+
 def projected(vectors: DataFrame, cosine: float) -> DataFrame:
-    """Adds dim, cell (of the SORTS projections, one window wide) and projections to (cid, label, embedding, copies)."""
-    window = SPREAD * math.sqrt(2 - 2 * cosine)
+    """Adds cells (one number for each table) and projections to vectors: embedding, dim, n (vectors of its label), ..."""
+    width = CELL * _distance(cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column("embedding").to_pylist()
-            size = np.array([len(v) for v in vectors], np.int32)
-            out = np.zeros((len(vectors), PROJECTIONS), np.float32)
-            for d in np.unique(size).tolist():
-                at = np.flatnonzero(size == d)
-                x = np.array([vectors[i] for i in at], np.float64)
+            values, dim, n = batch.column("embedding").to_pylist(), batch.column("dim").to_numpy(), batch.column("n").to_numpy()
+            kinds = {int(k): tables(int(k), cosine) for k in np.unique(n)}
+            out = np.zeros((len(values), PROJECTIONS), np.float32)
+            cells: list = [None] * len(values)
+            for d in np.unique(dim).tolist():
+                at = np.flatnonzero(dim == d)
+                x = unscaled(np.array([values[i] for i in at], np.float64))
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                out[at] = x @ np.random.default_rng(d).standard_normal((d, PROJECTIONS))
-            cells = np.floor(out[:, :SORTS] / window).astype(np.int32)
-            lists = lambda a: pa.ListArray.from_arrays(pa.array((np.arange(len(a) + 1) * a.shape[1]).astype(np.int32)), pa.array(a.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), lists(cells), lists(out)], names=[*batch.schema.names, "dim", "cells", "projections"])
+                rng = np.random.default_rng(d)
+                out[at] = x @ rng.standard_normal((d, PROJECTIONS))
+                for kind in set(kinds.values()):
+                    some = np.flatnonzero([kinds[int(k)] == kind for k in n[at]])
+                    many, times = kind
+                    rng = np.random.default_rng([d, many, times])
+                    p = x[some] @ rng.standard_normal((d, many * times)) + rng.uniform(0, width, many * times)
+                    c = np.floor(p / width).astype(np.int64).view(np.uint64).reshape(len(some), times, many)
+                    with np.errstate(over="ignore"):
+                        c = (c * random_words(many, 53)).sum(axis=2, dtype=np.uint64).view(np.int64)
+                    for i, row in zip(at[some].tolist(), c.tolist(), strict=True):
+                        cells[i] = row
+            flat = pa.ListArray.from_arrays(pa.array((np.arange(len(out) + 1) * PROJECTIONS).astype(np.int32)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64())), flat], names=[*batch.schema.names, "cells", "projections"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
-    return vectors.mapInArrow(run, types + ", dim int, cells array<int>, projections array<float>")
-
-
-def _pairs(p: np.ndarray, home: np.ndarray, own: np.ndarray, cross: bool, sort: int, window: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (x, y) of a cell whose collisions reach `least`, each once: x at home, y later in sorted order or a guest."""
-    order = np.argsort(p[:, sort], kind="stable")
-    p, home, own = p[order], home[order], own[order]
-    key = p[:, sort]
-    early = max(0, least - (p.shape[1] - EARLY))
-    found = []
-    for lo in range(0, len(key), QUERIES):
-        hi = min(lo + QUERIES, len(key))
-        end = int(np.searchsorted(key, key[hi - 1] + window, side="right"))
-        if end - lo < 2:
-            continue
-        q, c = np.arange(lo, hi), np.arange(lo, end)
-        # sorted keys: y behind x, and inside x's window; pairs of two guests belong to the next cell
-        ok = (c[None] > q[:, None]) & (key[lo:end][None] <= key[lo:hi][:, None] + window) & (home[lo:hi][:, None] | home[lo:end][None])
-        if cross:
-            ok &= own[lo:hi][:, None] != own[lo:end][None]
-        for s in range(sort):  # pairs that an earlier sort has seen
-            ok &= np.abs(p[lo:hi, s][:, None] - p[lo:end, s][None]) > window
-        count = np.zeros(ok.shape, np.int8)
-        for k in range(EARLY):
-            count += np.abs(p[lo:hi, k][:, None] - p[lo:end, k][None]) <= window
-        x, y = np.nonzero(ok & (count >= early))
-        if len(x):
-            good = (np.abs(p[q[x]] - p[c[y]]) <= window).sum(axis=1) >= least
-            found.append((order[q[x[good]]], order[c[y[good]]]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    return vectors.mapInArrow(run, types + ", cells array<bigint>, projections array<float>")
+
+
+def collisions(p: np.ndarray, of: np.ndarray, window: float, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, sorted candidates) for the queries `of`: the rows of p that collide with it in at least `least` query-centred windows."""
+    order = [np.argsort(p[:, k], kind="stable") for k in range(p.shape[1])]
+    cuts = [np.searchsorted(p[o, k], [p[of, k] - window, p[of, k] + window]) for k, o in enumerate(order)]
+    for i, q in enumerate(of.tolist()):
+        count = np.bincount(np.concatenate([o[lo[i] : hi[i]] for o, (lo, hi) in zip(order, cuts, strict=True)]), minlength=len(p))
+        yield q, np.flatnonzero(count >= least)
 
 
 def links(vectors: DataFrame, cosine: float, recall: float = RECALL) -> DataFrame:
-    """(a, b) links of spanning forests and (a, null, links) sums of copies linked; vectors: see `projected`."""
-    window = SPREAD * math.sqrt(2 - 2 * cosine)
+    """(a, b) links of spanning forests and (a, null, links) sums of copies linked; vectors: gid (of the label), cid, embedding, copies, cells, projections."""
+    window = SPREAD * _distance(cosine) + 1e-5  # projections are rounded
     least = least_count(PROJECTIONS, math.erf(SPREAD / math.sqrt(2)), recall)
-    rows = vectors.select("*", F.posexplode("cells").alias("sort", "at"))
-    rows = rows.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("cell", F.when(F.col("home"), F.col("at")).otherwise(F.col("at") - 1))
-    group = F.xxhash64("label", "dim", "sort", "cell")
-    rows = rows.withColumn("group", group).select("group", "cid", "embedding", "copies", "projections", "sort", "home")
-    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any")).where("n > 1 and any").drop("any")
+    keys = ["gid", "table", "cell"]
+    rows = vectors.select("gid", "cid", "embedding", "copies", "projections", "cells", F.posexplode("cells").alias("table", "cell"))
+    # the cells of earlier tables tell which pairs have met before
+    rows = rows.withColumn("before", F.slice("cells", F.lit(1), F.col("table"))).drop("cells")
+    sizes = written(vectors.select("gid", F.posexplode("cells").alias("table", "cell")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cells")
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        cid, copies, home, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "copies", "home", "__own"))
-        p = batch.column("projections").flatten().to_numpy().reshape(len(cid), PROJECTIONS)
-        cross = batch.column("__i")[0].as_py() != batch.column("__j")[0].as_py()
-        x, y = _pairs(p, home, own, cross, batch.column("sort")[0].as_py(), window, least)
-        if not len(x):
-            return None
-        v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(cid), -1)
+        cid, copies, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "copies", "__own"))
+        n = len(cid)
+        p = batch.column("projections").flatten().to_numpy().astype(np.float64).reshape(n, PROJECTIONS)
+        v = unscaled(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1))
         norm = np.sqrt((v * v).sum(axis=1))
-        near = np.concatenate([(v[x[i : i + 65536]] * v[y[i : i + 65536]]).sum(axis=1) for i in range(0, len(x), 65536)]) / (norm[x] * norm[y]) >= cosine
-        x, y = x[near], y[near]
-        if not len(x):
-            return None
-        total = np.bincount(x, weights=copies[y], minlength=len(cid)) + np.bincount(y, weights=copies[x], minlength=len(cid))
+        before = batch.column("before").flatten().to_numpy().reshape(n, -1)
+        first, cross = batch.column("__i")[0].as_py(), batch.column("__i")[0].as_py() != batch.column("__j")[0].as_py()
+        total, part, edges = np.zeros(n, np.int64), np.arange(n), []
+        for x, y in collisions(p, np.flatnonzero(own == first) if cross else np.arange(n), window, least):
+            y = y[own[y] != first] if cross else y[y > x]
+            if before.shape[1] and len(y):
+                y = y[~(before[y] == before[x]).any(axis=1)]
+            y = y[(v[y] * v[x]).sum(axis=1) / (norm[y] * norm[x]) >= cosine]
+            if not len(y):
+                continue
+            total[x] += copies[y].sum()
+            total[y] += copies[x]
+            new, at = np.unique(part[y], return_index=True)
+            at, new = at[new != part[x]], new[new != part[x]]
+            if len(new):  # links that join two parts of the forest
+                edges += [(x, int(k)) for k in y[at]]
+                part[np.isin(part, new)] = part[x]
         at = np.flatnonzero(total)
-        edges = _forest(x, y, len(cid))
+        if not len(at):
+            return None
         a = np.concatenate([cid[at], cid[[e[0] for e in edges]]])
         b = pa.array([None] * len(at) + cid[[e[1] for e in edges]].tolist(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([total[at], np.zeros(len(edges))]).astype(np.int64))], names=["a", "b", "links"])
-
-    rows = in_blocks(rows.join(sizes, "group"), "group", "n", "cid", BLOCK)
-    return by_group(rows.select("group", "__i", "__j", "__own", "cid", "embedding", "copies", "projections", "sort", "home"), ["group", "__i", "__j"], search, "a long, b long, links long")
-
+        return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([total[at], np.zeros(len(edges), np.int64)]))], names=["a", "b", "links"])
 
-def _forest(x: np.ndarray, y: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the graph with edges x - y."""
-    both, other = np.concatenate([x, y]), np.concatenate([y, x])
-    order = np.argsort(both, kind="stable")
-    other = other[order]
-    begin = np.searchsorted(both[order], np.arange(n + 1))
-    return forest(lambda i, left: np.isin(left, other[begin[i] : begin[i + 1]]), n)
+    rows = in_blocks(rows.join(sizes, keys), "cell", "n", "cid", BLOCK)
+    return by_group(rows.select(*keys, "__i", "__j", "__own", "cid", "embedding", "copies", "projections", "before"), [*keys, "__i", "__j"], search, "a long, b long, links long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept): links between vectors of equal, non-null labels with a cosine of `cosine` or more.
 
-    Equal vectors of a label are one class and are searched once. Vectors that are null, empty, zero or hold null or non-finite
+    Equal vectors of a label are one class and are searched once. Any finite vector but zero has a cosine, however small or
+    large its components. Vectors that are null, empty, zero or hold null or non-finite
     components, null labels and vectors of different lengths link with nothing; a null id is a component of its own (null, kept).
-    Rows with the same id, vector and label count as one. Further columns are ignored.
+    Rows with the same id, vector and label count as one. Further columns are ignored; an empty table gives none.
     """
-    v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    v, given = F.col("v"), vectors.schema[vector_col].dataType.simpleString()
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vector_col}`").cast(given if given == "array<float>" else "array<double>").alias("v"))
     fine = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & v.isNotNull() & F.exists(v, lambda x: x != 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = rows.where(F.coalesce(fine, F.lit(False))).withColumn("cid", F.xxhash64("label", "v")).dropDuplicates(["vec_id", "cid"])
-    good = written(good.select("vec_id", "cid", "label", F.col("v").alias("embedding")), "vectors")
-    classes = good.groupBy("cid").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    classes = written(projected(classes, cosine), "projected")
-    found = written(links(classes.select("cid", "label", "embedding", "copies", "dim", "cells", "projections"), cosine), "vector-links")
+    good = rows.where(F.coalesce(fine, F.lit(False))).dropDuplicates(["vec_id", "label", "v"])
+    # the numbers of classes and labels are written with them, so they stay what they are
+    classes = written(good.groupBy("label", "v").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    groups = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).withColumn("gid", F.monotonically_increasing_id())
+    sized = classes.withColumn("dim", F.size("v")).join(written(groups, "labels"), ["label", "dim"]).select("gid", "n", "dim", "cid", F.col("v").alias("embedding"), "copies")
+    found = written(links(written(projected(sized, cosine), "projected"), cosine), "vector-links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cid")
     roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "cid")
-    linked = classes.select("cid", "least", "copies").join(roots, "cid", "left").join(counts, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    linked = classes.join(roots, "cid", "left").join(counts, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     first = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = linked.join(first, "root").select("cid", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    known = good.select("vec_id", "cid").join(by_class, "cid").groupBy("vec_id").agg(F.min("component_id").alias("component_id"), F.max("n_links").alias("n_links"))
+    by_class = linked.join(first, "root").select("label", "v", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    known = good.join(by_class, ["label", "v"]).groupBy("vec_id").agg(F.min("component_id").alias("component_id"), F.max("n_links").alias("n_links"))
     out = rows.select("vec_id").join(known, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
