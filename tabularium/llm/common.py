@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,6 +160,16 @@ def slices(texts: list[bytes | None], limit: int = SLICE) -> Iterator[tuple[int,
         yield lo, len(texts)
 
 
+def in_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """(first row, end, texts) of runs of rows of about `limit` bytes, as `slices` cuts them; only one run's texts are Python objects at a time."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(size, limit + (size[lo - 1] if lo else 0), side="right")))
+        yield lo, hi, as_bytes(column.slice(lo, hi - lo))
+        lo = hi
+
+
 def split_words(texts: Iterable[bytes | None]) -> tuple[list[bytes], np.ndarray]:
     """All words [^\\x20\\x09-\\x0D]+ of the texts in a row, and where each text's begin (one more entry than texts)."""
     parts = [t.split() if t else [] for t in texts]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabularium.llm.common import Hashes, as_bytes, bloom, in_bloom, mix, slices, split_words, written
+from tabularium.llm.common import Hashes, as_bytes, bloom, in_bloom, in_slices, mix, split_words, written
 
 #: Words of a minimizer gram, for windows of 50.
 GRAM = 16
@@ -126,9 +126,9 @@ def _scan(docs: DataFrame, k: int, m: int, branches: np.ndarray | None = None) -
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, wanted = Hashes(11), held.value
         for batch in batches:
-            ids, texts, base = batch.column(0).to_numpy(), as_bytes(batch.column(1)), batch.column(2).to_numpy()
-            for lo, hi in slices(texts):
-                words, ends = split_words(texts[lo:hi])
+            ids, base = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for lo, hi, texts in in_slices(batch.column(1)):
+                words, ends = split_words(texts)
                 h = known.of(words)
                 runs = Runs(h, mix(h ^ _M2), ends, k, m)
                 v, c, c2, n, head, tail = runs.columns()
@@ -203,12 +203,12 @@ def _may(held, column: pa.Array) -> np.ndarray:
     return in_bloom(held.value, column.fill_null(0).to_numpy(zero_copy_only=False)) & ~np.asarray(column.is_null())
 
 
-def _only(held, name: str, wanted: bool = True):
-    """The rows whose id a Bloom filter may hold, or those that it surely doesn't."""
+def _only(held, name: str):
+    """The rows whose id a Bloom filter may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_may(held, batch.column(name)) == wanted))
+            yield batch.filter(pa.array(_may(held, batch.column(name))))
 
     return run
 
@@ -290,8 +290,9 @@ def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_co
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(text_at))
-            yield result(batch.columns, texts, [[]] * len(texts))
+            batch = batch.filter(pa.array(~_may(held, batch.column(id_at))))
+            for lo, hi, texts in in_slices(batch.column(text_at)):
+                yield result(batch.slice(lo, hi - lo).columns, texts, [[]] * (hi - lo))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, spans = None, []
@@ -311,7 +312,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_co
                 columns = [rows.field(i) for i in range(len(names))]
                 yield result(columns, as_bytes(columns[text_at]), found)
 
-    rest = docs.mapInArrow(_only(held, id_col, False), docs.schema).mapInArrow(plain, schema)
+    rest = docs.mapInArrow(plain, schema)
     some = docs.mapInArrow(_only(held, id_col), docs.schema).select(F.col(f"`{id_col}`").cast("long").alias("doc"), _base(f"`{text_col}`").alias("base"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     return rest.unionByName(_stream(some, spans, False, cut, schema))
 
