@@ -53,6 +53,11 @@ def hash_sample(df: DataFrame, rows: int, size: int, *keys: str, seed: int = 0)
     return df if rows <= size else df.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(scale)) < int(scale * size / rows))
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ...: whatever they are called, dots included, they pass through tasks; toDF(*df.columns) gives the names back."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 BLOOM_WORDS = 1 << 16
 
 

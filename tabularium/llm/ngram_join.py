@@ -228,9 +228,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document (the smallest id) of each group of linked documents; rows with a null id or without words stay."""
-    gone = jaccard_join(docs, id_col, text_col).where("class_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """docs with one document (the smallest id) of each group of linked documents.
+
+    Rows with a null id or without words stay, and so do rows that share the id that stays. All columns pass through under whatever names; an empty table gives none.
+    """
+    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    gone = jaccard_join(narrow).where("class_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabularium.llm.common import Hashes, as_bytes, bloom, in_bloom, in_slices, mix, split_words, written
+from tabularium.llm.common import Hashes, as_bytes, bloom, in_bloom, in_slices, mix, plain_names, split_words, written
 
 #: Words of a minimizer gram, for windows of 50.
 GRAM = 16
@@ -265,9 +265,10 @@ def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_co
     if digest:
         docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
         id_col, text_col = "id", "text"
-    names, kinds = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = f"id {kinds[id_col]}, n_words long, n_removed long, kept_sha256 string" if digest else docs.schema
-    text_at, id_at = names.index(text_col), names.index(id_col)
+    given, text_at, id_at = docs.columns, docs.columns.index(text_col), docs.columns.index(id_col)
+    docs = plain_names(docs)
+    names, id_col, text_col = docs.columns, docs.columns[id_at], docs.columns[text_at]
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" if digest else docs.schema
 
     def result(columns: list[pa.Array], texts: list[bytes | None], spans: list[list]) -> pa.RecordBatch:
         """Rows with the spans of each."""
@@ -314,7 +315,8 @@ def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_co
 
     rest = docs.mapInArrow(plain, schema)
     some = docs.mapInArrow(_only(held, id_col), docs.schema).select(F.col(f"`{id_col}`").cast("long").alias("doc"), _base(f"`{text_col}`").alias("base"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
-    return rest.unionByName(_stream(some, spans, False, cut, schema))
+    out = rest.unionByName(_stream(some, spans, False, cut, schema))
+    return out if digest else out.toDF(*given)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 50, digest: bool = False) -> DataFrame:

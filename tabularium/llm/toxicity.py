@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import Hashes, WordTable, as_bytes, char_grams, distinct, fold, hash_sample, slices, split_words, written
+from tabularium.llm.common import Hashes, WordTable, as_bytes, char_grams, distinct, fold, hash_sample, plain_names, slices, split_words, written
 
 #: The bounded sample that the network is fitted on: about so many labelled documents of each label. Of one over so many bytes the gradient steps
 #: see so many words about its window of the greatest log odds; log odds and threshold come from whole texts.
@@ -411,18 +411,20 @@ def score(docs: DataFrame, net: Network | None, text_col: str = "text", score_co
     """
     docs = docs.drop(score_col, predicted_col)
     held = docs.sparkSession.sparkContext.broadcast(net)
+    given, text_at = docs.columns, docs.columns.index(text_col)
+    docs = plain_names(docs)
     names = docs.columns
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
         table = WordTable(net.gates, 6 * HIDDEN, 120_000) if net else None
         for batch in batches:
-            texts = as_bytes(batch.column(text_col))
+            texts = as_bytes(batch.column(text_at))
             out = 1 / (1 + np.exp(-np.clip(worst_windows(texts, table, net) - net.shift, -30, 30))) if net else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*names, score_col, predicted_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return docs.mapInArrow(run, types + f", `{score_col}` double, `{predicted_col}` int")
+    return docs.mapInArrow(run, types + ", score double, predicted int").toDF(*given, score_col, predicted_col)
 
 
 def held_out(doc_id: Column) -> Column:
