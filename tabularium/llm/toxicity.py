@@ -21,12 +21,12 @@ from tabularium.llm.common import Hashes, WordTable, as_bytes, char_grams, disti
 SAMPLE_PER_LABEL, SAMPLE_BYTES, PASSAGE = 2000, 6_000, 128
 #: Words of a window, and from one window's start to the next's.
 WINDOW, STRIDE = 32, 16
-WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 4096, 1 << 15, (3, 4, 5, 6, 8)
+WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 4096, 1 << 16, (3, 4, 5, 6, 8)
 EMBED, HIDDEN, ATTEND = 4, 8, 8
 #: Gradient steps that a small sample is gone over again for.
 LEAST_STEPS = 240
-#: What a clean text over the threshold costs against a toxic one below it: the sample has far more toxic texts than the corpus.
-FALSE_ALARM = 4
+#: ASCII marks that don't belong to a word; standard errors that are taken off log odds.
+MARKS, SURE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 1.5
 WORD_KEYS = WORD_BUCKETS * 16
 ODDS = 3  # log odds inputs: word, greatest and mean n-gram
 INPUT = 2 * EMBED + ODDS
@@ -37,9 +37,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def word_parts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash bucket of each word in lower case, and its n-grams' buckets with the word of each."""
+    """Hash bucket of each word in lower case without marks at its ends, and its n-grams' buckets with the word of each."""
     lower = b" ".join(words).decode("utf-8", "replace").lower().encode().split(b" ")
-    h = Hashes(3).of(lower)
+    h = Hashes(3).of([w.strip(MARKS) or w for w in lower])
     grams, who = char_grams(words, GRAMS, GRAM_BUCKETS)
     return (h % np.uint64(WORD_KEYS)).astype(np.int64), grams, who
 
@@ -174,9 +174,11 @@ def _counts(parts, toxic: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndar
 
 
 def _odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """Log odds of a key in toxic against other texts, by the number of texts that hold it, shrunk where they are few."""
+    """Log odds of a key in toxic against other texts, by the number of texts that hold it: as much of them as is sure, so that
+    words of one or two texts, which the network is trained on as well, say nothing."""
     odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
-    return (odds * (pos + neg) / (pos + neg + 5.0)).astype(np.float32)
+    sure = np.abs(odds) - SURE * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    return (np.sign(odds) * np.maximum(sure, 0)).astype(np.float32)
 
 
 @dataclass
@@ -314,10 +316,10 @@ def fit(sample: list[tuple[bytes, int]], seed: int = 0, epochs: int = 4, batch:
     return net
 
 
-def threshold(top: np.ndarray, toxic: np.ndarray) -> float:
-    """The threshold on texts' worst windows that errs least."""
+def threshold(top: np.ndarray, toxic: np.ndarray, false_alarm: float = 1.0) -> float:
+    """The threshold on texts' worst windows that errs least; a clean text over it counts `false_alarm` toxic ones below it."""
     order = np.argsort(top)
-    wrong = np.append(0, np.cumsum(toxic[order])) + FALSE_ALARM * np.append((~toxic[order])[::-1].cumsum()[::-1], 0)
+    wrong = np.append(0, np.cumsum(toxic[order])) + false_alarm * np.append((~toxic[order])[::-1].cumsum()[::-1], 0)
     ok = np.flatnonzero(wrong == wrong.min())
     k = int(ok[len(ok) // 2])
     edge = np.concatenate([[top.min() - 1], top[order], [top.max() + 1]])
@@ -338,9 +340,11 @@ def worst(share: np.ndarray, ids: np.ndarray, ends: np.ndarray, net: Network, li
     return top
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
-    """(id, text, toxic) of about SAMPLE_PER_LABEL documents of each label, of any length, picked by a hash of the id; None without any. Written."""
-    named = labels.where("toxic in (0, 1)").select(F.col(id_col).alias("__id"), F.col("toxic").cast("int").alias("__toxic")).dropDuplicates(["__id"])
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[float]] | None:
+    """(id, text, toxic) of about SAMPLE_PER_LABEL documents of each label, of any length, picked by a hash of the id, and how many
+    labelled documents one of each label stands for; None without any. Written. A document that is labelled both ways counts as toxic.
+    """
+    named = labels.where("toxic in (0, 1)").groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
     known = named.join(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct(), "__id", "left_semi")
     sizes = {r["__toxic"]: r["n"] for r in known.groupBy("__toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     label = [(r["__id"], y) for y, n in sizes.items() for r in hash_sample(known.where(F.col("__toxic") == y), n, SAMPLE_PER_LABEL, "__id", seed=17).collect()]
@@ -348,7 +352,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         return None
     small = docs.sparkSession.createDataFrame(label, "__id long, __toxic int")
     got = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(small), docs[id_col] == F.col("__id"))
-    return written(got.select(F.col("__id").alias("id"), F.col(text_col).alias("text"), F.col("__toxic").alias("toxic")), "toxicity-sample")
+    sample = written(got.select(F.col("__id").alias("id"), F.col(text_col).alias("text"), F.col("__toxic").alias("toxic")), "toxicity-sample")
+    return sample, [max(1.0, sizes.get(y, 0) / max(1, sum(k == y for _, k in label))) for y in (0, 1)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,9 +439,10 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | None:
     """The production network, from labelled documents that are not held out: log odds and threshold from whole texts, in tasks; gradient steps on the driver."""
-    sample = labelled_sample(docs.where(~held_out(F.col("doc_id"))), labels)
-    if sample is None:
+    drawn = labelled_sample(docs.where(~held_out(F.col("doc_id"))), labels)
+    if drawn is None:
         return None
+    sample, stands_for = drawn
     found = sample.mapInArrow(_count, "key long, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
     both = np.zeros((2, WORD_KEYS + GRAM_BUCKETS + 1))
     both[:, found["key"].to_numpy() + 1] = found["pos"].to_numpy(), found["neg"].to_numpy()
@@ -449,7 +455,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | None:
     got = sample.mapInArrow(_passages(context.broadcast(first)), "id long, text binary, toxic int").collect()
     net = fit([(bytes(r["text"]), r["toxic"]) for r in sorted(got, key=lambda r: (r["id"], bytes(r["text"])))], odds=odds)
     tops = sample.mapInArrow(_tops(context.broadcast(net)), "toxic int, top double").toArrow()
-    net.shift = threshold(tops["top"].to_numpy(), tops["toxic"].to_numpy() == 1)
+    # clean texts stand for more of the corpus than toxic ones, where the sample has a smaller part of them
+    net.shift = threshold(tops["top"].to_numpy(), tops["toxic"].to_numpy() == 1, stands_for[0] / stands_for[1])
     return net
 
 
