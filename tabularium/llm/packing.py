@@ -202,46 +202,49 @@ def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int,
         out.append((times, bin_))
 
 
-#: Pieces that a ranking bucket holds on average, and the most buckets of a length.
-BUCKET, MOST = 50_000, 256
+#: Pieces that a ranking bucket holds on average.
+BUCKET = 50_000
 
 
 def places(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...).
 
-    Pieces of one length rank in buckets by hash, so that a length that a third of all pieces have is numbered in
-    parallel; the driver holds capacity * 256 bucket counts at most, and the layout has at most a few entries for each length.
+    The driver gets the histogram of lengths (`capacity` numbers at most) and finds the layout, which has a few entries for each length. Pieces of one length rank in
+    buckets by hash, as many as the length needs, so that a length that a third of all pieces have is numbered in parallel; what comes before a
+    bucket is joined to it.
     """
-    n = pieces.count()
-    buckets = max(1, min(MOST, -(-n // BUCKET)))
-    keyed = pieces.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    sizes = keyed.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("n")).collect()
-    table = np.zeros((capacity + 1, buckets), np.int64)
-    for r in sizes:
-        table[r["length"], r["__b"]] = r["n"]
-    base = np.cumsum(table, axis=1) - table
-    layout = best_two_fit(table.sum(axis=1), capacity)
+    histogram = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(capacity + 1, np.int64)
+    counts[histogram["length"].to_numpy()] = histogram["n"].to_numpy()
     entries: dict[int, list] = {}
     first = 0
     used = np.zeros(capacity + 1, np.int64)
-    for times, bin_ in layout:
+    for times, bin_ in best_two_fit(counts, capacity):
         offset = 0
         for x in sorted(bin_, reverse=True):
             entries.setdefault(x, []).append((int(used[x]), first, bin_[x], offset))
             used[x] += bin_[x] * times
             offset += x * bin_[x]
         first += times
-    arrays = {x: np.array(v, np.int64) for x, v in entries.items()}
-    held = pieces.sparkSession.sparkContext.broadcast((base, arrays))
+    spark = pieces.sparkSession
+    held = spark.sparkContext.broadcast({x: np.array(v, np.int64) for x, v in entries.items()})
+    many = [(x, int(-(-counts[x] // BUCKET))) for x in range(capacity + 1) if counts[x] > BUCKET]
+    buckets = F.lit(1)
+    if many:  # lengths of more than one bucket
+        buckets = F.coalesce(F.element_at(F.map_from_arrays(F.array(*(F.lit(x) for x, _ in many)), F.array(*(F.lit(k) for _, k in many))), F.col("length").cast("int")), F.lit(1))
+    keyed = pieces.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), buckets.cast("long")))
     ranked = keyed.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__b").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    if many:
+        before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        starts = keyed.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n")).select("length", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        ranked = ranked.join(starts, ["length", "__b"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     names = pieces.columns
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, arrays = held.value
+        arrays = held.value
         for batch in batches:
-            length, b, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__b", "__rank"))
-            rank = rank + base[length, b]
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__rank"))
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for x in np.unique(length).tolist():
                 at = np.flatnonzero(length == x)
@@ -251,7 +254,7 @@ def places(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
                 offset[at] = e[:, 3] + inside % e[:, 2] * x
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(put, types + ", sequence_id long, offset long")
+    return ranked.select(*names, "__rank").mapInArrow(put, types + ", sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, path: str | None = None, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
