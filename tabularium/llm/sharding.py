@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
 #: A prime below 2**31: squares of its residues fit a long.
 PRIME = 2147483647
 #: Round keys.
 KEYS = (1103515245, 747796405, 1640531527, 362436069, 521288629, 88675123)
-#: Rows that a numbering bucket holds on average, and the most buckets (their counts pass through the driver).
+#: Rows that a numbering bucket holds on average, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 100_000, 65_536
+#: Numbers that an equal row is expanded to at a time.
+CHUNK = 10_000
 
 
 def _mixed(x: Column, key: Column) -> Column:
@@ -63,26 +66,22 @@ def numbered(df: DataFrame, id_col: str, number: str = "row_number") -> DataFram
     """df with gapless global row numbers from 0 that depend on its rows alone, not on its partitions.
 
     Equal rows are counted before the shuffle and expanded again afterwards, so a row that repeats for a third of
-    the table costs no more than another. Buckets by hash are numbered in parallel; only their row
-    counts (65,536 at most) pass through the driver.
+    the table costs no more than another until then; it is expanded in chunks of CHUNK numbers, which are dealt out. Buckets by hash are numbered in
+    parallel; a window over their row counts (65,536 at most) gives each its first number.
     """
     columns = df.columns
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
     n = df.count()
     buckets = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
-    counted = counted.withColumn("__b", F.pmod(F.xxhash64(*columns), F.lit(buckets)))
-    offsets, start = [], 0
-    sizes = {r["__b"]: r["s"] for r in counted.groupBy("__b").agg(F.sum("__n").alias("s")).collect()}
-    for b in range(buckets):
-        offsets.append(start)
-        start += sizes.get(b, 0)
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", F.pmod(F.xxhash64(*columns), F.lit(buckets)))
+    totals = counted.groupBy("__b").agg(F.sum("__n").alias("__s"))
+    starts = totals.select("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
     order = [F.col(id_col), *(F.col(c) for c in columns if c != id_col)]
     upto = F.sum("__n").over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    base = F.array(*map(F.lit, offsets))[F.col("__b").cast("int")].cast("long")
-    return (
-        counted.withColumn("__end", base + upto)
-        .select(*columns, F.explode(F.sequence(F.col("__end") - F.col("__n"), F.col("__end") - 1)).alias(number))
-    )
+    placed = counted.withColumn("__upto", upto).join(starts, "__b").withColumn("__end", F.col("__start") + F.col("__upto"))
+    few = placed.where(F.col("__n") <= CHUNK).select(*columns, F.explode(F.sequence(F.col("__end") - F.col("__n"), F.col("__end") - 1)).alias(number))
+    chunks = placed.where(F.col("__n") > CHUNK).select(*columns, "__end", F.explode(F.sequence(F.col("__end") - F.col("__n"), F.col("__end") - 1, F.lit(CHUNK))).alias("__from"))
+    last = F.least(F.col("__from") + CHUNK, F.col("__end")) - 1
+    return few.unionByName(chunks.repartition("__from").select(*columns, F.explode(F.sequence("__from", last)).alias(number)))
 
 
 def shard(df: DataFrame, id_col: str, shards: int, seed: int = 0) -> DataFrame:
@@ -90,14 +89,18 @@ def shard(df: DataFrame, id_col: str, shards: int, seed: int = 0) -> DataFrame:
 
     The global row number is permuted (see `permuted`); shard is the permuted number modulo `shards` and slot
     the quotient, so slots are gapless from 0 in each shard and both can be computed from the row number alone.
-    Null values are values like others; repeated rows each get a place; an empty table gives an empty table. df's
-    columns must be such that they can be grouped and ordered and have no names that begin with two underscores;
-    columns named row_number, shard or slot are replaced.
+    Null values are values like others; repeated rows each get a place; an empty table gives an empty table. Columns may have any
+    names; those named row_number, shard or slot are replaced. Map columns are compared by their sorted entries; maps inside other columns are not supported.
     """
     df = df.drop("row_number", "shard", "slot")
     n = df.count()
-    rows = numbered(df, id_col).withColumn("row_number", permuted(F.col("row_number"), n, seed))
-    return rows.select(*df.columns, (F.col("row_number") % shards).cast("int").alias("shard"), F.floor(F.col("row_number") / shards).cast("long").alias("slot"))
+    flat = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    maps = [f.name for f in flat.schema if isinstance(f.dataType, MapType)]
+    flat = flat.withColumns({c: F.array_sort(F.map_entries(c)) for c in maps})
+    rows = numbered(flat, flat.columns[df.columns.index(id_col)]).withColumns({c: F.map_from_entries(c) for c in maps})
+    p = permuted(F.col("row_number"), n, seed)
+    rows = rows.withColumn("row_number", p).select(*flat.columns, (F.col("row_number") % shards).cast("int").alias("shard"), F.floor(F.col("row_number") / shards).cast("long").alias("slot"))
+    return rows.toDF(*df.columns, "shard", "slot")
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
