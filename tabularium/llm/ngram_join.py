@@ -26,6 +26,8 @@ T = 64
 BRANCH, DEPTH, RECALL = 2, 3, 0.9999
 #: Sets of a bucket that need no further split, and of a block of the brute-force search in a bucket and in a group.
 LEAF, BLOCK, VERIFY = 48, 1024, 192
+#: Elements of all sets of a block in a group.
+GRAMS = 400_000
 #: Representatives up to which their ids are broadcast to find their texts (8 bytes each); more are joined.
 BROADCAST_IDS = 500_000
 
@@ -176,10 +178,10 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 def links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, similarity: float, n: int = WORDS) -> DataFrame:
     """Exact comparison of all sets within each candidate group: (a, b) links of a spanning forest, and (a, null, links) sums of copies linked to a set.
 
-    members: cid, root, doc (whose text has the set), copies. Groups are compared in pairs of blocks.
+    members: cid, root, doc (whose text has the set), copies, grams. Groups are compared in pairs of blocks of about VERIFY sets, or GRAMS elements of large ones.
     """
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    rows = members.join(sizes, "root")
+    sizes = members.groupBy("root").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("grams") * (VERIFY / GRAMS))).cast("long").alias("n"))
+    rows = members.drop("grams").join(sizes, "root")
     few = members.count() <= BROADCAST_IDS
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null").join(F.broadcast(rows) if few else rows, "doc")
 
@@ -215,7 +217,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = written(embedded(docs, id_col, text_col, n).dropDuplicates(["doc", "cid"]), "embedded")
     sets = written(table.groupBy("cid").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.min("grams").alias("grams"), F.first("sketch").alias("sketch")), "sets")
     groups = components(candidate_edges(sets, similarity, recall))
-    members = written(sets.select("cid", "doc", "copies").join(groups.withColumnRenamed("node", "cid"), "cid"), "members")
+    members = written(sets.select("cid", "doc", "copies", "grams").join(groups.withColumnRenamed("node", "cid"), "cid"), "members")
     found = written(links(docs, members, id_col, text_col, similarity, n), "links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cid")
     roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "cid")
