@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabularium.operators import common as C
-from tabularium.operators.common import agg_of, number, rows_from, top
+from tabularium.operators.common import agg_of, number, quantiles, rows_from, top
 
 
 def analysis_slice(df: DataFrame, date: str | None, dimensions: list[str], measures: list[str]) -> DataFrame:
@@ -117,13 +117,14 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def boxplot(df: DataFrame, col: str) -> DataFrame:
     """(n, min, q1, median, q3, max, low, high, outliers, examples): fences clipped to the data, the 30 least values beyond them."""
-    v = df.select(number(col).alias("v")).where("v is not null")
-    stats = v.agg(F.count("v").alias("n"), F.min("v").alias("min"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max("v").alias("max"))
-    spread = F.col("q")[2] - F.col("q")[0]
-    stats = stats.select("n", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", F.greatest(F.col("min"), F.col("q")[0] - 1.5 * spread).alias("low"), F.least(F.col("max"), F.col("q")[2] + 1.5 * spread).alias("high"))
-    beyond = v.crossJoin(F.broadcast(stats.select("low", "high"))).where("v < low or v > high").select("v")
-    few = beyond.orderBy("v").limit(30).agg(F.sort_array(F.collect_list("v")).alias("examples"))
-    return stats.crossJoin(beyond.agg(F.count(F.lit(1)).alias("outliers"))).crossJoin(few)
+    v = df.select(number(F.col(f"`{col}`")).alias("v")).where("v is not null")
+    _, (q1, q2, q3) = quantiles(df, [col], [0.25, 0.5, 0.75]).get(col, (0, [None] * 3))
+    low, high = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) if q1 is not None else (None, None)
+    lit = lambda x: F.lit(x).cast("double")
+    stats = v.agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.count_if((F.col("v") < lit(low)) | (F.col("v") > lit(high))).alias("outliers"))
+    few = v.where((F.col("v") < lit(low)) | (F.col("v") > lit(high))).orderBy("v").limit(30).agg(F.sort_array(F.collect_list("v")).alias("examples"))
+    stats = stats.select("n", "min", lit(q1).alias("q1"), lit(q2).alias("median"), lit(q3).alias("q3"), "max", F.greatest(F.col("min"), lit(low)).alias("low"), F.least(F.col("max"), lit(high)).alias("high"), "outliers")
+    return stats.crossJoin(F.broadcast(few))
 
 
 def kpis(df: DataFrame, mapping: dict[str, str]) -> DataFrame:

@@ -53,6 +53,67 @@ def rows_from(row: DataFrame, columns: dict[str, dict[str, str]], key: str = "co
     return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
+#: Values around a quantile that may come to the driver, and the accuracy of the estimates that close in on it.
+CLOSE, ACCURACY = 200_000, 10_000
+
+
+def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, tuple[int, list[float]]]:
+    """{column: (n, its linear quantiles)} of the columns with numbers, exactly, whatever the number of different values.
+
+    Estimates (percentile_approx) bracket each quantile; the brackets are counted, and narrowed again where they hold over CLOSE rows; then their different values
+    with counts, which are few, tell the ranks sought. Every pass serves all columns, with partial aggregates of fixed size.
+    """
+    v = [number(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(cols)]
+    rows = df.select(*v)
+    wide = [p for q in probs for p in (max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY))]
+    first = rows.agg(*(F.count(f"v{i}").alias(f"n{i}") for i in range(len(cols))), *(F.percentile_approx(f"v{i}", wide, ACCURACY).alias(f"q{i}") for i in range(len(cols)))).first()
+    sought = [[i, int((first[f"n{i}"] - 1) * q), first[f"q{i}"][2 * j], first[f"q{i}"][2 * j + 1]] for i in range(len(cols)) if first[f"n{i}"] for j, q in enumerate(probs)]
+    found: dict[int, list[float]] = {}
+    for _ in range(64):
+        if not sought:
+            break
+        inside = [F.col(f"v{i}").between(a, b) for i, _, a, b in sought]
+        row = rows.agg(*(F.count_if(F.col(f"v{i}") < a).alias(f"l{t}") for t, (i, _, a, _) in enumerate(sought)), *(F.count_if(x).alias(f"m{t}") for t, x in enumerate(inside))).first()
+        # of a bracket that an estimate missed, the side towards the rank is open
+        for t, x in enumerate(sought):
+            below, n = row[f"l{t}"], row[f"m{t}"]
+            if x[1] < below:
+                x[2] = float("-inf")
+            elif min(x[1] + 1, first[f"n{x[0]}"] - 1) >= below + n:
+                x[3] = float("inf")
+        missed = any(x[1] < row[f"l{t}"] or min(x[1] + 1, first[f"n{x[0]}"] - 1) >= row[f"l{t}"] + row[f"m{t}"] for t, x in enumerate(sought))
+        large = [t for t, x in enumerate(sought) if row[f"m{t}"] > CLOSE and x[2] < x[3]]
+        if missed:
+            continue
+        if large:
+            near = lambda t: [min(1.0, max(0.0, (sought[t][1] + d - row[f"l{t}"]) / row[f"m{t}"] + e)) for d, e in ((0, -2 / ACCURACY), (1, 2 / ACCURACY))]
+            closer = rows.agg(*(F.percentile_approx(F.when(inside[t], F.col(f"v{sought[t][0]}")), near(t), ACCURACY).alias(f"q{t}") for t in large)).first()
+            before = [tuple(x) for x in sought]
+            for t in large:
+                sought[t][2:] = closer[f"q{t}"]
+            if [tuple(x) for x in sought] != before:
+                continue
+        parts = F.array(*(F.struct(F.lit(t).alias("t"), F.when(x, F.col(f"v{sought[t][0]}")).alias("v")) for t, x in enumerate(inside)))
+        near = rows.select(F.explode(F.filter(parts, lambda s: s["v"].isNotNull())).alias("s")).groupBy("s.t", "s.v").agg(F.count(F.lit(1)).alias("k")).collect()
+        for t, (i, rank, _, _) in enumerate(sought):
+            values, at, pair = sorted((r["v"], r["k"]) for r in near if r["t"] == t), row[f"l{t}"], []
+            for want in (rank, min(rank + 1, first[f"n{i}"] - 1)):
+                upto = at
+                for value, k in values:
+                    upto += k
+                    if want < upto:
+                        pair.append(value)
+                        break
+            found.setdefault(i, []).append(pair)
+        break
+    out = {}
+    for i, pairs in found.items():
+        n = first[f"n{i}"]
+        part = [(n - 1) * q - int((n - 1) * q) for q in probs]
+        out[cols[i]] = (n, [a if a == b else a + (b - a) * f for (a, b), f in zip(pairs, part, strict=True)])
+    return out
+
+
 def top(df: DataFrame, value: str, label: str, n: int) -> DataFrame:
     """The n rows with the greatest values; ties by label, nulls last."""
     return df.orderBy(F.desc_nulls_last(value), F.asc(label)).limit(n)

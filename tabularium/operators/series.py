@@ -151,7 +151,9 @@ def segment_forecast(df: DataFrame, dim: str, date: str, metric: str, agg: str =
 
 
 def split_scores(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(keys, month, i, gap, score): for each split with 4 months on either side, the gap at the border between the lines through both parts, over the deviation of what they leave."""
+    """(keys, month, i, gap, score): for each split with 4 months on either side, the step from the left line's value at its last month to the right
+    line's at its first, over its standard error: the root of both sides' residual variances (over n - 1) by their months.
+    """
     keys = keys or []
     x = indexed(series, keys).where(F.col("n") >= BREAK_MONTHS).withColumn("x", F.col("i").cast("double"))
     order = _by(keys).orderBy("month")
@@ -164,10 +166,10 @@ def split_scores(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     ok = (F.col("i") >= 4) & (F.col("n") - F.col("i") >= 4)
     (s1, b1, e1), (s2, b2, e2) = fit(before), fit(after)
-    border = F.col("x") - 0.5
-    x = x.withColumns({"gap": F.when(ok, (b2 + s2 * border) - (b1 + s1 * border)), "sse": F.when(ok, e1 + e2), "before_mean": F.avg("value").over(before), "after_mean": F.avg("value").over(after)})
-    deviation = F.sqrt(F.greatest(F.col("sse"), F.lit(0.0)) / (F.col("n") - 4))
-    return x.where(ok).select(*keys, "month", "i", "n", "gap", F.try_divide(F.abs("gap"), F.nullif(deviation, F.lit(0.0))).alias("score"), "before_mean", "after_mean")
+    left, right = F.col("x"), F.col("n") - F.col("x")
+    spread = F.greatest(e1, F.lit(0.0)) / (left - 1) / left + F.greatest(e2, F.lit(0.0)) / (right - 1) / right
+    x = x.withColumns({"gap": F.when(ok, (b2 + s2 * left) - (b1 + s1 * (left - 1))), "spread": F.when(ok, spread), "before_mean": F.avg("value").over(before), "after_mean": F.avg("value").over(after)})
+    return x.where(ok).select(*keys, "month", "i", "n", "gap", F.try_divide(F.abs("gap"), F.nullif(F.sqrt("spread"), F.lit(0.0))).alias("score"), "before_mean", "after_mean")
 
 
 def _all_scores(y: np.ndarray) -> np.ndarray:
@@ -187,9 +189,8 @@ def _all_scores(y: np.ndarray) -> np.ndarray:
         return slope, my - slope * mx, ((syy[:, b] - syy[:, a]) / k - my**2 - slope * cov) * k
 
     (s1, b1, e1), (s2, b2, e2) = part(np.zeros_like(i), i), part(i, np.full_like(i, n))
-    border = i - 0.5
-    gap = np.abs((b2 + s2 * border) - (b1 + s1 * border))
-    dev = np.sqrt(np.maximum(e1 + e2, 0) / (n - 4))
+    gap = np.abs((b2 + s2 * i) - (b1 + s1 * (i - 1)))
+    dev = np.sqrt(np.maximum(e1, 0) / (i - 1) / i + np.maximum(e2, 0) / (n - i - 1) / (n - i))
     return np.where(dev > 0, gap / np.where(dev > 0, dev, 1), 0).max(axis=1)
 
 
@@ -230,6 +231,7 @@ def drivers(df: DataFrame, date: str, metric: str, agg: str, dims: list[str], be
     dimensions are ranked by it and `keep` of them stay. No rows if either side has fewer than `least`.
     """
     m = C.month(C.timestamp(df, date))
+    df = between_months(df, date, min([*before, *after], default=None), max([*before, *after], default=None))
     rows = df.select(m.alias("month"), number(metric).alias("v"), *(F.coalesce(F.col(d).cast("string"), F.lit("(blank)")).alias(d) for d in dims)).where(F.col("v").isNotNull() & F.col("month").isin([*before, *after]))
     rows = rows.withColumn("after", F.col("month").isin(after))
     long = rows.select("month", "after", "v", F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("segment")) for d in dims))).alias("d"))
@@ -261,8 +263,22 @@ def drill(df: DataFrame, date: str, metric: str, agg: str, dims: list[str], befo
     return drivers(inside, date, metric, agg, rest, before, after)
 
 
+def between_months(df: DataFrame, date: str, first: str | None, last: str | None) -> DataFrame:
+    """Rows from the first day of one month to the last of another; on a typed date column the scan prunes them."""
+    if first is None or last is None:
+        return df.limit(0)
+    t = C.timestamp(df, date)
+    year, month = map(int, last.split("-"))
+    kind = df.schema[date].dataType.simpleString()
+    at = lambda text: F.lit(text).cast(kind if kind in ("date", "timestamp", "timestamp_ntz") else "timestamp")
+    return df.where((t >= at(f"{first}-01")) & (t < at(f"{year + month // 12:04d}-{month % 12 + 1:02d}-01")))
+
+
 def last_two_months(df: DataFrame, date: str) -> tuple[list[str], list[str]]:
-    """([previous], [last]) of the months present."""
-    m = C.month(C.timestamp(df, date))
-    got = [r[0] for r in df.select(m.alias("m")).where("m is not null").distinct().orderBy(F.desc("m")).limit(2).collect()]
-    return got[1:2], got[:1]
+    """([previous], [last]) of the months present: two greatest dates, no grouping of the table."""
+    t = C.timestamp(df, date)
+    last = df.agg(F.max(t).alias("t")).select(C.month("t"), F.trunc(F.col("t").cast("date"), "month")).first()
+    if last[0] is None:
+        return [], []
+    before = df.where(t < F.lit(last[1]).cast(df.select(t.alias("t")).schema["t"].dataType)).agg(F.max(t).alias("t")).select(C.month("t")).first()[0]
+    return [before] if before else [], [last[0]]

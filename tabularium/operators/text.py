@@ -22,14 +22,17 @@ STOP_WORDS = (
 def keywords(df: DataFrame, col: str, n: int = 15, least: int = 10) -> DataFrame:
     """(word, n, entries_pct): runs of three or more ASCII letters in lower case, stop words aside.
 
-    Needs `least` non-blank entries of two words or more on average. An entry sends its words, and once more the different ones, so that one grouping counts both words and entries.
+    Needs `least` non-blank entries of two words or more on average. An entry counts its own words first, so that a word leaves it once.
     """
     texts = df.select(F.col(col).alias("t")).where("trim(t) <> ''")
     ok = texts.agg(F.count(F.lit(1)).alias("entries"), F.avg(F.size(F.filter(F.split(F.trim("t"), r"\s+"), lambda w: w != ""))).alias("words")).where((F.col("entries") >= least) & (F.col("words") >= 2))
-    words = texts.select(F.regexp_extract_all(F.lower("t"), F.lit("[a-z]{3,}"), 0).alias("w"))
-    once = lambda w, n, e: F.struct(w.alias("word"), F.lit(n).alias("n"), F.lit(e).alias("e"))
-    each = words.select(F.explode(F.concat(F.transform("w", lambda w: once(w, 1, 0)), F.transform(F.array_distinct("w"), lambda w: once(w, 0, 1)))).alias("x")).select("x.*")
-    by = each.where(~F.col("word").isin(STOP_WORDS)).groupBy("word").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    words = texts.select(F.array_sort(F.regexp_extract_all(F.lower("t"), F.lit("[a-z]{3,}"), 0)).alias("w"))
+    # equal words stand together: those that differ from the one before begin a group, which ends where the next begins
+    first = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    words = words.where(F.size("w") > 0).withColumn("at", first)
+    each = words.select("w", F.size("w").alias("all"), "at", F.posexplode("at").alias("j", "i"))
+    each = each.select(F.get("w", F.col("i")).alias("word"), (F.coalesce(F.get("at", F.col("j") + 1), F.col("all")) - F.col("i")).alias("n"))
+    by = each.where(~F.col("word").isin(STOP_WORDS)).groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("e"))
     return by.crossJoin(F.broadcast(ok)).select("word", "n", (F.col("e") * 100.0 / F.col("entries")).alias("entries_pct")).orderBy(F.desc("n"), "word").limit(n)
 
 

@@ -518,8 +518,8 @@ def segment_forecast(spark, d):
 
 
 @query(f"""with {MONTHLY}, x as (select month, value, row_number() over (order by month) - 1 as i, count(*) over () as n from series), s as (select a.i, a.month, a.n, regr_slope(b.value, b.i) filter (where b.i < a.i) as s1, regr_intercept(b.value, b.i) filter (where b.i < a.i) as b1, regr_slope(b.value, b.i) filter (where b.i >= a.i) as s2, regr_intercept(b.value, b.i) filter (where b.i >= a.i) as b2,
-(var_pop(b.value) filter (where b.i < a.i) * (1 - regr_r2(b.value, b.i) filter (where b.i < a.i))) * a.i + (var_pop(b.value) filter (where b.i >= a.i) * (1 - regr_r2(b.value, b.i) filter (where b.i >= a.i))) * (a.n - a.i) as sse from x a, x b where a.i >= 4 and a.n - a.i >= 4 group by 1, 2, 3)
-select month, i, round(abs(b2 + s2 * (i - 0.5) - b1 - s1 * (i - 0.5)) / sqrt(sse / (n - 4)), 4) as score from s""")
+var_pop(b.value) filter (where b.i < a.i) * (1 - regr_r2(b.value, b.i) filter (where b.i < a.i)) / (a.i - 1) + var_pop(b.value) filter (where b.i >= a.i) * (1 - regr_r2(b.value, b.i) filter (where b.i >= a.i)) / (a.n - a.i - 1) as v from x a, x b where a.i >= 4 and a.n - a.i >= 4 group by 1, 2, 3)
+select month, i, round(abs(b2 + s2 * i - b1 - s1 * (i - 1)) / sqrt(v), 4) as score from s""")
 def split_scores(spark, d):
     return S.split_scores(monthly_orders(spark, d)).select("month", F.col("i").cast("long").alias("i"), "score")
 
