@@ -67,6 +67,26 @@ def combine(frames: list[DataFrame], mappings: list[dict[str, str]], names: list
     return out
 
 
+def compare_tables(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(aspect, value_a, value_b, differs): rows, columns, quality score and domain of two tables."""
+    from tabularium.operators import quality as Q
+
+    p, q = Q.understand(a), Q.understand(b)
+    score = lambda d: str(Q.quality_score(d).first()["score"])
+    rows = [("rows", str(p.rows), str(q.rows)), ("columns", str(p.columns), str(q.columns)), ("quality_score", score(a), score(b)), ("domain", p.domain, q.domain)]
+    return a.sparkSession.createDataFrame([(*r, r[1] != r[2]) for r in rows], "aspect string, value_a string, value_b string, differs boolean")
+
+
+def issue_drift(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two tables of findings (kind, subject, priority): (kind, subject, old_priority, new_priority, change resolved | new | worse | better | same)."""
+    rank = lambda c: F.array_position(F.array(*map(F.lit, ("low", "medium", "high"))), F.col(c))
+    keyed = lambda d, name: d.groupBy("kind", "subject").agg(F.max_by("priority", F.array_position(F.array(*map(F.lit, ("low", "medium", "high"))), F.col("priority"))).alias(name), F.lit(True).alias(f"in_{name}"))
+    both = keyed(old, "old_priority").join(keyed(new, "new_priority"), ["kind", "subject"], "full_outer")
+    moved = rank("new_priority") - rank("old_priority")
+    change = F.when(F.col("in_new_priority").isNull(), "resolved").when(F.col("in_old_priority").isNull(), "new").when(moved > 0, "worse").when(moved < 0, "better").otherwise("same")
+    return both.select("kind", "subject", "old_priority", "new_priority", change.alias("change"))
+
+
 KPI_NAMES = ("total_revenue", "total_profit", "margin_pct", "order_count", "avg_order_value", "unique_customers", "revenue_per_customer", "total_units", "completeness_pct")
 
 

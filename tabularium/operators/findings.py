@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabularium.operators import aggregates as A
+from tabularium.operators import inference as I
 from tabularium.operators import quality as Q
 from tabularium.operators.common import number
 
@@ -82,10 +83,10 @@ def discount_bands(df: DataFrame, discount: str, revenue: str, profit: str) -> D
 
 
 def declining(df: DataFrame, date: str, metric: str, agg: str = "sum") -> DataFrame:
-    """The change from first to last year; significant below -5 %, priority medium from -15 and high from -30 %."""
+    """The change from first to last year; significant below -5 %, priority medium below -15 and high below -30 %."""
     y = A.yearly_change(df, date, metric, agg)
     c = F.col("change_pct")
-    return _facts(y, kind="declining", subject=F.lit(metric), value_label=F.concat_ws("-", "first_year", "last_year"), metric=F.lit(metric), value=c, reference=F.lit(-5.0), score=F.greatest(-c, F.lit(0.0)), priority=F.when(c <= -30, "high").when(c <= -15, "medium").otherwise("low"), significant=c < -5)
+    return _facts(y, kind="declining", subject=F.lit(metric), value_label=F.concat_ws("-", "first_year", "last_year"), metric=F.lit(metric), value=c, reference=F.lit(-5.0), score=F.greatest(-c, F.lit(0.0)), priority=F.when(c < -30, "high").when(c < -15, "medium").otherwise("low"), significant=c < -5)
 
 
 def missing_data(df: DataFrame, cols: list[str], n: int = 3) -> DataFrame:
@@ -114,14 +115,68 @@ def under_performing(df: DataFrame, dim: str, measure: str) -> DataFrame:
     return _facts(one, kind="under_performing", subject=F.lit(dim), value_label=F.col("b.label"), metric=F.lit(measure), value=F.col("b.m"), reference=F.col("overall"), score=below, significant=below >= 15)
 
 
+#: Priorities after a gate that a finding failed.
+LOWER = {"high": "medium", "medium": "low", "low": "low"}
+
+
 def ranked(facts: DataFrame, n: int = 8) -> DataFrame:
     """The n findings with the greatest scores; those that failed their gate count 0.6 times and go down one priority."""
     failed = F.col("significant") == F.lit(False)
-    down = F.when(F.col("priority") == "high", "medium").when(F.col("priority").isin("medium", "low"), "low").otherwise(F.col("priority"))
+    down = F.coalesce(F.create_map(*(F.lit(x) for kv in LOWER.items() for x in kv))[F.col("priority")], F.col("priority"))
     gated = facts.withColumn("score", F.when(failed, F.col("score") * 0.6).otherwise(F.col("score"))).withColumn("priority", F.when(failed, down).otherwise(F.col("priority")))
     return gated.orderBy(F.desc_nulls_last("score"), "kind", "subject", "value_label").limit(n)
 
 
 def gated(fact: DataFrame, claim: DataFrame) -> DataFrame:
-    """A finding's significance from a bootstrap (inference.bootstrap_claim) of its numbers, beside its rule."""
-    return fact.crossJoin(claim.select(F.col("significant").alias("__s"), "low", "high")).withColumn("significant", F.coalesce(F.col("significant") & F.col("__s"), F.lit(False))).drop("__s")
+    """A finding after a bootstrap (inference.bootstrap_claim) of the numbers behind it: with low and high of the interval, and significant or not.
+
+    One that doesn't hold keeps 0.6 of its score and goes down one priority. Where the bootstrap can't be run (too few rows), the finding stays as it is.
+    """
+    checked = F.col("__s").isNotNull()
+    down = F.create_map(*(F.lit(x) for kv in LOWER.items() for x in kv))[F.col("priority")]
+    fails = checked & ~F.col("__s")
+    known = claim.where("valid > 0").agg(F.max("significant").alias("__s"), F.round(F.max("low"), 3).alias("ci_low"), F.round(F.max("high"), 3).alias("ci_high"))
+    out = fact.crossJoin(F.broadcast(known))
+    return out.select(
+        *(c for c in fact.columns if c not in ("score", "priority", "significant")), F.when(fails, F.col("score") * 0.6).otherwise(F.col("score")).alias("score"), F.when(fails, down).otherwise(F.col("priority")).alias("priority"),
+        F.when(checked, F.col("__s")).alias("significant"), "ci_low", "ci_high",
+    )
+
+
+def weak_points(df: DataFrame, date: str | None, metric: str, agg: str, dims: list[str], profit: str | None = None, n: int = 6) -> DataFrame:
+    """The n weak points of a table with the greatest scores: a decline, concentrations, weak segments, losing segments, high outliers and missing data.
+
+    Each claim is checked by a bootstrap of the rows that it stands on (see `gated`); missing data is a fact about all rows and isn't.
+    """
+    facts = [missing_data(df, [c for c in df.columns]).withColumns({"ci_low": F.lit(None).cast("double"), "ci_high": F.lit(None).cast("double"), "significant": F.lit(None).cast("boolean")})]
+
+    def add(fact: DataFrame, kind: str, group: str | None, level: str | None, reference: float, rows: DataFrame = df, other: str | None = None, value: str = metric) -> None:
+        facts.append(gated(fact, I.bootstrap_claim(rows, kind, value, group, level, other=other, reference=reference)))
+
+    if date:
+        fact = declining(df, date, metric, agg).where("significant")
+        row = fact.first()
+        if row:
+            first, last = row["value_label"].split("-")
+            add(fact, "change", "__year", last, -5.0, df.withColumn("__year", F.year(date).cast("string")), first)
+    for dim in dims:
+        fact = concentration(df, dim, metric).where("significant")
+        row = fact.first()
+        if row:
+            level = F.when(F.col("value") > 50, "high").when(F.col("value") > 2 * F.col("reference"), "medium").otherwise("low")
+            add(fact.withColumn("priority", level), "share", dim, row["value_label"], 1.5 * row["reference"])
+        fact = under_performing(df, dim, metric).where("significant")
+        row = fact.first()
+        if row:
+            add(fact.withColumn("priority", F.when(F.col("score") > 35, "high").otherwise("medium")), "gap", dim, row["value_label"], 0.0)
+        if profit:
+            for row in losing_segments(df, dim, metric, profit).where("significant").collect():
+                one = losing_segments(df, dim, metric, profit).where((F.col("value_label") == row["value_label"]) & F.col("significant")).withColumn("priority", F.when(F.col("value") < -20, "high").otherwise("medium"))
+                add(one, "mean", None, None, 0.0, df.where(F.col(dim).cast("string") == row["value_label"]), value=profit)
+    high = high_outliers(df, metric).where("significant")
+    if high.first():
+        facts.append(high.withColumns({"priority": F.when(F.col("value") > 40, "high").otherwise("medium"), "ci_low": F.lit(None).cast("double"), "ci_high": F.lit(None).cast("double")}))
+    out = facts[0]
+    for more in facts[1:]:
+        out = out.unionByName(more.select(*facts[0].columns))
+    return out.orderBy(F.desc_nulls_last("score"), "kind", "subject", "value_label").limit(n)

@@ -40,11 +40,11 @@ def keywords(df: DataFrame, col: str, n: int = 15, least: int = 10) -> DataFrame
 EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]{1,255}\.[A-Za-z]{2,24}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PAN = r"[A-Z]{5}[0-9]{4}[A-Z]"
-AADHAAR = r"[0-9]{4} ?[0-9]{4} ?[0-9]{4}"
+AADHAAR = r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"
 IPV4 = r"((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-PHONE = r"\+?[0-9() .\-]{7,24}"
-DATE_LIKE = r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}.{0,20}"
-NAME = r"[A-Z][a-z]{1,30}([ -][A-Z][a-z]{1,30}){1,3}"
+PHONE = r"\+?\(?[0-9]{1,4}\)?[ \t.\-]?\(?[0-9]{2,5}\)?[ \t.\-]?[0-9]{3,5}[ \t.\-]?[0-9]{0,5}"
+DATE_LIKE = r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}.{0,200}"
+NAME = r"[A-Z][a-z'\-]{1,60}([ \t]{1,8}[A-Z][a-z'\-.]{1,60}){1,2}"
 #: What headers of personal data are called, words that make a header one about such a field, and what makes an id a person's.
 HEADERS = {
     "email": ("email", "e mail", "emailaddress", "mail address"),
@@ -59,6 +59,12 @@ HEADERS = {
 ABOUT = ("model", "type", "count", "status", "flag", "domain", "provider", "brand", "plan", "usage", "year")
 PERSONS = "customer patient user employee member student person client passenger subscriber visitor account staff worker applicant donor resident policyholder cardholder driver".split()
 IDS = ("id", "ids", "no", "number", "code", "key", "uid", "guid", "uuid")
+#: Words of headers whose names are no person's; kinds whose values are telling by themselves; kinds whose headers nearly always mean a person.
+NOT_PERSONS = ("product", "item", "company", "brand", "city", "country", "state", "category", "region", "store", "file", "campaign", "project", "team", "department", "school", "hospital")
+STRONG = ("email", "gov_id", "card")
+PERSONAL = ("email", "phone", "gov_id", "card", "person_id", "dob", "person_name")
+#: The order in which values of equal rates are judged.
+ORDER = ("email", "gov_id", "card", "ip", "phone", "person_name")
 
 
 def _whole(c: Column, pattern: str) -> Column:
@@ -82,9 +88,14 @@ def _matchers(c: Column) -> dict[str, Column]:
     }
 
 
+def header_words(name: str) -> list[str]:
+    """A header's words in lower case; capitals begin one."""
+    return normal_name(re.sub(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", name)).split()
+
+
 def header_kind(name: str) -> str | None:
     """What a header alone says; headers about a field (`email_count`, `address type`) don't count."""
-    words = normal_name(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name)).split()
+    words = header_words(name)
     if not words or words[-1] in ABOUT:
         return None
     line = f" {' '.join(words)} "
@@ -112,17 +123,31 @@ def value_rates(df: DataFrame) -> DataFrame:
 def scan_sensitive(df: DataFrame) -> DataFrame:
     """(column, kind, by_value, by_header, rate, confidence) of columns that seem to hold personal data; never a value.
 
-    By value: a pattern matches half of the non-blank text, the best rate wins; person names need 0.6 and 40 % distinct values. By header:
-    any column. confidence: high with both or a value rate of 0.8; medium by value, or by a header that is almost always personal; low by other headers.
+    By value: a pattern matches half of the non-blank text; the best rate wins. Phone and government numbers look alike, so there the header decides.
+    Person names need a rate of 0.6, 40 % distinct values and a header that is about a name or says nothing else. By header: any column.
+    confidence: high where both agree on the kind, or by value alone for an e-mail address, a government or card number at a rate of 0.8; medium by another value, or by a header that
+    is almost always personal; low by other headers. A column without any text (or numbers) has no e-mail addresses, phones or cards to show.
     """
-    good = (F.col("rate") >= F.when(F.col("kind") == "person_name", 0.6).otherwise(0.5)) & ((F.col("kind") != "person_name") | (F.col("distinct_share") >= 0.4))
-    best = Window.partitionBy("column").orderBy(F.desc("rate"), "kind")
-    values = value_rates(df).where(good).withColumn("k", F.row_number().over(best)).where("k = 1").select("column", F.col("kind").alias("value_kind"), "rate")
-    heads = df.sparkSession.createDataFrame([(c, k) for c in df.columns if (k := header_kind(c))], "column string, header_kind string")
-    both = values.join(heads, "column", "full_outer")
+    kinds = {c: header_kind(c) for c in df.columns}
+    named = [c for c in df.columns if kinds[c] == "person_name" or (kinds[c] is None and "name" in header_words(c) and not set(header_words(c)) & set(NOT_PERSONS))]
+    heads = df.sparkSession.createDataFrame([(c, k) for c, k in kinds.items() if k], "column string, header_kind string")
+    person = (F.col("kind") == "person_name") & (F.col("rate") >= 0.6) & (F.col("distinct_share") >= 0.4) & F.col("column").isin(named or [""])
+    good = person | ((F.col("kind") != "person_name") & (F.col("rate") >= 0.5))
+    rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("kind"))
+    # person names only where nothing else matches
+    best = Window.partitionBy("column").orderBy(F.col("kind") == "person_name", F.desc("rate"), rank)
+    values = value_rates(df)
+    blank = values.groupBy("column").agg(F.max("rate").isNull().alias("blank"))
+    values = values.where(good).withColumn("k", F.row_number().over(best)).where("k = 1").select("column", F.col("kind").alias("value_kind"), "rate")
+    both = values.join(heads, "column", "full_outer").join(blank, "column", "left")
+    alike = F.col("value_kind").isin("phone", "gov_id") & F.col("header_kind").isin("phone", "gov_id")
+    both = both.withColumn("value_kind", F.when(alike, F.col("header_kind")).otherwise(F.col("value_kind")))
     by_value, by_header = F.col("value_kind").isNotNull(), F.col("header_kind").isNotNull()
-    both = both.withColumn("kind", F.coalesce("value_kind", "header_kind"))
-    return both.select("column", "kind", by_value.alias("by_value"), by_header.alias("by_header"), "rate", F.when(by_value & (by_header | (F.col("rate") >= 0.8)), "high").when(by_value | ~F.col("kind").isin("address", "ip"), "medium").otherwise("low").alias("confidence"))
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    empty = ~by_value & F.col("header_kind").isin("email", "phone", "card") & F.coalesce("blank", ~F.col("column").isin(numbers or [""]))
+    confidence = F.when(by_value & (F.col("value_kind") == F.col("header_kind")), "high").when(by_value, F.when(F.col("value_kind").isin(*STRONG) & (F.col("rate") >= 0.8), "high").otherwise("medium"))
+    confidence = confidence.otherwise(F.when(F.col("header_kind").isin(*PERSONAL), "medium").otherwise("low"))
+    return both.where(~F.coalesce(empty, F.lit(False))).select("column", F.coalesce("value_kind", "header_kind").alias("kind"), by_value.alias("by_value"), by_header.alias("by_header"), "rate", confidence.alias("confidence"))
 
 
 def scan_text_leaks(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -674,6 +674,114 @@ def mask_columns(spark, d):
     return m.select("c_custkey", F.count(F.lit(1)).over(Window.partitionBy("c_mktsegment")).alias("same"))
 
 
+# the same operators on planted rows, so that their rules have something to find
+
+
+PLANTED = """pts as (select l_orderkey, l_linenumber, l_quantity, case when l_orderkey % 500 = 0 then l_extendedprice + 300000 else l_extendedprice end as price from lineitem),
+mo as (select avg(l_quantity) as mx, avg(price) as my, var_samp(l_quantity) as sxx, var_samp(price) as syy, covar_samp(l_quantity, price) as sxy, stddev_pop(l_quantity) as dx, stddev_pop(price) as dy from pts),
+dist as (select pts.*, (syy * (l_quantity - mx) ** 2 - 2 * sxy * (l_quantity - mx) * (price - my) + sxx * (price - my) ** 2) / (sxx * syy - sxy * sxy) as d2, (l_quantity - mx) / dx as zx, (price - my) / dy as zy from pts, mo)"""
+
+
+@query(f"""with {PLANTED} select l_orderkey, l_linenumber, round(d2, 4) as distance, round(exp(-d2 / 2), 4) as p_value, round(zx, 4) as z_quantity, round(zy, 4) as z_price,
+case when abs(zx) >= 0.5 and abs(zy) >= 0.5 then (case when abs(zy) >= abs(zx) then 'price,l_quantity' else 'l_quantity,price' end) when abs(zx) >= 0.5 then 'l_quantity' when abs(zy) >= 0.5 then 'price' else '' end as traits
+from dist where d2 > 9.210340371976184 order by d2 desc, 1, 2 limit 50""")
+def anomalies_planted(spark, d):
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.when(F.col("l_orderkey") % 500 == 0, F.col("l_extendedprice") + 300000).otherwise(F.col("l_extendedprice")).alias("price"))
+    got = R.anomalies(t, ["l_quantity", "price"], ["l_orderkey", "l_linenumber"])
+    return got.select("l_orderkey", "l_linenumber", "distance", "p_value", F.col("z")["l_quantity"].alias("z_quantity"), F.col("z")["price"].alias("z_price"), F.concat_ws(",", "traits").alias("traits"))
+
+
+@query("""with s(name, columns) as (values ('halves', ['o_orderkey', 'o_custkey', 'o_totalprice']), ('narrow', ['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate']), ('wider', ['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority', 'extra', 'more'])),
+n as (select array_agg(column_name) as now from (describe orders)), j as (select name, len(list_intersect(columns, now))::double / len(list_distinct(list_concat(columns, now))) as jaccard from s, n)
+select name, round(jaccard, 4) as jaccard from j where jaccard >= 0.6 order by 2 desc, 1 limit 1""")
+def match_snapshot_closest(spark, d):
+    o = table(spark, d, "orders")
+    older = {"halves": o.select("o_orderkey", "o_custkey", "o_totalprice"), "narrow": o.drop("o_orderpriority"), "wider": o.withColumns({"extra": F.lit(1), "more": F.lit(2)})}
+    out = None
+    for name, df in older.items():
+        part = J.snapshot(df, ["o_totalprice"]).select(F.lit(name).alias("name"), "columns")
+        out = part if out is None else out.unionByName(part)
+    return J.match_snapshot(out, o.columns)
+
+
+@query("""select 'o_orderstatus' as "column", min(o_orderstatus) as value from orders where o_orderstatus = 'O' union all select 'year', strftime(min(o_orderdate), '%Y') from orders where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1997-01-01'""")
+def constant_columns_filtered(spark, d):
+    o = table(spark, d, "orders")
+    one = o.where("o_orderstatus = 'O'").select("o_orderkey", "o_orderstatus", F.lit(None).cast("string").alias("year"))
+    two = o.where("o_orderdate >= timestamp_ntz'1996-01-01' and o_orderdate < timestamp_ntz'1997-01-01'").select("o_orderkey", F.lit(None).cast("string").alias("o_orderstatus"), F.date_format("o_orderdate", "yyyy").alias("year"))
+    return Q.constant_columns(one.unionByName(two))
+
+
+PERSONAL = """people as (select c_custkey, 'user' || c_custkey || '@mail.example.org' as contact, case when c_custkey % 4 = 0 then 'none' else '+1 555 ' || lpad((c_custkey % 900 + 100)::varchar, 3, '0') || ' ' || lpad((c_custkey % 9000 + 1000)::varchar, 4, '0') end as tel,
+ lpad((c_custkey % 899 + 100)::varchar, 3, '0') || '-12-' || lpad((c_custkey % 9000 + 1000)::varchar, 4, '0') as ssn, 'Ann ' || chr((65 + c_custkey % 26)::int) || chr((97 + c_custkey % 25)::int) || chr((97 + c_custkey // 25 % 25)::int) || chr((97 + c_custkey // 625 % 25)::int) as customer_name,
+ '10.0.' || (c_custkey % 250) || '.' || (c_custkey // 250 % 250) as last_seen, c_mktsegment as address_type, c_nationkey as zip_code from customer)"""
+
+
+def _people(spark, d):
+    k = F.col("c_custkey")
+    three, four = lambda a: F.lpad((k % a + 100).cast("string"), 3, "0"), F.lpad((k % 9000 + 1000).cast("string"), 4, "0")
+    letter = lambda base, x: F.chr((base + x).cast("long"))
+    name = F.concat(F.lit("Ann "), letter(65, k % 26), letter(97, k % 25), letter(97, F.floor(k / 25) % 25), letter(97, F.floor(k / 625) % 25))
+    return table(spark, d, "customer").select(
+        "c_custkey", F.concat(F.lit("user"), k, F.lit("@mail.example.org")).alias("contact"), F.when(k % 4 == 0, "none").otherwise(F.concat(F.lit("+1 555 "), three(900), F.lit(" "), four)).alias("tel"),
+        F.concat(three(899), F.lit("-12-"), four).alias("ssn"), name.alias("customer_name"), F.concat(F.lit("10.0."), k % 250, F.lit("."), F.floor(k / 250) % 250).alias("last_seen"), F.col("c_mktsegment").alias("address_type"), F.col("c_nationkey").alias("zip_code"),
+    )
+
+
+PERSONAL_RATES = f"""{PERSONAL}, r as (select avg(regexp_full_match(contact, '{X.EMAIL}')::int) as contact, avg((regexp_full_match(tel, '{X.PHONE}') and length(regexp_replace(tel, '[^0-9]', '', 'g')) between 7 and 15)::int) as tel, avg(regexp_full_match(ssn, '{X.SSN}')::int) as ssn,
+ avg(regexp_full_match(customer_name, '{X.NAME.replace("'", "''")}')::int) as names, count(distinct customer_name) / count(*)::double as share, avg(regexp_full_match(last_seen, '{X.IPV4}')::int) as ip from people)"""
+
+
+@query(f"""with {PERSONAL_RATES} select * from (select 'contact' as "column", 'email' as kind, true as by_value, false as by_header, round(contact, 4) as rate, case when contact >= 0.8 then 'high' else 'medium' end as confidence from r where contact >= 0.5
+union all select 'tel', 'phone', true, false, round(tel, 4), 'medium' from r where tel >= 0.5 union all select 'ssn', 'gov_id', true, true, round(ssn, 4), 'high' from r where ssn >= 0.5
+union all select 'customer_name', 'person_name', true, true, round(names, 4), 'high' from r where names >= 0.6 and share >= 0.4 union all select 'last_seen', 'ip', true, false, round(ip, 4), 'medium' from r where ip >= 0.5
+union all select 'zip_code', 'address', false, true, null, 'low' from r)""")
+def scan_sensitive_planted(spark, d):
+    return X.scan_sensitive(_people(spark, d))
+
+
+@query(f"""with {PERSONAL_RATES} select * from (select 'contact' as "column", 'email' as kind, 'value' as source, case when contact >= 0.8 then 'high' else 'medium' end as confidence, true as blocks from r where contact >= 0.5
+union all select 'tel', 'phone', 'value', 'medium', true from r where tel >= 0.5 union all select 'ssn', 'gov_id', 'value', 'high', true from r where ssn >= 0.5 union all select 'customer_name', 'person_name', 'value', 'high', true from r where names >= 0.6 and share >= 0.4
+union all select 'last_seen', 'ip', 'value', 'medium', true from r where ip >= 0.5 union all select 'note', 'email', 'text', 'medium', true from people where c_custkey % 100 = 7 having count(*) > 0)""")
+def publish_guard_planted(spark, d):
+    p = _people(spark, d).withColumn("note", F.when(F.col("c_custkey") % 100 == 7, F.concat(F.lit("write to "), F.col("contact"))).otherwise("nothing to see here"))
+    return X.publish_findings(p, masked=["zip_code"])
+
+
+@query("""with c as (select c_mktsegment as v, count(*) as n from customer group by 1) select a.c_mktsegment as value, count(*) as rows, 1::bigint as names, true as named, true as hidden, 2::bigint as columns from customer a group by 1""")
+def mask_columns_names(spark, d):
+    """Each value has one name of its own, which doesn't show it."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").alias("secret"), F.col("c_mktsegment").alias("plain"))
+    m = X.mask_columns(c, ["c_mktsegment", "secret"]).drop("c_custkey")
+    by = m.groupBy("plain").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("c_mktsegment").alias("names"), F.bool_and(F.rlike("c_mktsegment", F.lit("^c_mktsegment [0-9]+$"))).alias("named"), F.bool_and(~F.contains("c_mktsegment", "plain")).alias("hidden"))
+    alone = m.groupBy("c_mktsegment").agg(F.count_distinct("plain").alias("k")).agg(F.max("k").alias("k")).where("k = 1")
+    return by.crossJoin(F.broadcast(alone)).select(F.col("plain").alias("value"), "rows", "names", "named", "hidden", F.lit(len(m.columns)).cast("long").alias("columns"))
+
+
+@query("""with o as (select count(*) as n from orders), l as (select count(*) as n from (select * from orders where o_orderpriority = '1-URGENT')) select aspect, a as value_a, b as value_b, a <> b as differs from (
+select 'rows' as aspect, (select n from o)::varchar as a, (select n from l)::varchar as b union all select 'columns', '6', '6' union all select 'quality_score', '100.0', '97.5' union all select 'domain', 'generic', 'generic')""")
+def compare_tables(spark, d):
+    o = table(spark, d, "orders")
+    return J.compare_tables(o, o.where("o_orderpriority = '1-URGENT'"))
+
+
+def _misses(spark, d, k):
+    o = table(spark, d, "orders")
+    gone = {"o_totalprice": k % 2, "o_orderpriority": 3 + 5 * (k % 2), "o_orderstatus": 2 if k == 1 else None, "o_custkey": 3 if k == 2 else None}
+    return K.missing_data(o.select("o_orderkey", *(F.when(F.col("o_orderkey") % m >= (1 if m < 6 else 3), F.col(c)).alias(c) if m and m > 1 else F.col(c) for c, m in gone.items())), list(gone), 9)
+
+
+@query("""with m as (select avg((o_orderkey % 8 < 3)::int) as p8, avg((o_orderkey % 2 < 1)::int) as p2, avg((o_orderkey % 3 < 1)::int) as p3 from orders), l as (select *, case when p8 > 0.5 then 'high' when p8 > 0.3 then 'medium' else 'low' end as a, case when p2 > 0.5 then 'high' when p2 > 0.3 then 'medium' else 'low' end as b, case when p3 > 0.5 then 'high' when p3 > 0.3 then 'medium' else 'low' end as c from m)
+select 'missing' as kind, 'o_orderpriority' as subject, a as old_priority, c as new_priority, case when a = c then 'same' when c = 'high' or (c = 'medium' and a = 'low') then 'worse' else 'better' end as change from l union all select 'missing', 'o_orderstatus', b, null, 'resolved' from l union all select 'missing', 'o_custkey', null, c, 'new' from l""")
+def issue_drift(spark, d):
+    return J.issue_drift(_misses(spark, d, 1), _misses(spark, d, 2))
+
+
+@query()
+def weak_points(spark, d):
+    return K.weak_points(sales(spark, d), "l_shipdate", "revenue", "sum", ["p_type", "p_brand", "l_returnflag"], "profit")
+
+
 # report jobs
 
 
