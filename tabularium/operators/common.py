@@ -24,7 +24,12 @@ def timestamp(df: DataFrame, col: str) -> Column:
     """A timestamp from a date, timestamp or text column; text in none of DATE_FORMATS is null."""
     if not isinstance(df.schema[col].dataType, T.StringType):
         return F.col(col)
-    return F.coalesce(*(F.try_to_timestamp(F.col(col), F.lit(f)) for f in DATE_FORMATS))
+    return parsed(F.col(col))
+
+
+def parsed(text: Column) -> Column:
+    """A timestamp from text in one of DATE_FORMATS, else null."""
+    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS))
 
 
 def month(col: str | Column) -> Column:
