@@ -144,22 +144,52 @@ def usable_columns(spark, d):
     return Q.usable_columns(e.select("event_id", F.when(F.col("event_id") % 20 == 0, F.col("value")).alias("rare"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("often")))
 
 
-@query()
+#: The keyword and domain tables as SQL rows.
+KEYWORD_ROWS = ", ".join(f"({i}, '{role}', '{w}', '{Q.normal_name(w)}')" for i, (role, w) in enumerate((role, w) for role, words in Q.ROLE_KEYWORDS.items() for w in words))
+DOMAIN_ROWS = ", ".join(f"({i}, '{domain}', '{role}', {w})" for i, (domain, roles) in enumerate(Q.DOMAINS.items()) for role, w in roles.items())
+HINT_ROWS = ", ".join(f"('{role}', '{Q.normal_name(w)}', {i})" for i, (role, w) in enumerate((role, w) for role, words in Q.HINTS.items() for w in words))
+BY_NAME = f"""keywords(place, role, keyword, norm) as (values {KEYWORD_ROWS}),
+named as (select c, role, keyword from (select c, k.role, k.keyword, row_number() over (partition by c order by (n = k.norm) desc, length(k.norm) desc, place) as r from cols join keywords k on contains(n, k.norm)) where r = 1)"""
+NORMAL = "trim(regexp_replace(lower(c), '[^a-z0-9]+', ' ', 'g'))"
+SALES_COLS = f"""cols as (select c, {NORMAL} as n from (select column_name as c from (describe lineitem) union all select * from (values ('p_brand'), ('p_type'), ('p_retailprice'), ('revenue'), ('cost'), ('profit')) v(c)))"""
+# what the data say of text columns that no keyword names
+TEXT_SHARES = """shares as (select 'l_returnflag' as c, count(distinct l_returnflag) as d, count(*) as n from sales union all select 'l_linestatus', count(distinct l_linestatus), count(*) from sales union all select 'p_brand', count(distinct p_brand), count(*) from sales union all select 'p_type', count(distinct p_type), count(*) from sales)"""
+BY_SHARE = "case when d < 0.5 * n then 'CATEGORY' when d > 0.8 * n then 'IDENTIFIER' else 'TEXT' end"
+
+
+@query(f"""with cols as (select c, {NORMAL} as n from (select column_name as c from (describe orders))), {BY_NAME}, p as (select count(distinct o_orderpriority) as d, count(*) as n from orders)
+select c as "column", case when c = 'o_orderstatus' then 'CATEGORY' when role is not null then role else (select {BY_SHARE} from p) end as role, case when c = 'o_orderstatus' then 'manual' when role is not null then 'name' else 'inferred' end as confidence, case when c <> 'o_orderstatus' then keyword end as matched_keyword
+from cols left join named using (c)""")
 def classify_roles(spark, d):
     return Q.classify_roles(table(spark, d, "orders"), overrides={"o_orderstatus": "CATEGORY"})
 
 
-@query()
+@query(f"""with {SALES}, {SALES_COLS}, {TEXT_SHARES}, hints(role, hint, place) as (values {HINT_ROWS}),
+hit as (select role, c, n = hint as same, row_number() over (partition by role order by (n = hint) desc, length(hint) desc, place) as r from cols join hints on contains(n, hint)),
+taken as (select role, c as "column", case when same then 'exact' else 'substring' end as how from hit where r = 1),
+cats as (select c, row_number() over (order by c = 'l_returnflag' desc, c) as r from shares where d < 0.5 * n)
+select * from taken union all select 'category', c, 'inferred' from cats where r = 1 union all select 'other', c, 'leftover' from cats where r > 1""")
 def detect_columns(spark, d):
     return Q.detect_columns(sales(spark, d))
 
 
-@query()
+DOMAIN_SCORES = f"""domains(place, domain, role, weight) as (values {DOMAIN_ROWS}), scores as (select domain, place, sum(weight)::bigint as score from named join domains using (role) group by 1, 2)"""
+
+
+@query(f"""with {SALES_COLS}, {BY_NAME}, {DOMAIN_SCORES} select domain, score, round(score / (select sum(score) from scores), 2) as confidence, row_number() over (order by score desc, place) = 1 and score >= 3 as chosen from scores""")
 def score_domains(spark, d):
     return Q.score_domains(Q.classify_roles(sales(spark, d)))
 
 
-@query()
+MEASURE_ROWS = ", ".join(f"({i}, '{role}', '{how}')" for i, (role, how) in enumerate(Q.MEASURES.items()))
+
+
+@query(f"""with {SALES}, {SALES_COLS}, {BY_NAME}, {DOMAIN_SCORES}, {TEXT_SHARES}, m(place, role, how) as (values {MEASURE_ROWS})
+select 'measure' as kind, c as subject, coalesce(how, 'sum') as aggregation, null::bigint as n from named left join m using (role) where c not in (select c from shares) and role not in ('IDENTIFIER', 'DATE')
+union all select 'measure', c, 'sum', null from cols where c in ('l_linenumber', 'l_tax') and c not in (select c from named)
+union all select 'dimension', c, null, d from shares where d < 0.5 * n and c not in (select c from named)
+union all select 'dimension', c, null, d from named join shares using (c) where role in ('CATEGORY', 'LOCATION')
+union all select 'date', c, null, null from named where role = 'DATE' union all select 'domain', (select domain from scores where score >= 3 order by score desc, place limit 1), null, (select count(*) from sales)""")
 def dataset_profile(spark, d):
     p = Q.understand(sales(spark, d))
     rows = [("measure", c, how, None) for c, how in p.measures] + [("dimension", c, None, n) for c, n, _ in p.dimensions] + [("date", p.date, None, None), ("domain", p.domain, None, p.rows)]
@@ -511,6 +541,18 @@ def forecast(spark, d):
     return S.forecast(growing(spark, d)).select("month", "value", "slope", "intercept", "r_squared", "months")
 
 
+@query("""with s as (select o_orderpriority, strftime(o_orderdate, '%Y-%m') as month, sum(o_totalprice * (year(o_orderdate) - 1990)) as value from orders where o_orderdate < timestamp '2001-01-01' group by 1, 2),
+top as (select o_orderpriority from s group by 1 order by sum(value) desc, 1 limit 4), x as (select s.*, row_number() over (partition by o_orderpriority order by month) - 1 as i from s join top using (o_orderpriority)),
+f as (select o_orderpriority, regr_slope(value, i) as slope, regr_intercept(value, i) as base, regr_r2(value, i) as r2, count(*) as n, max(month) as last, arg_max(value, month) as last_value from x group by 1),
+p as (select f.*, k, base + slope * (n + k - 1) as value from f, (select range as k from range(1, 4)) where r2 >= 0.3)
+select o_orderpriority, strftime((last || '-01')::date + to_months(k::int), '%Y-%m') as month, round(value, 2) as value, round(slope, 2) as slope, round(base, 2) as intercept, round(r2, 4) as r_squared, n as months, round(last_value, 2) as last_value,
+round((max(value) filter (where k = 3) over (partition by o_orderpriority) - last_value) * 100 / abs(last_value), 2) as projected_change_pct from p""", 2)
+def segment_forecast_lines(spark, d):
+    """The segments' lines, without the bootstrapped band."""
+    o = table(spark, d, "orders").where("o_orderdate < timestamp_ntz'2001-01-01'").withColumn("grown", F.col("o_totalprice") * (F.year("o_orderdate") - 1990))
+    return S.segment_forecast(o, "o_orderpriority", "o_orderdate", "grown").select("o_orderpriority", "month", "value", "slope", "intercept", F.round("r_squared", 4).alias("r_squared"), "months", "last_value", "projected_change_pct")
+
+
 @query()
 def segment_forecast(spark, d):
     o = table(spark, d, "orders").where("o_orderdate < timestamp_ntz'2001-01-01'").withColumn("grown", F.col("o_totalprice") * (F.year("o_orderdate") - 1990))
@@ -524,6 +566,17 @@ def split_scores(spark, d):
     return S.split_scores(monthly_orders(spark, d)).select("month", F.col("i").cast("long").alias("i"), "score")
 
 
+@query(f"""with {MONTHLY}, x as (select month, value + case when month >= '1998-06' then (select 0.6 * avg(value) from series) else 0 end as value, row_number() over (order by month) - 1 as i, count(*) over () as n from series),
+s as (select a.i, a.month, regr_slope(b.value, b.i) filter (where b.i < a.i) as s1, regr_intercept(b.value, b.i) filter (where b.i < a.i) as b1, regr_slope(b.value, b.i) filter (where b.i >= a.i) as s2, regr_intercept(b.value, b.i) filter (where b.i >= a.i) as b2, avg(b.value) filter (where b.i < a.i) as m1, avg(b.value) filter (where b.i >= a.i) as m2,
+var_pop(b.value) filter (where b.i < a.i) * (1 - regr_r2(b.value, b.i) filter (where b.i < a.i)) / (a.i - 1) + var_pop(b.value) filter (where b.i >= a.i) * (1 - regr_r2(b.value, b.i) filter (where b.i >= a.i)) / (a.n - a.i - 1) as v from x a, x b where a.i >= 4 and a.n - a.i >= 4 group by a.i, a.month, a.n)
+select month, round(abs(b2 + s2 * i - b1 - s1 * (i - 1)) / sqrt(v), 2) as score, round(m1, 2) as before_mean, round(m2, 2) as after_mean, round((m2 - m1) * 100 / abs(m1), 2) as shift_pct, abs((m2 - m1) * 100 / abs(m1)) >= 15 as is_break from s order by 2 desc, 1 limit 1""", 2)
+def changepoint_planted(spark, d):
+    """A step of 60 % of the mean in June 1998 is the break."""
+    m = monthly_orders(spark, d)
+    step = m.agg((F.avg("value") * 0.6).alias("step"))
+    return S.changepoint(m.crossJoin(F.broadcast(step)).select("month", F.when(F.col("month") >= "1998-06", F.col("value") + F.col("step")).otherwise(F.col("value")).alias("value"))).drop("p_value")
+
+
 @query()
 def changepoint(spark, d):
     return S.changepoint(monthly_orders(spark, d))
