@@ -129,8 +129,9 @@ def kept(key: tuple, make):
 
 
 def release() -> None:
-    """Drops what the worker has kept; tasks of another kind begin with it."""
+    """Drops what the worker has kept, and gives back Arrow's unused memory; tasks of another kind begin with it."""
     _KEPT.clear()
+    pa.default_memory_pool().release_unused()
 
 
 class Hashes(dict):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import CACHE, as_bytes, bloom, in_bloom, in_slices, mix, plain_names, random_words, split_words
+from tabularium.llm.common import CACHE, as_bytes, bloom, in_bloom, in_slices, mix, plain_names, random_words, release, split_words
 
 #: Token positions that count (1) and that may differ (0). One of MASKS lies on equal tokens in each run of OVERLAP tokens or more of which
 #: NEEDED of PARTS are equal (one of 26 or more has such a half); one of SHORT[n] does so in each match of a whole item of n tokens.
@@ -26,6 +26,9 @@ BROADCAST_BYTES = 8 << 20
 class Tokens(dict):
     """Word (bytes) -> hash of its letters and digits in lower case; 0 for a word without any. Bounded."""
 
+    def __init__(self) -> None:
+        release()
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE:
             self.clear()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import Hashes, as_bytes, distinct, gram_hashes, mix, random_words, slices, split_words, written
+from tabularium.llm.common import Hashes, as_bytes, distinct, gram_hashes, in_slices, mix, random_words, split_words, written
 from tabularium.llm.components import components
 from tabularium.llm.groups import by_group, forest, in_blocks
 
@@ -60,9 +60,9 @@ def embedded(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS) -> Dat
         known = Hashes(41)
         a, b = random_words(T, 43), random_words(T, 47)
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), as_bytes(batch.column(1))
-            for lo, hi in slices(texts):
-                words, ends = split_words(texts[lo:hi])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi, texts in in_slices(batch.column(1)):
+                words, ends = split_words(texts)
                 if not words:
                     continue
                 h = known.of(words)

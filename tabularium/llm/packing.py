@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabularium.llm.common import as_bytes, kept, slices, split_words, written
+from tabularium.llm.common import in_slices, kept, split_words, written
 
 TOKENIZER = "word_bpe_49k.json"
 #: Put between chunks that are encoded together: a single token of its own; a chunk that holds it is encoded alone.
@@ -115,10 +115,9 @@ def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = kept(("chunks", path), lambda: ChunkIds(path))  # the chunks of the worker's earlier tasks are known
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for lo, hi in slices(texts):
+            for lo, hi, texts in in_slices(batch.column(1)):
                 rows = []
-                for i, got in zip(ids[lo:hi], coder.encode(texts[lo:hi]), strict=True):
+                for i, got in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), coder.encode(texts), strict=True):
                     all_ids = np.append(got, np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(all_ids), capacity)):
                         some = all_ids[start : start + capacity]

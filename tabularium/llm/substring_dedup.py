@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabularium.llm.common import Hashes, as_bytes, bloom, in_bloom, in_slices, mix, plain_names, split_words, written
+from tabularium.llm.common import Hashes, bloom, in_bloom, in_slices, mix, plain_names, split_words, written
 
 #: Words of a minimizer gram, for windows of 50.
 GRAM = 16
@@ -228,13 +228,14 @@ def with_digests(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
         key, words = None, []
         for batch in batches:
             out = []
-            doc, base = batch.column("doc").to_pylist(), batch.column("base").to_pylist()
-            for d, b, t, mark in zip(doc, base, as_bytes(batch.column("text")), batch.column("mark").to_pylist(), strict=True):
-                if mark is None:
-                    key, words = (d, b), t.split()
-                elif key == (d, b):
-                    a = mark["src"] - b
-                    out.append((d, mark["src"], mark["words"], _digest(words[a : a + mark["words"]])))
+            doc, base, marks = (batch.column(c).to_pylist() for c in ("doc", "base", "mark"))
+            for lo, hi, texts in in_slices(batch.column("text")):
+                for d, b, t, mark in zip(doc[lo:hi], base[lo:hi], texts, marks[lo:hi], strict=True):
+                    if mark is None:
+                        key, words = (d, b), t.split()
+                    elif key == (d, b):
+                        a = mark["src"] - b
+                        out.append((d, mark["src"], mark["words"], _digest(words[a : a + mark["words"]])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["owner", "src", "words", "digest"])
 
@@ -311,7 +312,8 @@ def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_co
             if here:
                 rows = rows.take(pa.array(here))
                 columns = [rows.field(i) for i in range(len(names))]
-                yield result(columns, as_bytes(columns[text_at]), found)
+                for lo, hi, texts in in_slices(columns[text_at]):
+                    yield result([c.slice(lo, hi - lo) for c in columns], texts, found[lo:hi])
 
     rest = docs.mapInArrow(plain, schema)
     some = docs.mapInArrow(_only(held, id_col), docs.schema).select(F.col(f"`{id_col}`").cast("long").alias("doc"), _base(f"`{text_col}`").alias("base"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))

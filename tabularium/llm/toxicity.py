@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import Hashes, WordTable, as_bytes, char_grams, distinct, fold, hash_sample, plain_names, slices, split_words, written
+from tabularium.llm.common import Hashes, WordTable, as_bytes, char_grams, distinct, fold, hash_sample, in_slices, plain_names, slices, split_words, written
 
 #: The bounded sample that the network is fitted on: about so many labelled documents of each label. Of one over so many bytes the gradient steps
 #: see so many words about its window of the greatest log odds; log odds and threshold come from whole texts.
@@ -394,16 +394,16 @@ def _tops(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(held.value.gates, 6 * HIDDEN, 120_000)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(worst_windows(as_bytes(batch.column("text")), table, held.value))], names=["toxic", "top"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(worst_windows(batch.column("text"), table, held.value))], names=["toxic", "top"])
 
     return run
 
 
-def worst_windows(texts: list[bytes | None], table: WordTable, net: Network) -> np.ndarray:
+def worst_windows(column: pa.Array, table: WordTable, net: Network) -> np.ndarray:
     """The greatest window logit of each text; table: the words' gates."""
-    top = np.zeros(len(texts))
-    for lo, hi in slices(texts):
-        words, ends = split_words(texts[lo:hi])
+    top = np.zeros(len(column))
+    for lo, hi, texts in in_slices(column):
+        words, ends = split_words(texts)
         ids = table.rows(words)
         top[lo:hi] = worst(table.matrix, ids, ends, net)
     return top
@@ -425,8 +425,7 @@ def score(docs: DataFrame, net: Network | None, text_col: str = "text", score_co
         net = held.value
         table = WordTable(net.gates, 6 * HIDDEN, 120_000) if net else None
         for batch in batches:
-            texts = as_bytes(batch.column(text_at))
-            out = 1 / (1 + np.exp(-np.clip(worst_windows(texts, table, net) - net.shift, -30, 30))) if net else np.zeros(len(texts))
+            out = 1 / (1 + np.exp(-np.clip(worst_windows(batch.column(text_at), table, net) - net.shift, -30, 30))) if net else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
     return docs.mapInArrow(run, types + ", score double, predicted int").toDF(*given, score_col, predicted_col)
