@@ -838,6 +838,26 @@ def weak_points(spark, d):
 # report jobs
 
 
+REPORT = f"""{SALES}, ends as (select 'l_quantity' as m, min(l_quantity) as a, max(l_quantity) as b, least(count(distinct l_quantity), 10) as k from sales union all select 'revenue', min(revenue), max(revenue), least(count(distinct revenue), 10) from sales union all select 'profit', min(profit), max(profit), least(count(distinct profit), 10) from sales),
+vals as (select 'l_quantity' as m, l_quantity as v from sales union all select 'revenue', revenue from sales union all select 'profit', profit from sales), hist as (select m, least(floor((v - a) / ((b - a) / k)), k - 1)::int as bin, count(*) as n from vals join ends using (m) group by 1, 2),
+dim as (select 'p_type' as c, p_type as label, count(*)::double as n, sum(revenue) as v from sales group by 2 union all select 'l_returnflag', l_returnflag, count(*), sum(revenue) from sales group by 2),
+cor as (select corr(revenue, profit) as rp, corr(revenue, l_quantity) as rq, corr(profit, l_quantity) as pq from sales)"""
+
+
+@query(f"""with {REPORT} select analysis, subject, label, round(value, 2) as value, importance, top from (
+select 'histogram' as analysis, m as subject, g.range::varchar as label, coalesce(n, 0)::double as value, case when m = 'revenue' then 60 else 50 end as importance, false as top from ends cross join range(10) g left join hist using (m) where g.range < k and (hist.bin = g.range or not exists (select 1 from hist h where h.m = ends.m and h.bin = g.range))
+union all select 'trend', 'revenue', strftime(l_shipdate, '%Y-%m'), sum(revenue), 85, true from sales group by 3
+union all select 'count', c, label, n, 75, true from dim union all select 'by', c, label, v, 55, false from dim
+union all select 'matrix', 'measures', x, r, 40, false from (select unnest(['revenue profit', 'profit revenue', 'revenue l_quantity', 'l_quantity revenue', 'profit l_quantity', 'l_quantity profit', 'revenue revenue', 'profit profit', 'l_quantity l_quantity']) as x, unnest([rp, rp, rq, rq, pq, pq, 1, 1, 1]) as r from cor)
+union all select 'pivot', 'l_returnflag x p_type', l_returnflag || ' ' || p_type, sum(revenue), 45, false from sales group by 3)
+where (analysis, subject, label) not in (select 'histogram', m, '' from ends)""", 2)
+def full_report_tables(spark, d):
+    """The report without its sampled points and box plot."""
+    x = report.full_report(sales(spark, d).select("l_shipdate", "p_type", "l_returnflag", "l_quantity", "revenue", "profit"), overrides={"l_shipdate": "DATE", "l_returnflag": "CATEGORY"})
+    label = F.when(F.col("analysis").isin("matrix", "pivot"), F.concat_ws(" ", "label", "other")).otherwise(F.col("label"))
+    return x.where(~F.col("analysis").isin("scatter", "box")).select("analysis", "subject", label.alias("label"), "value", "importance", "top")
+
+
 @query()
 def full_report(spark, d):
     return report.full_report(sales(spark, d).select("l_shipdate", "p_type", "l_returnflag", "l_quantity", "revenue", "profit"), overrides={"l_shipdate": "DATE", "l_returnflag": "CATEGORY"})

@@ -81,3 +81,14 @@ def test_issues_between_snapshots(spark):
     assert {(r["kind"], r["subject"]): r["change"] for r in J.issue_drift(old, new).collect()} == {("a", "x"): "worse", ("a", "y"): "better", ("b", "x"): "same", ("c", "x"): "resolved", ("d", "x"): "new"}
     got = {r["aspect"]: r["differs"] for r in J.compare_tables(spark.createDataFrame([(1.0, "a")] * 30, "sales double, region string"), spark.createDataFrame([(1.0, "a")] * 20, "sales double, region string")).collect()}
     assert got["rows"] and not got["columns"] and not got["domain"]
+
+
+def test_report_plan():
+    from tabularium.operators.quality import Profile
+    from tabularium.plans import report
+
+    p = Profile(100, 5, 100.0, "sales", "day", "Customer", [("sales", "sum"), ("profit", "sum"), ("age", "avg")], [("region", 4, True), ("kind", 9, True), ("many", 80, False)])
+    planned = report.plan(p)
+    assert [x[:2] for x in planned] == [("trend", "sales"), ("histogram", "sales"), ("histogram", "profit"), ("histogram", "age"), ("box", "sales"), ("scatter", "sales x profit"), ("scatter", "sales x age"), ("scatter", "profit x age"), ("matrix", "measures"), ("count", "region"), ("by", "region"), ("count", "kind"), ("by", "kind"), ("pivot", "region x kind")]
+    assert report.top_analyses(planned) == [("trend", "sales"), ("count", "region"), ("count", "kind")]
+    assert report.top_analyses([("count", "a", 75), ("by", "a", 55)]) == [("count", "a"), ("by", "a")] and report.top_analyses([]) == []
