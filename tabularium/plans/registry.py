@@ -835,6 +835,53 @@ def weak_points(spark, d):
     return K.weak_points(sales(spark, d), "l_shipdate", "revenue", "sum", ["p_type", "p_brand", "l_returnflag"], "profit")
 
 
+DRILLED = """f as (select strftime(l_shipdate, '%Y-%m') as month, l_extendedprice * (1 - l_discount) * case when o_orderpriority = '1-URGENT' and strftime(l_shipdate, '%Y-%m') = '1998-06' then 8 else 1 end as v, c_mktsegment, o_orderpriority from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where strftime(l_shipdate, '%Y-%m') in ('1998-05', '1998-06')),
+l as (select c_mktsegment as segment, month = '1998-06' as after, v from f where o_orderpriority = '1-URGENT'), s as (select segment, coalesce(sum(v) filter (where not after), 0) as b, coalesce(sum(v) filter (where after), 0) as a from l group by 1),
+c as (select *, a - b as change, sum(a - b) over () as net, sum(abs(a - b)) over () as gross, max(abs(a - b)) over () as most, count(*) over () as k from s)"""
+
+
+@query(f"""with {DRILLED} select 'c_mktsegment' as dimension, segment, round(b, 2) as before_value, round(a, 2) as after_value, round(change, 2) as change, round(change * 100 / net, 2) as net_share, round(abs(change) * 100 / gross, 2) as gross_share, abs(net) < 0.2 * gross as offsetting, round(most * 100 / gross - 100.0 / k, 2) as concentration, 1 as dimension_rank from c""", 2)
+def driver_drill_planted(spark, d):
+    """Urgent orders sold eight times as much in June 1998: the drill goes inside them."""
+    x = orders_full(spark, d)
+    rose = (F.col("o_orderpriority") == "1-URGENT") & (F.date_format("l_shipdate", "yyyy-MM") == "1998-06")
+    x = x.withColumn("revenue", F.when(rose, F.col("revenue") * 8).otherwise(F.col("revenue")))
+    return S.drill(x, "l_shipdate", "revenue", "sum", ["c_mktsegment", "o_orderpriority"], ["1998-05"], ["1998-06"])
+
+
+@query("""with v as (select abs(value) as v from events where value <> 0), c as (select greatest(1, least(9, floor(v / pow(10, floor(log10(v))))))::int as digit, count(*) as n from v group by 1), t as (select count(*) as t from v), g as (select range::int as digit from range(1, 10)),
+x as (select sum((coalesce(n, 0) - log10(1 + 1.0 / digit) * t) ** 2 / (log10(1 + 1.0 / digit) * t)) as chi2 from g left join c using (digit), t), h as (select chi2, chi2 / 2 as h from x)
+select 'value' as "column", round(chi2, 2) as chi2, round(exp(-h) * (1 + h + h ** 2 / 2 + h ** 3 / 6), 4) as p_value, exp(-h) * (1 + h + h ** 2 / 2 + h ** 3 / 6) < 0.05 as deviates from h""")
+def benford_test(spark, d):
+    """The test of all digits; its tail has a closed form for eight degrees of freedom."""
+    b = R.benford(table(spark, d, "events"), ["value"])
+    return b.select("column", F.round("chi2", 2).alias("chi2"), "p_value", "deviates").distinct()
+
+
+@query("""with n as (select count(*) as rows, count(distinct o_orderkey) as keys from orders) select kind, rows, share from (select 'all' as kind, (select count(*) from orders) as rows, 1.0::double as share union all select 'low', (select count(*) from orders where o_totalprice < (select quantile_cont(o_totalprice, 0.25) from orders)), round((select count(*) from orders where o_totalprice < (select quantile_cont(o_totalprice, 0.25) from orders)) / (select count(*) from orders)::double, 4)
+union all select 'top', (select count(*) from orders where o_totalprice > (select quantile_cont(o_totalprice, 0.999) from orders)), round((select count(*) from orders where o_totalprice > (select quantile_cont(o_totalprice, 0.999) from orders)) / (select count(*) from orders)::double, 4))""")
+def exact_quantiles(spark, d):
+    """Rows beyond exact quantiles: the bracketing search hits the very rank."""
+    from tabularium.operators.common import quantiles
+
+    o = table(spark, d, "orders")
+    n, (low, high) = quantiles(o, ["o_totalprice"], [0.25, 0.999])["o_totalprice"]
+    kinds = F.array(F.lit("all"), F.when(F.col("o_totalprice") < low, "low"), F.when(F.col("o_totalprice") > high, "top"))
+    return o.select(F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("rows")).withColumn("share", F.col("rows") / F.lit(float(n)))
+
+
+@query(f"""with x as (select * from lineitem where l_shipdate >= timestamp '1995-01-01' and l_shipdate < timestamp '2001-01-01' and l_returnflag in ('A', 'R')), j as (select x.*, l_extendedprice * (1 - l_discount) as revenue, c_mktsegment, o_orderpriority from x join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey),
+m as (select strftime(l_shipdate, '%Y-%m') as month, sum(revenue) as v, count(*) as n from j group by 1), k as (select *, row_number() over (order by month desc) as k from m), r as (select j.*, k = 1 as after, revenue as v from j join k on strftime(l_shipdate, '%Y-%m') = month where k <= 2),
+l as (select 'c_mktsegment' as dimension, c_mktsegment as segment, after, v from r union all select 'o_orderpriority', o_orderpriority, after, v from r), s as (select dimension, segment, coalesce(sum(v) filter (where after), 0) - coalesce(sum(v) filter (where not after), 0) as change from l group by 1, 2),
+q as (select quantile_cont(revenue, 0.25) as a, quantile_cont(revenue, 0.75) as b from j), f as (select sum(revenue) as fu, sum(revenue) filter (where revenue between a - 1.5 * (b - a) and b + 1.5 * (b - a)) as tr from j, q)
+select 'trend' as analysis, 'revenue' as subject, month as label, null as other, round(v, 1) as value from m union all select 'period', 'revenue', a.month, b.month, round((a.v - b.v) * 100 / abs(b.v), 1) from k a, k b where a.k = 1 and b.k = 2
+union all select 'driver', 'revenue', dimension, segment, round(change, 1) from s union all select 'robust', 'revenue', null, null, round((tr - fu) * 100 / abs(fu), 1) from f""", 1)
+def filtered_report_tables(spark, d):
+    """The filtered report without its seasons, which have SQL of their own."""
+    x = A.filter_rows(orders_full(spark, d), "l_shipdate", "1995-01-01", "2000-12-31", {"l_returnflag": ["A", "R"]})
+    return report.filtered_report(x, "l_shipdate", "revenue", "sum", ["c_mktsegment", "o_orderpriority"]).where("analysis <> 'season'")
+
+
 # report jobs
 
 
