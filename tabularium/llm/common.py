@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import tempfile
 import uuid
@@ -129,9 +130,11 @@ def kept(key: tuple, make):
 
 
 def release() -> None:
-    """Drops what the worker has kept, and gives back Arrow's unused memory; tasks of another kind begin with it."""
+    """Drops what the worker has kept and gives memory that it no longer uses back to the system; tasks of another kind begin with it."""
     _KEPT.clear()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what was freed
+        trim(0)
 
 
 class Hashes(dict):
