@@ -882,6 +882,27 @@ def filtered_report_tables(spark, d):
     return report.filtered_report(x, "l_shipdate", "revenue", "sum", ["c_mktsegment", "o_orderpriority"]).where("analysis <> 'season'")
 
 
+@query("""with x as (select event_type = 'purchase' as b, value as v from events where event_type in ('click', 'purchase')), m as (select b, count(*) as n, avg(v) as m, var_samp(v) as s from x group by 1), r as (select b, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as r from x),
+u as (select sum(r) - count(*) * (count(*) + 1) / 2.0 as u from r where b)
+select round((q.m - p.m) / sqrt((p.s + q.s) / 2) * (1 - 3.0 / (4 * (p.n + q.n) - 9)), 4) as hedges_g, round(u / (p.n * q.n), 4) as p_b_greater, round(2 * u / (p.n * q.n) - 1, 4) as rank_biserial, 'welch' as primary_test from m p, m q, u where not p.b and q.b and p.n >= 30 and q.n >= 30""")
+def ab_test_effects(spark, d):
+    return I.ab_test(table(spark, d, "events"), "event_type", "click", "purchase", "value").where("n_a >= 30 and n_b >= 30").select("hedges_g", "p_b_greater", "rank_biserial", "primary_test")
+
+
+@query("""with x as (select o_orderpriority = '1-URGENT' as b, o_orderstatus as level from orders where o_orderpriority in ('1-URGENT', '5-LOW')), c as (select level, count(*) filter (where not b) as a, count(*) filter (where b) as b from x group by 1), t as (select sum(a) as na, sum(b) as nb, 1.959963984540054 as z from c),
+w as (select level, a / na as p, b / nb as q, (a / na + z ** 2 / (2 * na)) / (1 + z ** 2 / na) as pm, z / (1 + z ** 2 / na) * sqrt(a / na * (1 - a / na) / na + z ** 2 / (4 * na ** 2)) as ph, (b / nb + z ** 2 / (2 * nb)) / (1 + z ** 2 / nb) as qm, z / (1 + z ** 2 / nb) * sqrt(b / nb * (1 - b / nb) / nb + z ** 2 / (4 * nb ** 2)) as qh,
+ (a - (a + b) * na / (na + nb)) ** 2 / ((a + b) * na / (na + nb)) + (b - (a + b) * nb / (na + nb)) ** 2 / ((a + b) * nb / (na + nb)) as part, na + nb as n from c, t)
+select level, round(q - p - sqrt((q - (qm - qh)) ** 2 + (pm + ph - p) ** 2), 4) as low, round(q - p + sqrt((qm + qh - q) ** 2 + (p - (pm - ph)) ** 2), 4) as high, round(q / p, 4) as relative_risk, round(sqrt(sum(part) over () / n), 4) as cramers_v, round(exp(-sum(part) over () / 2), 4) as p_value from w""")
+def ab_rate_effects(spark, d):
+    """Three levels, so the chi-square tail has two degrees of freedom and a closed form."""
+    return I.ab_rate_test(table(spark, d, "orders"), "o_orderpriority", "5-LOW", "1-URGENT", "o_orderstatus").select("level", "low", "high", "relative_risk", "cramers_v", "p_value")
+
+
+@query("""select 'table' as kind, 'rows' as subject, null::varchar as label, count(*)::double as value from customer union all select 'table', 'columns', null, 2 union all select 'table', 'completeness_pct', null, 100.0 union all (select 'frequency', 'c_mktsegment', c_mktsegment, count(*) from customer group by 3 order by 4 desc, 3 limit 15) union all (select 'frequency', 'c_nationkey', c_nationkey::varchar, n from (select c_nationkey, count(*) as n from customer group by 1 order by 2 desc, 1 limit 15))""")
+def no_metric_customers(spark, d):
+    return A.no_metric_report(table(spark, d, "customer").select("c_mktsegment", "c_nationkey"), ["c_mktsegment", "c_nationkey"])
+
+
 # report jobs
 
 
