@@ -6,7 +6,7 @@ visible characters stand on both sides of one space; what lies between two cuts
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +14,17 @@ import pyarrow.compute as pc
 
 #: Chunks that a cache holds, and characters of them, before it starts anew.
 CHUNKS, CHARS = 1_500_000, 30_000_000
+#: How byte-level vocabularies write a space.
+SPACE = "Ġ"
 #: Bytes of text that a task cuts together.
 SLICE = 1 << 22
 
 
+def cuts(tokens: Iterable[str], space: str) -> bool:
+    """Whether no token of a vocabulary holds a space after another character, so that texts can be cut at spaces."""
+    return not any(space in t.lstrip(space) for t in tokens)
+
+
 class Grown:
     """An array that rows are added to."""
 
@@ -32,10 +39,12 @@ class Grown:
 
 
 class Chunks:
-    """Numbers of the chunks of texts. learn(new chunks, which of them have visible ends) is called once for each chunk, in order of numbers; forget() where the cache starts anew."""
+    """Numbers of the chunks of texts. learn(new chunks, which of them have visible ends) is called once for each chunk, in order of numbers; forget() where the cache starts anew.
+    With `whole`, texts aren't cut: for tokenizers with tokens that hold a space after other characters.
+    """
 
-    def __init__(self, learn: Callable[[list[str], np.ndarray], None], forget: Callable[[], None], chunks: int = CHUNKS) -> None:
-        self.learn, self.forget, self.limit = learn, forget, chunks
+    def __init__(self, learn: Callable[[list[str], np.ndarray], None], forget: Callable[[], None], chunks: int = CHUNKS, whole: bool = False) -> None:
+        self.learn, self.forget, self.limit, self.whole = learn, forget, chunks, whole
         self._clear()
 
     def _clear(self) -> None:
@@ -48,14 +57,14 @@ class Chunks:
     def _number(self, chunks: list[str]) -> np.ndarray:
         """The numbers of different chunks; those not known are learned."""
         known = self.known
-        new = [c for c in chunks if c not in known]
+        new = list(dict.fromkeys(c for c in chunks if c not in known))
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             self.names += new
             self.chars += sum(map(len, new))
-            # an empty chunk counts as a space
-            begins = np.fromiter(map(str.isprintable, [c[:1] or "\n" for c in new]), bool, len(new))
-            ends = np.fromiter(map(str.isprintable, [c[-1:] or "\n" for c in new]), bool, len(new))
+            # a space, and the end of an empty chunk, count as invisible
+            begins = np.fromiter(map(str.isprintable, [c[:1].strip(" ") or "\n" for c in new]), bool, len(new))
+            ends = np.fromiter(map(str.isprintable, [c[-1:].strip(" ") or "\n" for c in new]), bool, len(new))
             self.begins.add(begins)
             self.ends.add(ends)
             self.learn(new, begins & ends)
@@ -65,7 +74,10 @@ class Chunks:
         """The numbers of all texts' chunks in a row, and where each text's begin (one more entry than texts); null and empty texts have one empty chunk."""
         if len(self.known) > self.limit or self.chars > CHARS:
             self._clear()
-        parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        texts = pc.fill_null(texts, "")
+        if self.whole:
+            return self._number(texts.to_pylist()), np.arange(len(texts) + 1)
+        parts = pc.split_pattern(texts, " ")
         cut = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False), out=cut[1:])
         coded = parts.flatten().dictionary_encode()

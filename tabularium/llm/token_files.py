@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabularium.llm.chunks import Chunks, Grown, gather, runs
+from tabularium.llm.chunks import SPACE, Chunks, Grown, cuts, gather, runs
 from tabularium.llm.common import kept, shared_dir, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -42,8 +42,6 @@ SIDE = 1024
 #: A file is closed at the first document's end after so many ids.
 FILE_IDS = 1 << 21
 MAGIC = b"TOKENS8B"
-#: How byte-level vocabularies write a space.
-SPACE = "Ġ"
 
 
 def _parted(need: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,25 +58,32 @@ def _parted(need: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
             if not len(flat) or np.maximum.reduceat(flat, np.arange(0, len(flat), half)).min() > s:  # no such word fits anywhere
                 continue
         use.append(s)
-    upto = np.zeros((len(use), blocks, wide + 1), np.uint16)
-    for k, s in enumerate(use):
-        np.cumsum(need > s, axis=1, dtype=np.uint16, out=upto[k, :, 1:])
-    upto = upto.ravel()
-    count = np.array([COUNTS[s] for s in use], np.int32)[:, None]
-    never = np.array([WIDTHS[s] not in ESCAPED and COUNTS[s] > 1 for s in use])
+    # how many ids up to each place are too wide for each selector, four selectors in the 16-bit lanes of a number; ids beyond a block's end are never too wide
+    count = np.array([COUNTS[s] for s in use])
+    lanes = -(-len(use) // 4)
+    upto = np.zeros((lanes, blocks, wide + 1 + int(count.max())), np.uint64)
+    for k in range(lanes):
+        flags = np.array([sum((x > s) << (16 * i) for i, s in enumerate(use[4 * k : 4 * k + 4])) for x in range(len(COUNTS) + 1)], np.uint64)
+        np.cumsum(flags[need], axis=1, out=upto[k, :, 1 : wide + 1])
+        upto[k, :, wide + 1 :] = upto[k, :, wide : wide + 1]
+    across = upto.shape[2]
+    upto = upto.view(np.uint16).ravel()
+    # bits for each id, and what an escape adds; a selector without escapes holds no wider id
+    fixed = (64 / count).astype(np.float32)[:, None]
+    more = np.array([ESCAPE_BITS / c if WIDTHS[s] in ESCAPED or c == 1 else 1e9 for c, s in zip(count.tolist(), use, strict=True)], np.float32)[:, None]
     row = np.arange(blocks)
-    at, end = np.zeros(blocks, np.int32), sizes.astype(np.int32)
-    base = np.arange(len(use))[:, None] * (blocks * (wide + 1)) + row * (wide + 1)
+    at, end = np.zeros(blocks, np.int64), sizes.astype(np.int64)
+    lane = np.arange(len(use))[:, None]
+    base = ((lane // 4 * blocks + row) * across) * 4 + lane % 4
+    step = 4 * count[:, None]
     found = []
     while len(row):
-        m = np.minimum(count, end - at)
-        lo = base + at
-        odd = upto[lo + m] - upto[lo]
-        price = (np.float32(ESCAPE_BITS) * odd + np.float32(64)) / m
-        price[never] += np.where(odd[never] > 0, np.float32(1e9), np.float32(0))
+        lo = base + 4 * at
+        price = (upto.take(lo + step) - upto.take(lo)) * more
+        price += fixed
         best = price.argmin(axis=0)
         found.append((row, at, best))
-        at = at + m[best, np.arange(len(row))]
+        at = at + count[best]
         going = at < end
         if not going.all():
             row, at, end, base = row[going], at[going], end[going], base[:, going]
@@ -212,7 +217,7 @@ class TextIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
-        self.chunks = Chunks(self._learn, self._forget)
+        self.chunks = Chunks(self._learn, self._forget, whole=not cuts(self.tokenizer.get_vocab(), SPACE))
 
     def _forget(self) -> None:
         self.flat, self.until = Grown(np.uint32), Grown(np.int64)
@@ -221,7 +226,8 @@ class TextIds:
 
     def _learn(self, new: list[str], safe: np.ndarray) -> None:
         size = np.zeros(len(new), np.int64)
-        parts = []
+        parts = [np.zeros(0, np.uint32)]
+        safe = safe & (not self.chunks.whole)
         # chunks with visible ends are encoded together: a token that begins with a space begins a chunk
         for some in np.array_split(np.flatnonzero(safe), safe.sum() // 512 + 1):
             if len(some):
