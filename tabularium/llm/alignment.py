@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.chunks import SPACE, Chunks, Grown, cuts, gather, runs
+from tabularium.llm.chunks import Chunks, Grown, cuts, decoded, gather, runs
 from tabularium.llm.common import kept, written
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -30,13 +30,6 @@ FREQUENT = 1 << 19
 MARK = "▁"
 
 
-def byte_level() -> dict[str, int]:
-    """The character that byte-level vocabularies write for each byte: itself where it is visible, else the next from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class ByteLevel:
     """A tokenizer of the tokenizers library with byte-level entries; special tokens' strings are plain text."""
 
@@ -46,12 +39,11 @@ class ByteLevel:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        to_byte = byte_level()
         self.bytes = [b""] * self.size
         for token, i in self.tokenizer.get_vocab().items():
-            self.bytes[i] = bytes(to_byte[c] for c in token) if all(c in to_byte for c in token) else token.encode()
+            self.bytes[i] = decoded(token)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
-        self.cuts = cuts(self.tokenizer.get_vocab(), SPACE)
+        self.cuts = cuts(self.bytes)
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a space and the text, and the byte where each token ends, from character offsets; tokens that share a character end by their decoded bytes."""
@@ -76,7 +68,7 @@ class Pieces:
         self.bytes = [bytes([int(p[3:5], 16)]) if one else p.replace(MARK, " ").encode() for p, one in zip(names, single, strict=True)]
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.single = np.array(single)
-        self.cuts = cuts(names, MARK)
+        self.cuts = cuts(p.replace(MARK, " ") for p in names)
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the text, and the byte of a space and the text where each token ends, from the spans of the encoding's proto; single bytes end by their decoded bytes."""
@@ -143,12 +135,15 @@ class Aligner:
         alone = np.flatnonzero(~safe).tolist()
         for some in np.array_split(np.flatnonzero(safe), safe.sum() // TOGETHER + 1):
             some = some.tolist()
-            got = self._aligned([new[i] for i in some]) if some else []
-            if got is None:
-                alone += some
-            else:
-                for i, x in zip(some, got, strict=True):
-                    found[i] = x
+            todo = [some] if some else []
+            while todo:  # where a chunk's bytes differ, halves are tried
+                some = todo.pop()
+                got = self._aligned([new[i] for i in some])
+                if got is not None:
+                    for i, x in zip(some, got, strict=True):
+                        found[i] = x
+                elif len(some) > 1:
+                    todo += [some[: len(some) // 2], some[len(some) // 2 :]]
         for i in alone:
             got = self._aligned([new[i]])
             found[i] = got[0] if got else None

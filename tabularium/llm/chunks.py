@@ -6,6 +6,7 @@ visible characters stand on both sides of one space; what lies between two cuts
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,9 +21,27 @@ SPACE = "Ġ"
 SLICE = 1 << 22
 
 
-def cuts(tokens: Iterable[str], space: str) -> bool:
-    """Whether no token of a vocabulary holds a space after another character, so that texts can be cut at spaces."""
-    return not any(space in t.lstrip(space) for t in tokens)
+@functools.cache
+def byte_level() -> dict[str, int]:
+    """The character that byte-level vocabularies write for each byte: itself where it is visible, else the next from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def decoded(token: str) -> bytes:
+    """The bytes of a byte-level entry; a special token's are those of its string."""
+    to_byte = byte_level()
+    return bytes(to_byte[x] for x in token) if all(x in to_byte for x in token) else token.encode()
+
+
+def cuts(tokens: Iterable[bytes | str]) -> bool:
+    """Whether no token of a vocabulary holds a space after a visible character, so that texts can be cut there."""
+    for t in tokens:
+        text = t.decode("utf-8", "replace") if isinstance(t, bytes) else t
+        if any(b == " " and a != " " and a.isprintable() for a, b in zip(text, text[1:], strict=False)):
+            return False
+    return True
 
 
 class Grown:

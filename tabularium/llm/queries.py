@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabularium.llm import alignment, decontamination, embedding_dedup, hmm_lm, language_id, ngram_join, packing, sharding, substring_dedup, token_files, toxicity, url_filter
+from tabularium.llm import alignment, decontamination, embedding_dedup, hmm_lm, language_id, ngram_join, packing, sharding, spelling, substring_dedup, token_files, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_hmm_lm": hmm_lm.op8_hmm_lm,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
         "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
         "op13_token_output": token_files.op13_token_output,
     }

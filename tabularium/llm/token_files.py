@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabularium.llm.chunks import SPACE, Chunks, Grown, cuts, gather, runs
+from tabularium.llm.chunks import SPACE, Chunks, Grown, cuts, decoded, gather, runs
 from tabularium.llm.common import kept, shared_dir, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -217,7 +217,7 @@ class TextIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
-        self.chunks = Chunks(self._learn, self._forget, whole=not cuts(self.tokenizer.get_vocab(), SPACE))
+        self.chunks = Chunks(self._learn, self._forget, whole=not cuts(map(decoded, self.tokenizer.get_vocab())))
 
     def _forget(self) -> None:
         self.flat, self.until = Grown(np.uint32), Grown(np.int64)
