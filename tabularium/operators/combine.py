@@ -40,22 +40,38 @@ def detect_join_key(a: DataFrame, b: DataFrame, unique: float = 0.9, overlap: fl
 def relational_join(a: DataFrame, b: DataFrame, left: str, right: str, name_a: str = "a", name_b: str = "b", null_safe: bool = False) -> tuple[DataFrame, DataFrame]:
     """A left join of the fact side (the one with less unique keys; a if equal) with the other, and (fact, rows, matched, unmatched, match_rate_pct, fact_rows_matched).
 
-    Columns with equal names get ` (file)`; the right key goes. Counts are taken on joined rows.
+    Columns with equal names get ` (file)`; the right key goes. Counts follow from how often each key stands on either side.
     """
-    share = lambda df, c: df.agg(F.try_divide(F.count_distinct(F.col(f"`{c}`")), F.count(F.col(f"`{c}`")))).first()[0] or 0
-    if share(a, left) > share(b, right):
+    if _uniqueness(a, left) > _uniqueness(b, right):
         a, b, left, right, name_a, name_b = b, a, right, left, name_b, name_a
+    info = _join_counts(_multiplicity(a, left), _multiplicity(b, right), name_a, null_safe)
     same = [c for c in a.columns if c in b.columns and not (c == left and c == right)]
     facts = a.withColumnsRenamed({c: f"{c} ({name_a})" for c in same})
     dims = b.withColumnsRenamed({c: f"{c} ({name_b})" for c in same})
     left, dim_key = (f"{left} ({name_a})" if left in same else left), (f"{right} ({name_b})" if right in same else right)
-    dims = dims.withColumnRenamed(dim_key, "__key").withColumn("__found", F.lit(True))
+    dims = dims.withColumnRenamed(dim_key, "__key")
     on = F.col(f"`{left}`").eqNullSafe(F.col("__key")) if null_safe else F.col(f"`{left}`") == F.col("__key")
-    joined = facts.withColumn("__row", F.monotonically_increasing_id()).join(dims, on, "left")
-    info = joined.agg(
-        F.lit(name_a).alias("fact"), F.count(F.lit(1)).alias("rows"), F.count("__found").alias("matched"), F.count_distinct(F.when(F.col("__found"), F.col("__row"))).alias("fact_rows_matched"),
-    ).crossJoin(a.agg(F.count(F.lit(1)).alias("fact_rows"))).select("fact", "rows", "matched", (F.col("fact_rows") - F.col("matched")).alias("unmatched"), F.try_divide(F.col("matched") * 100.0, "fact_rows").alias("match_rate_pct"), "fact_rows_matched")
-    return joined.drop("__key", "__found", "__row"), info
+    return facts.join(dims, on, "left").drop("__key"), info
+
+
+def _multiplicity(df: DataFrame, key: str) -> DataFrame:
+    """(k, n): how many rows hold each key, null included."""
+    return df.groupBy(F.col(f"`{key}`").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _uniqueness(df: DataFrame, key: str) -> float:
+    """Different keys over rows with a key; 0 without any."""
+    return _multiplicity(df, key).where("k is not null").agg(F.try_divide(F.count(F.lit(1)), F.sum("n"))).first()[0] or 0
+
+
+def _join_counts(facts: DataFrame, dims: DataFrame, name: str, null_safe: bool) -> DataFrame:
+    """The counts of a left join from the keys' multiplicities on both sides, without joining rows."""
+    d = dims.select(F.col("k").alias("dk"), F.col("n").alias("dn"))
+    keys = facts.join(d, F.col("k").eqNullSafe(F.col("dk")) if null_safe else F.col("k") == F.col("dk"), "left").select("n", "dn")
+    met = F.coalesce("dn", F.lit(0))
+    some = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    sums = keys.agg(some(F.col("n") * F.greatest(met, F.lit(1))).alias("rows"), some(F.col("n") * met).alias("matched"), some(F.when(met > 0, F.col("n"))).alias("fact_rows_matched"), some("n").alias("fact_rows"))
+    return sums.select(F.lit(name).alias("fact"), "rows", "matched", (F.col("fact_rows") - F.col("matched")).alias("unmatched"), F.try_divide(F.col("matched") * 100.0, "fact_rows").alias("match_rate_pct"), "fact_rows_matched")
 
 
 def combine(frames: list[DataFrame], mappings: list[dict[str, str]], names: list[str]) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabularium.operators import aggregates as A
-from tabularium.operators import inference as I
+from tabularium.operators import bootstrap as B
+from tabularium.operators import common as C
 from tabularium.operators import quality as Q
 from tabularium.operators.common import number
 
@@ -143,40 +144,62 @@ def gated(fact: DataFrame, claim: DataFrame) -> DataFrame:
     )
 
 
-def weak_points(df: DataFrame, date: str | None, metric: str, agg: str, dims: list[str], profit: str | None = None, n: int = 6) -> DataFrame:
+def weak_points(df: DataFrame, date: str | None, metric: str, agg: str, dims: list[str], profit: str | None = None, n: int = 6, key: list[str] | None = None, one_sided: bool = False, whole_years: bool = False) -> DataFrame:
     """The n weak points of a table with the greatest scores: a decline, concentrations, weak segments, losing segments, high outliers and missing data.
 
-    Each claim is checked by a bootstrap of the rows that it stands on (see `gated`); missing data is a fact about all rows and isn't.
+    Each claim is checked by a Poisson bootstrap of the rows that it stands on, all claims in one pass (rows are told apart by `key`, see bootstrap.bootstrap); missing data is a fact about all rows
+    and isn't checked. An interval that excludes the reference confirms a claim, whichever side it lies on; with `one_sided` only if it lies on the claim's. With `whole_years` a last year
+    that has no December is left out of the decline.
     """
-    facts = [missing_data(df, [c for c in df.columns]).withColumns({"ci_low": F.lit(None).cast("double"), "ci_high": F.lit(None).cast("double"), "significant": F.lit(None).cast("boolean")})]
+    facts: list[DataFrame] = []
+    claims: list[B.Claim] = []
 
-    def add(fact: DataFrame, kind: str, group: str | None, level: str | None, reference: float, rows: DataFrame = df, other: str | None = None, value: str = metric) -> None:
-        facts.append(gated(fact, I.bootstrap_claim(rows, kind, value, group, level, other=other, reference=reference)))
+    def add(fact: DataFrame, kind: str = "", **claim) -> None:
+        """A finding and the claim that it is checked by, if any."""
+        facts.append(fact.withColumn("__claim", F.lit(str(len(claims)) if kind else None).cast("string")))
+        if kind:
+            side = claim.pop("side") if one_sided else claim.pop("side") and None
+            claims.append(B.Claim(str(len(claims)), kind, claim.pop("value", metric), side=side, **claim))
 
+    add(missing_data(df, list(df.columns)).withColumn("significant", F.lit(None).cast("boolean")))
     if date:
-        fact = declining(df, date, metric, agg).where("significant")
+        years = df
+        if whole_years:
+            end = df.agg(F.max(C.timestamp(df, date))).first()[0]
+            years = df.where(F.year(C.timestamp(df, date)) < end.year) if end is not None and end.month < 12 else df
+        fact = declining(years, date, metric, agg).where("significant")
         row = fact.first()
         if row:
             first, last = row["value_label"].split("-")
-            add(fact, "change", "__year", last, -5.0, df.withColumn("__year", F.year(date).cast("string")), first)
+            add(fact, "change", group=F.year(C.timestamp(df, date)), level=last, other=first, reference=-5.0, side="below")
     for dim in dims:
         fact = concentration(df, dim, metric).where("significant")
         row = fact.first()
         if row:
             level = F.when(F.col("value") > 50, "high").when(F.col("value") > 2 * F.col("reference"), "medium").otherwise("low")
-            add(fact.withColumn("priority", level), "share", dim, row["value_label"], 1.5 * row["reference"])
+            add(fact.withColumn("priority", level), "share", group=dim, level=row["value_label"], reference=1.5 * row["reference"], side="above")
         fact = under_performing(df, dim, metric).where("significant")
         row = fact.first()
         if row:
-            add(fact.withColumn("priority", F.when(F.col("score") > 35, "high").otherwise("medium")), "gap", dim, row["value_label"], 0.0)
+            add(fact.withColumn("priority", F.when(F.col("score") > 35, "high").otherwise("medium")), "gap", group=dim, level=row["value_label"], side="below")
         if profit:
-            for row in losing_segments(df, dim, metric, profit).where("significant").collect():
-                one = losing_segments(df, dim, metric, profit).where((F.col("value_label") == row["value_label"]) & F.col("significant")).withColumn("priority", F.when(F.col("value") < -20, "high").otherwise("medium"))
-                add(one, "mean", None, None, 0.0, df.where(F.col(dim).cast("string") == row["value_label"]), value=profit)
+            losing = losing_segments(df, dim, metric, profit).where("significant")
+            for row in losing.collect():  # two at most
+                one = losing.where(F.col("value_label") == row["value_label"]).withColumn("priority", F.when(F.col("value") < -20, "high").otherwise("medium"))
+                add(one, "mean", value=profit, where=F.col(dim).cast("string") == row["value_label"], side="below")
     high = high_outliers(df, metric).where("significant")
     if high.first():
-        facts.append(high.withColumns({"priority": F.when(F.col("value") > 40, "high").otherwise("medium"), "ci_low": F.lit(None).cast("double"), "ci_high": F.lit(None).cast("double")}))
+        add(high.withColumn("priority", F.when(F.col("value") > 40, "high").otherwise("medium")))
     out = facts[0]
     for more in facts[1:]:
-        out = out.unionByName(more.select(*facts[0].columns))
+        out = out.unionByName(more)
+    checks = B.bootstrap(df, claims, key).where("valid > 0").select(F.col("name").alias("__claim"), F.col("significant").alias("__s"), F.round("low", 3).alias("ci_low"), F.round("high", 3).alias("ci_high"))
+    out = out.join(F.broadcast(checks), "__claim", "left")  # a row for each claim
+    fails = F.coalesce(~F.col("__s"), F.lit(False))
+    down = F.create_map(*(F.lit(x) for kv in LOWER.items() for x in kv))[F.col("priority")]
+    kept = [c for c in facts[0].columns if c not in ("score", "priority", "significant", "__claim")]
+    out = out.select(
+        *kept, F.when(fails, F.col("score") * 0.6).otherwise(F.col("score")).alias("score"), F.when(fails, down).otherwise(F.col("priority")).alias("priority"),
+        F.when(F.col("__claim").isNull(), F.col("significant")).otherwise(F.col("__s")).alias("significant"), "ci_low", "ci_high",
+    )
     return out.orderBy(F.desc_nulls_last("score"), "kind", "subject", "value_label").limit(n)

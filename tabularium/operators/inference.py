@@ -5,16 +5,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabularium.functions import stats as S
+from tabularium.operators.bootstrap import Claim, bootstrap
 from tabularium.operators.common import number
 
-#: Cells that a bootstrap deals all rows of a group into at most (up to so many rows, each is a cell); draws of a task.
-SAMPLE, BLOCK = 20_000, 250
+#: Rows that a bootstrap of medians takes.
+SAMPLE = 20_000
 
 
 def _sample(df: DataFrame, n: int = SAMPLE, seed: int = 0) -> DataFrame:
@@ -22,77 +22,24 @@ def _sample(df: DataFrame, n: int = SAMPLE, seed: int = 0) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(n)
 
 
-def _cells(rows: DataFrame, seed: int = 0) -> DataFrame:
-    """(g, s, k): sum and count of v of all rows, by g, in cells dealt at random. Resampled cells give sums and means the spread that resampled rows give them."""
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("__n"))
-    cell = F.when(F.col("__n") <= SAMPLE, F.col("__row")).otherwise(F.floor(F.col("__rand") * SAMPLE))
-    dealt = rows.withColumns({"__row": F.monotonically_increasing_id(), "__rand": F.rand(seed)}).join(F.broadcast(sizes), "g")
-    return dealt.groupBy("g", cell.alias("cell")).agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("k")).select("g", "s", "k")
-
-
-def kpi_intervals(df: DataFrame, measures: list[tuple[str, str]], n_boot: int = 1000, seed: int = 0) -> DataFrame:
+def kpi_intervals(df: DataFrame, measures: list[tuple[str, str]], n_boot: int = 1000, key: list[str] | None = None) -> DataFrame:
     """(measure, agg, n, point, low, high, margin_pct) for up to six measures with 10 values.
 
-    The point is exact. The 95 % interval resamples the mean of all rows, dealt into at most 20,000 cells, in blocks of draws as separate tasks; sums are scaled by the true n.
+    The point is exact. The 95 % interval is that of the mean in a Poisson bootstrap of all rows, told apart by `key` (see bootstrap.bootstrap); sums are scaled by the true n. All measures share one pass.
     """
-    out = None
-    for m, how in measures[:6]:
-        v = df.select(number(m).alias("v")).where("v is not null")
-        point = v.agg(F.count("v").alias("n"), (F.sum("v") if how == "sum" else F.avg("v")).alias("point")).where("n >= 10")
-
-        def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf, block = pdf.sort_values(["s", "k"]), int(pdf["block"].iloc[0])
-            s, k = pdf["s"].to_numpy(), pdf["k"].to_numpy()
-            rng = np.random.default_rng([seed, block])
-            picks = (rng.integers(0, len(s), len(s)) for _ in range(min(BLOCK, n_boot - block * BLOCK)))
-            return pd.DataFrame({"mean": [s[i].sum() / k[i].sum() for i in picks]})
-
-        blocks = df.sparkSession.range(-(-n_boot // BLOCK)).select(F.col("id").alias("block"))
-        means = _cells(v.withColumn("g", F.lit("all")), seed).crossJoin(F.broadcast(blocks)).groupBy("block").applyInPandas(draw, "mean double")
-        band = means.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-        scale = F.col("n") if how == "sum" else F.lit(1)
-        part = point.crossJoin(F.broadcast(band)).select(F.lit(m).alias("measure"), F.lit(how).alias("agg"), "n", "point", (F.col("q")[0] * scale).alias("low"), (F.col("q")[1] * scale).alias("high"))
-        out = part if out is None else out.unionByName(part)
+    some = measures[:6]
+    band = bootstrap(df, [Claim(str(i), "mean", m) for i, (m, _) in enumerate(some)], key, n_boot)
+    wide = df.agg(*(x for i, (m, how) in enumerate(some) for x in (F.count(number(m)).alias(f"n{i}"), (F.sum if how == "sum" else F.avg)(number(m)).alias(f"p{i}"))))
+    points = [F.struct(F.lit(str(i)).alias("name"), F.lit(m).alias("measure"), F.lit(how).alias("agg"), F.col(f"n{i}").alias("n"), F.col(f"p{i}").alias("point")) for i, (m, how) in enumerate(some)]
+    out = wide.select(F.explode(F.array(*points)).alias("r")).select("r.*").where("n >= 10").join(F.broadcast(band.select("name", "low", "high")), "name")
+    scale = F.when(F.col("agg") == "sum", F.col("n")).otherwise(1)
+    out = out.select("measure", "agg", "n", "point", (F.col("low") * scale).alias("low"), (F.col("high") * scale).alias("high"))
     return out.withColumn("margin_pct", F.try_divide((F.col("high") - F.col("low")) * 50, F.nullif(F.abs("point"), F.lit(0.0))))
 
 
-def bootstrap_claim(df: DataFrame, kind: str, value: str, group: str | None = None, level: str | None = None, other: str | None = None, reference: float = 0.0, draws: int = 300, seed: int = 0) -> DataFrame:
-    """(kind, low, high, valid, significant) of a claim on all rows, resampled within groups (in cells, see _cells); two rows in each group at least.
-
-    kind: share (of `level` in the sum of value, %), gap (mean of level less that of other), change (of other's mean to level's, %), mean. Significant:
-    the 95 % interval excludes the reference, and half of the draws at least are defined.
-    """
-    g = F.col(group).cast("string") if group else F.lit("all")
-    side = F.when(g == level, "a").when(g == other if other is not None else g.isNotNull(), "b") if level is not None else F.when(g == other, "b").otherwise("a") if other is not None else F.lit("a")
-    rows = df.select(number(value).alias("v"), g.alias("g"), side.alias("side")).where("v is not null and g is not null and side is not null").select("v", F.col("side").alias("g"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", "k"])
-        a, b = (pdf[pdf["g"] == x][["s", "k"]].to_numpy() for x in "ab")
-        if level is None:  # of all rows
-            a, b = pdf[["s", "k"]].to_numpy(), b if other is not None else a
-        if len(a) < 2 or (kind != "mean" and len(b) < 2):
-            return pd.DataFrame({"low": [np.nan], "high": [np.nan], "valid": [0]})
-        rng = np.random.default_rng(seed)
-        got = []
-        for _ in range(draws):
-            (x, nx), (y, ny) = (c[rng.integers(0, len(c), len(c))].sum(axis=0) if len(c) else (0.0, 0.0) for c in (a, b))
-            if kind == "share":
-                got.append(x / (x + y) * 100 if x + y else np.nan)
-            elif kind == "gap":
-                got.append(x / nx - y / ny)
-            elif kind == "change":
-                got.append((x / nx - y / ny) / abs(y / ny) * 100 if y else np.nan)
-            else:
-                got.append(x / nx)
-        got = np.array(got)
-        ok = got[np.isfinite(got)]
-        low, high = np.percentile(ok, [2.5, 97.5]) if len(ok) else (np.nan, np.nan)
-        return pd.DataFrame({"low": [low], "high": [high], "valid": [len(ok)]})
-
-    out = _cells(rows, seed).groupBy(F.lit(kind).alias("kind")).applyInPandas(run, "low double, high double, valid long")
-    beyond = (F.col("low") > reference) | (F.col("high") < reference)
-    return out.select(F.lit(kind).alias("kind"), "low", "high", "valid", (beyond & (F.col("valid") >= draws / 2)).alias("significant"))
+def bootstrap_claim(df: DataFrame, kind: str, value: str, group: str | None = None, level: str | None = None, other: str | None = None, reference: float = 0.0, draws: int = 300, key: list[str] | None = None) -> DataFrame:
+    """(kind, low, high, valid, significant) of one claim on all rows, see bootstrap.bootstrap, which takes many at once."""
+    return bootstrap(df, [Claim(kind, kind, value, group, level, other, reference)], key, draws).select("kind", "low", "high", "valid", "significant")
 
 
 def outcome_kind(df: DataFrame, outcome: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabularium.functions import stats as S
+from tabularium.operators import clustering as G
 from tabularium.operators.common import number, rows_from
 from tabularium.operators.quality import fences
 
@@ -171,16 +172,11 @@ def anomalies(df: DataFrame, cols: list[str], id_cols: list[str], n: int = 50) -
     return some.withColumn("p_value", S.chi2_p(F.col("distance"), F.lit(len(use)))).select(*id_cols, "distance", "p_value", "z", traits.alias("traits"))
 
 
-def segments(df: DataFrame, cols: list[str], k_range: tuple[int, int] = (2, 5), sample: int = 5000, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(df with segment, summary): k-means on up to six standardized measures; k by silhouette.
+def segments(df: DataFrame, cols: list[str], k_range: tuple[int, int] = (2, 5), seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(df with segment, summary): k-means on up to six standardized measures; k by silhouette. All complete rows count, in the centres, the silhouette and the segments.
 
-    Fitted on a bounded random sample (`sample` rows), every complete row is assigned. Segments are numbered by size; the summary has a
-    row for each segment and measure: mean, z and whether |z| >= 0.35 makes it a trait (two at most).
+    Segments are numbered by size; the summary has a row for each segment and measure: mean, z and whether |z| >= 0.35 makes it a trait (two at most).
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import VectorAssembler
-
     use = cols[:6]
     n, mean, cov = moments(df, use)
     keep = [i for i in range(len(use)) if cov[i, i] > 0]
@@ -190,21 +186,19 @@ def segments(df: DataFrame, cols: list[str], k_range: tuple[int, int] = (2, 5),
     sd = {c: float(np.sqrt(cov[i, i] * (n - 1) / n)) for c, i in zip(names, keep, strict=True)}
     mid = {c: float(mean[i]) for c, i in zip(names, keep, strict=True)}
     scaled = df.where(_complete(names)).withColumns({f"__z{i}": (number(c) - mid[c]) / sd[c] for i, c in enumerate(names)})
-    ready = VectorAssembler(inputCols=[f"__z{i}" for i in range(len(names))], outputCol="__v").transform(scaled)
-    fitted = ready.orderBy(F.rand(seed)).limit(sample).select("__v").persist()
-    judge = ClusteringEvaluator(featuresCol="__v", predictionCol="p")
-    models = [KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="p", maxIter=30).fit(fitted) for k in range(k_range[0], k_range[1] + 1)]
-    best = max(models, key=lambda m: judge.evaluate(m.transform(fitted)))
-    fitted.unpersist()
-    assigned = best.transform(ready)
-    sizes = assigned.groupBy("p").agg(F.count(F.lit(1)).alias("size")).collect()  # at most five rows
-    order = {r["p"]: i for i, r in enumerate(sorted(sizes, key=lambda r: (-r["size"], r["p"])))}
-    number_of = F.create_map(*(F.lit(x) for kv in order.items() for x in kv))[F.col("p")]
-    assigned = assigned.withColumn("segment", number_of).drop("__v", "p")
+    zs = [f"__z{i}" for i in range(len(names))]
+    points = scaled.select(*zs).persist()
+    try:
+        centres, _ = G.kmeans(points, zs, n, range(k_range[0], k_range[1] + 1), seed)
+        sizes = [(rows, -j) for j, (rows, *_) in enumerate(G.cluster_sums(points, zs, {len(centres): centres})[len(centres)])]
+    finally:
+        points.unpersist()
+    order = sorted(range(len(centres)), key=lambda j: sizes[j], reverse=True)
+    assigned = scaled.withColumn("segment", G.nearest(zs, centres[order])["j"])
     parts = F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), number(c).alias("value"), F.col(f"__z{i}").alias("z")) for i, c in enumerate(names))))
     summary = assigned.select("segment", parts.alias("m")).groupBy("segment", "m.measure").agg(F.count(F.lit(1)).alias("size"), F.avg("m.value").alias("mean"), F.avg("m.z").alias("z"))
     rank = F.row_number().over(Window.partitionBy("segment").orderBy(F.desc(F.abs("z")), "measure"))
-    return assigned.drop(*(f"__z{i}" for i in range(len(names)))), summary.select("segment", "size", "measure", "mean", "z", ((F.abs("z") >= 0.35) & (rank <= 2)).alias("trait"))
+    return assigned.drop(*zs), summary.select("segment", "size", "measure", "mean", "z", ((F.abs("z") >= 0.35) & (rank <= 2)).alias("trait"))
 
 
 def benford(df: DataFrame, cols: list[str], most: int = 3) -> DataFrame:

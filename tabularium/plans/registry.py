@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabularium.operators import aggregates as A
+from tabularium.operators import bootstrap as B
 from tabularium.operators import combine as J
 from tabularium.operators import entities as E
 from tabularium.operators import findings as K
@@ -481,14 +482,69 @@ def robust_correlations(spark, d):
 # intervals and tests
 
 
-@query("select 'value' as measure, 'sum' as agg, count(value) as n, round(sum(value), 2) as point from events union all select 'user_id', 'avg', count(user_id), round(avg(user_id), 2) from events", 2)
+BOOTSTRAP = f"""hashed as (select cell, draw, md5(cell || '|' || draw) as h from range(0, {B.CELLS}) c(cell), range(-1, DRAWS) d(draw)),
+numbers as (select cell, draw, ('0x' || substr(h, 1, 8))::bigint as ua, ('0x' || substr(h, 9, 8))::bigint as ub from hashed),
+weights as (select cell, draw,
+  case when draw < 0 then 1 else {" + ".join(f"(ua >= {p * 2**32!r})::int" for p in B.UPTO)} end as wa,
+  case when draw < 0 then 1 else {" + ".join(f"(ub >= {p * 2**32!r})::int" for p in B.UPTO)} end as wb from numbers)"""
+
+
+@query(f"""with {BOOTSTRAP.replace("DRAWS", "200")},
+cells as (select ('0x' || substr(md5(event_id::varchar), 1, 8))::bigint % {B.CELLS} as cell,
+  sum(value) as s1, count(value) as n1, sum(user_id) as s2, count(user_id) as n2 from events group by 1),
+draws as (select draw, sum(wa * s1) / sum(wa * n1) as x1, sum(wa * s2) / sum(wa * n2) as x2 from cells join weights using (cell) where draw >= 0 group by 1),
+band as (select quantile_cont(x1, 0.025) as l1, quantile_cont(x1, 0.975) as h1, quantile_cont(x2, 0.025) as l2, quantile_cont(x2, 0.975) as h2 from draws)
+select 'value' as measure, 'sum' as agg, count(value) as n, round(sum(value), 2) as point,
+  round(any_value(l1) * count(value), 2) as low, round(any_value(h1) * count(value), 2) as high from events, band
+union all
+select 'user_id', 'avg', count(user_id), round(avg(user_id), 2), round(any_value(l2), 2), round(any_value(h2), 2) from events, band""", 2)
 def kpi_intervals(spark, d):
-    return I.kpi_intervals(table(spark, d, "events"), [("value", "sum"), ("user_id", "avg")]).select("measure", "agg", "n", "point")
+    got = I.kpi_intervals(table(spark, d, "events"), [("value", "sum"), ("user_id", "avg")], 200, ["event_id"])
+    return got.select("measure", "agg", "n", "point", "low", "high")
 
 
 @query()
 def bootstrap_claim(spark, d):
-    return I.bootstrap_claim(sales(spark, d), "share", "revenue", "l_returnflag", "R", reference=30.0)
+    return I.bootstrap_claim(sales(spark, d), "share", "revenue", "l_returnflag", "R", reference=30.0, key=["l_orderkey", "l_linenumber"])
+
+
+@query(f"""with {SALES}, {BOOTSTRAP.replace("DRAWS", "100")},
+cells as (select ('0x' || substr(md5(l_orderkey || '|' || l_linenumber), 1, 8))::bigint % {B.CELLS} as cell,
+  sum(revenue) filter (where l_returnflag = 'R') as ra, count(revenue) filter (where l_returnflag = 'R') as na,
+  sum(revenue) filter (where l_returnflag <> 'R') as rb, count(revenue) filter (where l_returnflag <> 'R') as nb,
+  sum(revenue) filter (where l_returnflag = 'A') as rc, count(revenue) filter (where l_returnflag = 'A') as nc,
+  sum(profit) filter (where l_linestatus = 'O') as po, count(profit) filter (where l_linestatus = 'O') as no from sales group by 1),
+sums as (select draw, coalesce(sum(wa * ra), 0) as ra, sum(wa * coalesce(na, 0)) as na, coalesce(sum(wb * rb), 0) as rb, sum(wb * coalesce(nb, 0)) as nb,
+  coalesce(sum(wb * rc), 0) as rc, sum(wb * coalesce(nc, 0)) as nc, coalesce(sum(wa * po), 0) as po, sum(wa * coalesce(no, 0)) as no from cells join weights using (cell) group by 1),
+stats as (select draw, unnest([{{'name': 'share', 'x': ra * 100 / (ra + rb), 'reference': 30.0}}, {{'name': 'gap', 'x': ra / na - rb / nb, 'reference': 0.0}},
+  {{'name': 'change', 'x': (ra / na - rc / nc) * 100 / abs(rc / nc), 'reference': 0.0}}, {{'name': 'mean', 'x': po / no, 'reference': 0.0}}], recursive := true) from sums),
+bands as (select name, any_value(reference) as reference, max(x) filter (where draw < 0) as point, quantile_cont(x, 0.025) filter (where draw >= 0) as low,
+  quantile_cont(x, 0.975) filter (where draw >= 0) as high, count(x) filter (where draw >= 0) as valid from stats group by 1)
+select name, name as kind, round(point, 3) as point, round(low, 3) as low, round(high, 3) as high, valid,
+  case when name = 'mean' then high < reference else low > reference or high < reference end as significant from bands""", 3)
+def bootstrap_claims(spark, d):
+    """A claim of each kind, the last one one-sided, from one pass."""
+    claims = [
+        B.Claim("share", "share", "revenue", "l_returnflag", "R", reference=30.0),
+        B.Claim("gap", "gap", "revenue", "l_returnflag", "R"),
+        B.Claim("change", "change", "revenue", "l_returnflag", "R", other="A"),
+        B.Claim("mean", "mean", "profit", where=F.col("l_linestatus") == "O", side="below"),
+    ]
+    return B.bootstrap(sales(spark, d), claims, ["l_orderkey", "l_linenumber"], 100)
+
+
+@query("""with p as (select l_returnflag, case l_returnflag when 'A' then 0 when 'N' then 100 else 40 end + l_discount * 10 as height,
+  case l_returnflag when 'A' then 0 when 'N' then 30 else 90 end + l_quantity / 25 as width from lineitem),
+m as (select count(*) as n, avg(height) as mh, stddev_pop(height) as sh, avg(width) as mw, stddev_pop(width) as sw from p),
+g as (select row_number() over (order by count(*) desc) - 1 as segment, count(*) as size, avg(height) as h, avg(width) as w from p group by l_returnflag),
+z as (select segment, size, 'height' as measure, h as mean, (h - mh) / sh as z from g, m union all select segment, size, 'width', w, (w - mw) / sw from g, m)
+select segment::int as segment, size, measure, round(mean, 4) as mean, round(z, 4) as z, abs(z) >= 0.35 as trait from z""")
+def segments_planted(spark, d):
+    """Three groups that lie well apart, each of a return flag."""
+    flag = F.col("l_returnflag")
+    height = F.when(flag == "A", 0).when(flag == "N", 100).otherwise(40) + F.col("l_discount") * 10
+    width = F.when(flag == "A", 0).when(flag == "N", 30).otherwise(90) + F.col("l_quantity") / 25
+    return R.segments(table(spark, d, "lineitem").select(height.alias("height"), width.alias("width")), ["height", "width"])[1]
 
 
 @query("""with x as (select event_type = 'click' as a, value as v from events where event_type in ('click', 'purchase')), m as (select a, count(*) as n, avg(v) as m, var_samp(v) as s from x group by 1), r as (select a, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as r from x)
@@ -546,11 +602,13 @@ top as (select o_orderpriority from s group by 1 order by sum(value) desc, 1 lim
 f as (select o_orderpriority, regr_slope(value, i) as slope, regr_intercept(value, i) as base, regr_r2(value, i) as r2, count(*) as n, max(month) as last, arg_max(value, month) as last_value from x group by 1),
 p as (select f.*, k, base + slope * (n + k - 1) as value from f, (select range as k from range(1, 4)) where r2 >= 0.3)
 select o_orderpriority, strftime((last || '-01')::date + to_months(k::int), '%Y-%m') as month, round(value, 2) as value, round(slope, 2) as slope, round(base, 2) as intercept, round(r2, 4) as r_squared, n as months, round(last_value, 2) as last_value,
-round((max(value) filter (where k = 3) over (partition by o_orderpriority) - last_value) * 100 / abs(last_value), 2) as projected_change_pct from p""", 2)
+round((max(value) filter (where k = 3) over (partition by o_orderpriority) - last_value) * 100 / abs(last_value), 2) as projected_change_pct from p""")
 def segment_forecast_lines(spark, d):
     """The segments' lines, without the bootstrapped band."""
     o = table(spark, d, "orders").where("o_orderdate < timestamp_ntz'2001-01-01'").withColumn("grown", F.col("o_totalprice") * (F.year("o_orderdate") - 1990))
-    return S.segment_forecast(o, "o_orderpriority", "o_orderdate", "grown").select("o_orderpriority", "month", "value", "slope", "intercept", F.round("r_squared", 4).alias("r_squared"), "months", "last_value", "projected_change_pct")
+    lines = S.segment_forecast(o, "o_orderpriority", "o_orderdate", "grown")
+    money = ("value", "slope", "intercept", "last_value", "projected_change_pct")
+    return lines.select("o_orderpriority", "month", "r_squared", "months", *(F.round(c, 2).alias(c) for c in money))
 
 
 @query()
@@ -832,7 +890,7 @@ def issue_drift(spark, d):
 
 @query()
 def weak_points(spark, d):
-    return K.weak_points(sales(spark, d), "l_shipdate", "revenue", "sum", ["p_type", "p_brand", "l_returnflag"], "profit")
+    return K.weak_points(sales(spark, d), "l_shipdate", "revenue", "sum", ["p_type", "p_brand", "l_returnflag"], "profit", key=["l_orderkey", "l_linenumber"])
 
 
 DRILLED = """f as (select strftime(l_shipdate, '%Y-%m') as month, l_extendedprice * (1 - l_discount) * case when o_orderpriority = '1-URGENT' and strftime(l_shipdate, '%Y-%m') = '1998-06' then 8 else 1 end as v, c_mktsegment, o_orderpriority from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where strftime(l_shipdate, '%Y-%m') in ('1998-05', '1998-06')),

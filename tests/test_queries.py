@@ -13,11 +13,17 @@ from tabularium.plans import registry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Large enough for every query with SQL to have rows.
+SQL_SF = "/root/testdata/sf0.01"
+#: Queries that rightly find nothing in these tables; each has a twin on planted rows.
+EMPTY = {"anomalies"}
+
+
 @pytest.fixture(scope="module")
-def con(sf):
+def con():
     c = duckdb.connect()
     for t in TABLES:
-        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+        c.sql(f"create view {t} as select * from '{SQL_SF}/{t}.parquet'")
     return c
 
 
@@ -34,11 +40,13 @@ def bag(rows):
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
-def test_against_sql(spark, con, sf, name):
-    df = registry.queries()[name](spark, sf)
+def test_against_sql(spark, con, name):
+    df = registry.queries()[name](spark, SQL_SF)
     rel = con.sql(registry.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
-    assert bag(r.asDict() for r in df.collect()) == bag(dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall())
+    rows = df.collect()
+    assert rows or name in EMPTY
+    assert bag(r.asDict() for r in rows) == bag(dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
