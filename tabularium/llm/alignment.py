@@ -21,7 +21,7 @@ from tabularium.llm.common import kept, written
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Chunks that a worker keeps, and how many are encoded together.
-CHUNKS, TOGETHER = 1_000_000, 512
+CHUNKS, TOGETHER = 500_000, 512
 #: Links that a task counts at once, and pairs that it counts before it hands them on.
 LINKS, PAIRS = 1 << 22, 1 << 20
 #: Pairs whose counts every task gets; the others' are joined.
