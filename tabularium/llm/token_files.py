@@ -79,8 +79,13 @@ def _parted(need: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     found = []
     while len(row):
         lo = base + 4 * at
-        price = (upto.take(lo + step) - upto.take(lo)) * more
-        price += fixed
+        odd = upto.take(lo + step) - upto.take(lo)
+        left = end - at
+        if left.min() < count.max():  # a block's last word holds what is left
+            price = (odd * (more * count[:, None]) + 64) / np.minimum(count[:, None], left)
+        else:
+            price = odd * more
+            price += fixed
         best = price.argmin(axis=0)
         found.append((row, at, best))
         at = at + count[best]
@@ -227,8 +232,8 @@ class TextIds:
     def _learn(self, new: list[str], safe: np.ndarray) -> None:
         size = np.zeros(len(new), np.int64)
         parts = [np.zeros(0, np.uint32)]
-        safe = safe & (not self.chunks.whole)
-        # chunks with visible ends are encoded together: a token that begins with a space begins a chunk
+        # tokens that begin with a space tell chunks apart where none has a space inside
+        safe = safe & (not self.chunks.whole) & np.fromiter((" " not in c for c in new), bool, len(new))
         for some in np.array_split(np.flatnonzero(safe), safe.sum() // 512 + 1):
             if len(some):
                 ids = np.array(self._ids(" " + " ".join([new[i] for i in some.tolist()])), np.uint32)
