@@ -81,7 +81,7 @@ def _parted(need: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
         lo = base + 4 * at
         odd = upto.take(lo + step) - upto.take(lo)
         left = end - at
-        if left.min() < count.max():  # a block's last word holds what is left
+        if left.min() < 16:  # a last word holds what is left of its block
             price = (odd * (more * count[:, None]) + 64) / np.minimum(count[:, None], left)
         else:
             price = odd * more
