@@ -14,6 +14,22 @@ def _months(ts):
     return F.year(ts) * 12 + F.month(ts)
 
 
+#: Months of a bitmap word, and words that an entity may have; beyond, months are gathered as a set.
+WORD, WORDS = 64, 32
+
+
+def _active_months(seen: DataFrame, first: int, last: int) -> DataFrame:
+    """(e, ms): each entity's months in ascending order, from (e, m): bitmaps of months, merged before and after one shuffle by entity."""
+    words = (last - first) // WORD + 1
+    if words > WORDS:
+        return seen.groupBy("e").agg(F.array_sort(F.collect_set("m")).alias("ms"))
+    at = F.col("m") - first
+    bit = F.expr(f"shiftleft(1L, cast((m - {first}) % {WORD} as int))")
+    maps = seen.groupBy("e").agg(*(F.bit_or(F.when(F.floor(at / WORD) == i, bit)).alias(f"w{i}") for i in range(words)))
+    months = [F.expr(f"transform(filter(sequence(0, {WORD - 1}), i -> shiftrightunsigned(coalesce(w{i}, 0L), i) & 1L = 1L), i -> i + {first + WORD * i})") for i in range(words)]
+    return maps.select("e", F.concat(*months).alias("ms"))
+
+
 def cohorts(df: DataFrame, entity: str, date: str, least: int = 5, last: int = 12, span: int = 11) -> DataFrame:
     """(cohort, size, month_number, active, retention, observed): distinct entities by the month they were first seen in and the months since.
 
@@ -21,8 +37,10 @@ def cohorts(df: DataFrame, entity: str, date: str, least: int = 5, last: int = 1
     observed says whether the data reach that far.
     """
     ts = C.timestamp(df, date)
-    seen = df.where(F.col(entity).isNotNull() & ts.isNotNull()).select(F.col(entity).alias("e"), _months(ts).alias("m")).distinct()
-    first = seen.select("e", "m", F.min("m").over(Window.partitionBy("e")).alias("c"))
+    seen = df.where(F.col(entity).isNotNull() & ts.isNotNull()).select(F.col(entity).alias("e"), _months(ts).alias("m"))
+    ends = seen.agg(F.min("m").alias("a"), F.max("m").alias("b")).first()
+    active = _active_months(seen, ends["a"] or 0, ends["b"] or 0)
+    first = active.select(F.element_at("ms", 1).alias("c"), F.explode("ms").alias("m"))
     cells = first.groupBy("c", (F.col("m") - F.col("c")).alias("k")).agg(F.count(F.lit(1)).alias("active"))
     sizes = cells.where("k = 0").select("c", F.col("active").alias("size")).where(F.col("size") >= least)
     ranked = sizes.select("c", "size", F.row_number().over(Window.orderBy(F.desc("c"))).alias("r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("cohorts")).where((F.col("r") <= last) & (F.col("cohorts") >= 2))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tabularium.operators import aggregates as A
 from tabularium.operators import bootstrap as B
 from tabularium.operators import combine as J
+from tabularium.operators import cube as U
 from tabularium.operators import entities as E
 from tabularium.operators import findings as K
 from tabularium.operators import inference as I
@@ -1000,6 +1001,46 @@ def no_metric_report(spark, d):
     return A.no_metric_report(table(spark, d, "nation").select("n_name"), ["n_name"])
 
 
+# filters answered from a cube's cells
+def sales_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.build(sales(spark, sf_dir), "l_shipdate", ["l_returnflag", "l_linestatus", "p_brand"], ["revenue", "profit"])
+
+
+PICKED = """picked as (select *, strftime(l_shipdate, '%Y-%m') as month from sales where l_returnflag in ('A', 'R') and strftime(l_shipdate, '%Y-%m') >= '1995-06')"""
+
+
+def picked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.pick(sales_cube(spark, sf_dir), {"l_returnflag": ["A", "R"]}, "1995-06")
+
+
+@query(f"with {SALES}, {PICKED} select month, round(avg(profit), 4) as value from picked group by 1")
+def cube_trend(spark, d):
+    return U.trend(picked(spark, d), "profit", "avg")
+
+
+@query(f"""with {SALES}, {PICKED} select p_brand as label, count(*) as rows, round(sum(revenue), 2) as value,
+round(count(*) * 100.0 / sum(count(*)) over (), 2) as share_pct from picked group by 1""", 2)
+def cube_breakdown(spark, d):
+    return U.breakdown(picked(spark, d), "p_brand", "revenue")
+
+
+@query(f"""with {SALES}, {PICKED}
+select 'revenue' as measure, count(revenue) as n, round(sum(revenue), 2) as total, round(avg(revenue), 2) as mean, round(stddev_samp(revenue), 2) as sd, round(min(revenue), 2) as min, round(max(revenue), 2) as max from picked
+union all
+select 'profit', count(profit), round(sum(profit), 2), round(avg(profit), 2), round(stddev_samp(profit), 2), round(min(profit), 2), round(max(profit), 2) from picked""", 2)
+def cube_summary(spark, d):
+    return U.summary(picked(spark, d))
+
+
+@query(f"""with {SALES}, {PICKED}, m as (select month, row_number() over (order by month desc) as k from picked group by 1),
+l as (select m.k, p.revenue, unnest([{{'dimension': 'l_returnflag', 'segment': l_returnflag}}, {{'dimension': 'l_linestatus', 'segment': l_linestatus}}, {{'dimension': 'p_brand', 'segment': p_brand}}], recursive := true)
+  from picked p join m using (month) where m.k <= 2)
+select dimension, segment, round(coalesce(sum(revenue) filter (where k = 2), 0), 2) as before_value, round(coalesce(sum(revenue) filter (where k = 1), 0), 2) as after_value,
+round(coalesce(sum(revenue) filter (where k = 1), 0) - coalesce(sum(revenue) filter (where k = 2), 0), 2) as change from l group by 1, 2""", 2)
+def cube_drivers(spark, d):
+    return U.drivers(picked(spark, d), "revenue")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
