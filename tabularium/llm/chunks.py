@@ -44,6 +44,17 @@ def cuts(tokens: Iterable[bytes | str]) -> bool:
     return True
 
 
+class _Shown(dict):
+    """Whether a character is visible; none, and a space, are not."""
+
+    def __missing__(self, x: str) -> bool:
+        seen = self[x] = x not in ("", " ") and x.isprintable()
+        return seen
+
+
+SHOWN = _Shown()
+
+
 class Grown:
     """An array that rows are added to."""
 
@@ -81,9 +92,8 @@ class Chunks:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             self.names += new
             self.chars += sum(map(len, new))
-            # a space, and the end of an empty chunk, count as invisible
-            begins = np.fromiter(map(str.isprintable, [c[:1].strip(" ") or "\n" for c in new]), bool, len(new))
-            ends = np.fromiter(map(str.isprintable, [c[-1:].strip(" ") or "\n" for c in new]), bool, len(new))
+            begins = np.fromiter(map(SHOWN.__getitem__, [c[:1] for c in new]), bool, len(new))
+            ends = np.fromiter(map(SHOWN.__getitem__, [c[-1:] for c in new]), bool, len(new))
             self.begins.add(begins)
             self.ends.add(ends)
             self.learn(new, begins & ends)
@@ -100,7 +110,7 @@ class Chunks:
         cut = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False), out=cut[1:])
         coded = parts.flatten().dictionary_encode()
-        at = self._number(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        at = self._number(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         joined = ~(self.ends.data[at[:-1]] & self.begins.data[at[1:]])  # no cut between a part and its next
         joined[cut[1:-1] - 1] = False
         if not joined.any():

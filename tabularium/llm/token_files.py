@@ -13,6 +13,8 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
+from operator import contains
 
 import numpy as np
 import public_tokenizers
@@ -81,11 +83,11 @@ def _parted(need: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
         lo = base + 4 * at
         odd = upto.take(lo + step) - upto.take(lo)
         left = end - at
-        if left.min() < 16:  # a last word holds what is left of its block
-            price = (odd * (more * count[:, None]) + 64) / np.minimum(count[:, None], left)
-        else:
-            price = odd * more
-            price += fixed
+        price = odd * more
+        price += fixed
+        few = np.flatnonzero(left < 16)  # a last word holds what is left of its block
+        if len(few):
+            price[:, few] = (odd[:, few] * (more * count[:, None]) + 64) / np.minimum(count[:, None], left[few])
         best = price.argmin(axis=0)
         found.append((row, at, best))
         at = at + count[best]
@@ -233,7 +235,7 @@ class TextIds:
         size = np.zeros(len(new), np.int64)
         parts = [np.zeros(0, np.uint32)]
         # tokens that begin with a space tell chunks apart where none has a space inside
-        safe = safe & (not self.chunks.whole) & np.fromiter((" " not in c for c in new), bool, len(new))
+        safe = safe & (not self.chunks.whole) & ~np.fromiter(map(contains, new, repeat(" ")), bool, len(new))
         for some in np.array_split(np.flatnonzero(safe), safe.sum() // 512 + 1):
             if len(some):
                 ids = np.array(self._ids(" " + " ".join([new[i] for i in some.tolist()])), np.uint32)
