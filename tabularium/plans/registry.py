@@ -422,11 +422,36 @@ def snapshot_drift(spark, d):
 MEASURES = ["l_quantity", "revenue", "profit"]
 
 
+def _area(density: str, upto: str) -> str:
+    """SQL for the integral of a density, an expression in $x, from 0 to `upto` by Simpson's rule."""
+    at = density.replace("$x", f"(i * ({upto}) / 4000.0)")
+    return f"list_sum(list_transform(range(4001), lambda i: (case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end) * ({at}))) * ({upto}) / 12000.0"
+
+
+def t_tail(t: str, v: str) -> str:
+    """SQL for the two-sided tail of Student's t, integrated from its density; nothing is left beyond 40."""
+    area = _area(f"pow(1 + $x * $x / ({v}), -(({v}) + 1) / 2.0)", f"least(abs({t}), 40.0)")
+    return f"greatest(0.0, 1 - 2 * exp(lgamma((({v}) + 1) / 2.0) - lgamma(({v}) / 2.0)) / sqrt(({v}) * pi()) * {area})"
+
+
+def f_tail(f: str, a: str, b: str) -> str:
+    """SQL for the upper tail of F, integrated from its density."""
+    area = _area(f"pow($x, ({a}) / 2.0 - 1) * pow(1 + ({a}) * $x / ({b}), -(({a}) + ({b})) / 2.0)", f)
+    scale = f"pow(({a}) / ({b}), ({a}) / 2.0) * exp(lgamma((({a}) + ({b})) / 2.0) - lgamma(({a}) / 2.0) - lgamma(({b}) / 2.0))"
+    return f"greatest(0.0, 1 - {scale} * {area})"
+
+
+def r_tail(r: str, v: str) -> str:
+    """SQL for the two-sided tail of a correlation with v degrees of freedom."""
+    return t_tail(f"({r}) * sqrt(({v}) / (1 - ({r}) * ({r})))", v)
+
+
 @query(f"""with {SALES}, x as (select count(*) as n, corr(l_quantity, revenue) as a, corr(l_quantity, profit) as b, corr(revenue, profit) as c from sales),
-l as (select 'l_quantity' as col1, 'revenue' as col2, n, a as r from x union all select 'l_quantity', 'profit', n, b from x union all select 'revenue', 'profit', n, c from x)
-select col1, col2, n, round(r, 4) as r, case when abs(r) >= 0.7 then 'strong' when abs(r) >= 0.5 then 'moderate' else 'weak' end as strength, n < 30 as small_sample, abs(r) >= 0.3 as reported from l""")
+l as (select 'l_quantity' as col1, 'revenue' as col2, n, a as r from x union all select 'l_quantity', 'profit', n, b from x union all select 'revenue', 'profit', n, c from x),
+p as (select *, {r_tail("r", "n - 2.0")} as p from l)
+select col1, col2, n, round(r, 4) as r, round(p, 4) as p_value, p < 0.05 as significant, case when abs(r) >= 0.7 then 'strong' when abs(r) >= 0.5 then 'moderate' else 'weak' end as strength, n < 30 as small_sample, abs(r) >= 0.3 as reported from p""")
 def correlation_tests(spark, d):
-    return R.correlations(sales(spark, d), MEASURES).drop("p_value", "significant")
+    return R.correlations(sales(spark, d), MEASURES)
 
 
 VIF3 = """select corr(l_quantity, revenue) as a, corr(l_quantity, l_tax) as b, corr(revenue, l_tax) as c from sales"""
@@ -445,10 +470,11 @@ def simpsons(spark, d):
 
 
 @query(f"""with {SALES}, n as (select count(*) as n, corr(revenue, profit) as xy, corr(revenue, l_quantity) as xz, corr(profit, l_quantity) as yz from sales), gm as (select p_type, avg(revenue) as mx, avg(profit) as my from sales group by 1), w as (select corr(revenue - mx, profit - my) as r from sales join gm using (p_type)),
-l as (select 'l_quantity' as control, 'numeric' as control_type, n, xy, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) as p from n union all select 'p_type', 'category', n, xy, r from n, w)
-select 'revenue' as col1, 'profit' as col2, control, control_type, n, round(xy, 4) as overall_r, round(p, 4) as partial_r, round(abs(xy) - abs(p), 4) as "drop", case when sign(p) <> sign(xy) and abs(p) >= 0.15 then 'reverses' when abs(xy) - abs(p) >= 0.15 and abs(p) < 0.3 then 'mostly_explained' when abs(xy) - abs(p) >= 0.15 then 'partially_explained' else 'none' end as effect from l""")
+l as (select 'l_quantity' as control, 'numeric' as control_type, n, n - 3.0 as v, xy, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) as p from n
+  union all select 'p_type', 'category', n, n - (select count(*) from gm) - 1.0, xy, r from n, w)
+select 'revenue' as col1, 'profit' as col2, control, control_type, n, round(xy, 4) as overall_r, round(p, 4) as partial_r, round({r_tail("p", "v")}, 4) as p_value, round(abs(xy) - abs(p), 4) as "drop", case when sign(p) <> sign(xy) and abs(p) >= 0.15 then 'reverses' when abs(xy) - abs(p) >= 0.15 and abs(p) < 0.3 then 'mostly_explained' when abs(xy) - abs(p) >= 0.15 then 'partially_explained' else 'none' end as effect from l""")
 def partial_correlations(spark, d):
-    return R.partial_correlations(sales(spark, d), [("revenue", "profit")], ["l_quantity"], ["p_type"]).drop("p_value")
+    return R.partial_correlations(sales(spark, d), [("revenue", "profit")], ["l_quantity"], ["p_type"])
 
 
 @query(f"with {CLEAN} select l_orderkey, l_linenumber, round(d2, 4) as distance from dist where d2 > 9.210340371976184 order by d2 desc, 1, 2 limit 50")
@@ -462,10 +488,11 @@ def segments(spark, d):
     return R.segments(sales(spark, d), ["l_quantity", "revenue", "profit"])[1]
 
 
-@query("""with v as (select abs(value) as v from events where value <> 0), c as (select greatest(1, least(9, floor(v / pow(10, floor(log10(v))))))::int as digit, count(*) as n from v group by 1), t as (select count(*) as t from v where (select max(v) / min(v) >= 100 from v)), g as (select range::int as digit from range(1, 10)), x as (select digit, coalesce(n, 0) as n, t, log10(1 + 1.0 / digit) as e from g left join c using (digit), t where t >= 100)
-select 'value' as "column", digit, n, round(n / t::double, 4) as share, round(e, 4) as expected, round(sum((n - e * t) ** 2 / (e * t)) over (), 4) as chi2 from x""")
+@query("""with v as (select abs(value) as v from events where value <> 0), c as (select greatest(1, least(9, floor(v / pow(10, floor(log10(v))))))::int as digit, count(*) as n from v group by 1), t as (select count(*) as t from v where (select max(v) / min(v) >= 100 from v)), g as (select range::int as digit from range(1, 10)), x as (select digit, coalesce(n, 0) as n, t, log10(1 + 1.0 / digit) as e from g left join c using (digit), t where t >= 100),
+y as (select *, sum((n - e * t) ** 2 / (e * t)) over () as chi2 from x), z as (select *, exp(-chi2 / 2) * (1 + chi2 / 2 + chi2 ** 2 / 8 + chi2 ** 3 / 48) as p from y)
+select 'value' as "column", digit, n, round(n / t::double, 4) as share, round(e, 4) as expected, round(chi2, 4) as chi2, round(p, 4) as p_value, p < 0.05 as deviates from z""")
 def benford(spark, d):
-    return R.benford(table(spark, d, "events"), ["value"]).drop("p_value", "deviates")
+    return R.benford(table(spark, d, "events"), ["value"])
 
 
 @query("""with q as (select quantile_cont(value, 0.25) as a, quantile_cont(value, 0.75) as b from events), f as (select a - 1.5 * (b - a) as lo, b + 1.5 * (b - a) as hi from q), x as (select sum(value) as fu, sum(value) filter (where value between lo and hi) as tr, count(*) filter (where not value between lo and hi) * 100.0 / count(value) as o from events, f)
@@ -474,10 +501,14 @@ def robust_kpis(spark, d):
     return R.robust_kpis(table(spark, d, "events"), [("value", "sum")])
 
 
-@query(f"""with {SALES}, q as (select quantile_cont(revenue, 0.25) as a, quantile_cont(revenue, 0.75) as b, quantile_cont(profit, 0.25) as c, quantile_cont(profit, 0.75) as e from sales), i as (select revenue, profit, revenue between a - 1.5 * (b - a) and b + 1.5 * (b - a) and profit between c - 1.5 * (e - c) and e + 1.5 * (e - c) as inside from sales, q)
-select 'revenue' as col1, 'profit' as col2, round(corr(revenue, profit), 4) as r, count(*) as n, round(corr(revenue, profit) filter (where inside), 4) as inside_r, count(*) filter (where inside) as inside_n from i""")
+@query(f"""with {SALES}, q as (select quantile_cont(revenue, 0.25) as a, quantile_cont(revenue, 0.75) as b, quantile_cont(profit, 0.25) as c, quantile_cont(profit, 0.75) as e from sales), i as (select revenue, profit, revenue between a - 1.5 * (b - a) and b + 1.5 * (b - a) and profit between c - 1.5 * (e - c) and e + 1.5 * (e - c) as inside from sales, q),
+c as (select corr(revenue, profit) as r, count(*) as n, corr(revenue, profit) filter (where inside) as ir, count(*) filter (where inside) as ni from i),
+p as (select *, {r_tail("r", "n - 2.0")} as p, {r_tail("ir", "ni - 2.0")} as ip from c)
+select 'revenue' as col1, 'profit' as col2, round(r, 4) as r, n, round(ir, 4) as inside_r, ni as inside_n, round(p, 4) as p_value, round(ip, 4) as inside_p,
+  case when sign(r) <> sign(ir) and abs(r) >= 0.1 and abs(ir) >= 0.1 then 'flips' when p < 0.05 and ip >= 0.05 then 'lost_significance'
+    when abs(ir) - abs(r) <= -0.15 then 'weakens' when abs(ir) - abs(r) >= 0.15 then 'strengthens' else 'holds' end as effect from p""")
 def robust_correlations(spark, d):
-    return R.robust_correlations(sales(spark, d), [("revenue", "profit")]).drop("p_value", "inside_p", "effect")
+    return R.robust_correlations(sales(spark, d), [("revenue", "profit")])
 
 
 # intervals and tests
@@ -570,17 +601,27 @@ def outcome_kind(spark, d):
 # series
 
 
-@query("""with m as (select strftime(l_shipdate, '%Y-%m') as month, count(*) as n, sum(l_extendedprice) as v, avg(l_extendedprice) as m, var_samp(l_extendedprice) as s from lineitem group by 1 order by 1 desc limit 2), r as (select *, row_number() over (order by month desc) as k from m)
-select a.month, b.month as previous_month, round(a.v, 2) as value, round(b.v, 2) as previous_value, round((a.v - b.v) * 100 / abs(b.v), 2) as change_pct, round((a.m - b.m) / sqrt(a.s / a.n + b.s / b.n), 2) as t, round((a.s / a.n + b.s / b.n) ** 2 / ((a.s / a.n) ** 2 / (a.n - 1) + (b.s / b.n) ** 2 / (b.n - 1)), 2) as df from r a, r b where a.k = 1 and b.k = 2 and a.n >= 5 and b.n >= 5""", 2)
+@query(f"""with m as (select strftime(l_shipdate, '%Y-%m') as month, count(*) as n, sum(l_extendedprice) as v, avg(l_extendedprice) as m, var_samp(l_extendedprice) as s from lineitem group by 1 order by 1 desc limit 2), r as (select *, row_number() over (order by month desc) as k from m),
+w as (select (a.m - b.m) / sqrt(a.s / a.n + b.s / b.n) as t, (a.s / a.n + b.s / b.n) ** 2 / ((a.s / a.n) ** 2 / (a.n - 1) + (b.s / b.n) ** 2 / (b.n - 1)) as v from r a, r b where a.k = 1 and b.k = 2),
+p as (select {t_tail("t", "v")} as p from w)
+select a.month, b.month as previous_month, round(a.v, 2) as value, round(b.v, 2) as previous_value, round((a.v - b.v) * 100 / abs(b.v), 2) as change_pct, round((a.m - b.m) / sqrt(a.s / a.n + b.s / b.n), 2) as t, round((a.s / a.n + b.s / b.n) ** 2 / ((a.s / a.n) ** 2 / (a.n - 1) + (b.s / b.n) ** 2 / (b.n - 1)), 2) as df,
+  round(p.p, 2) as p_value, p.p < 0.05 as significant
+from r a, r b, p where a.k = 1 and b.k = 2 and a.n >= 5 and b.n >= 5""", 2)
 def period_comparison(spark, d):
-    return S.period_comparison(table(spark, d, "lineitem"), "l_shipdate", "l_extendedprice").drop("p_value", "significant")
+    return S.period_comparison(table(spark, d, "lineitem"), "l_shipdate", "l_extendedprice")
 
 
 @query(f"""with {MONTHLY}, x as (select month, value, row_number() over (order by month) - 1 as i, count(*) over () as n, (avg(value) over (order by month rows between 6 preceding and 5 following) + avg(value) over (order by month rows between 5 preceding and 6 following)) / 2 as t from series),
-y as (select *, case when i >= 6 and i < n - 6 then t end as tr, month[6:7]::int as moy from x), o as (select moy, avg(value - tr) as m, count(value - tr) as k from y where tr is not null group by 1 having count(*) >= 2)
-select month, round(value, 3) as value, round(tr, 3) as trend, round(o.m - (select avg(m) from o), 3) as season from y left join o using (moy) where n >= 36""", 3)
+y as (select *, case when i >= 6 and i < n - 6 then t end as tr, month[6:7]::int as moy from x), o as (select moy, avg(value - tr) as m, count(value - tr) as k, var_pop(value - tr) * count(*) as within from y where tr is not null group by 1 having count(*) >= 2),
+g as (select sum(m * k) / sum(k) as grand, avg(m) as centre, count(*) as groups, sum(k) as n_all, sum(within) as within, arg_max(moy, m) as peak_month, arg_min(moy, m) as trough_month from o),
+a as (select g.*, groups - 1.0 as a, n_all - groups + 0.0 as b, (select sum(k * (m - grand) ** 2) from o, g) / (groups - 1) / (within / (n_all - groups)) as f from g),
+p as (select *, {f_tail("f", "a", "b")} as p from a),
+s as (select month, n, value, tr, o.m - centre as season, value - tr - (o.m - centre) as residual from y left join o using (moy), p),
+strength as (select greatest(0.0, 1 - var_pop(residual) / var_pop(residual + season)) as ss, greatest(0.0, 1 - var_pop(residual) / var_pop(residual + tr)) as ts from s)
+select month, round(value, 3) as value, n, round(tr, 3) as trend, round(season, 3) as season, round(residual, 3) as residual, round(f, 3) as f, round(p, 3) as p_value,
+  p < 0.05 as seasonal, round(ss, 3) as season_strength, round(ts, 3) as trend_strength, peak_month, trough_month from s, p, strength where n >= 36""", 3)
 def seasonality(spark, d):
-    return S.seasonality(monthly_orders(spark, d)).select("month", "value", "trend", "season")
+    return S.seasonality(monthly_orders(spark, d))
 
 
 GROWING = "series as (select strftime(o_orderdate, '%Y-%m') as month, count(*) * (year(min(o_orderdate)) - 1990.0) as value from orders where o_orderdate < timestamp '2001-01-01' group by 1)"
