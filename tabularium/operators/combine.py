@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.operators.aggregates import kpis
@@ -10,31 +10,71 @@ from tabularium.operators.common import number
 from tabularium.operators.quality import normal_name
 
 
+#: Values that a sketch of different values keeps (its default); below it, estimates are exact.
+SKETCHED = 4096
+
+
+def _text(c: str) -> Column:
+    return F.lower(F.trim(F.col(f"`{c}`").cast("string")))
+
+
+def _sketches(df: DataFrame, cols: list[str], side: str) -> DataFrame:
+    """One row: for the i-th column its non-null values and a theta sketch of the different ones."""
+    return df.agg(*(e.alias(f"{k}{side}{i}") for i, c in enumerate(cols) for k, e in (("n", F.count(_text(c))), ("s", F.theta_sketch_agg(_text(c))))))
+
+
+def _value_counts(df: DataFrame, cols: dict[int, str], name: str) -> DataFrame:
+    """(i, v, name): rows that hold each value of each column, by one scan."""
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _text(c).alias("v")) for i, c in cols.items())))
+    return df.select(cells.alias("x")).select("x.*").where("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias(name))
+
+
 def detect_join_key(a: DataFrame, b: DataFrame, unique: float = 0.9, overlap: float = 0.2, most: int = 30) -> DataFrame:
-    """(left_column, right_column, left_uniqueness, right_uniqueness, overlap, chosen) for columns with equal normalized names.
+    """(left_column, right_column, left_uniqueness, right_uniqueness, overlap, exact, chosen) for columns with equal normalized names.
 
     Uniqueness is distinct / non-null; overlap is the number of shared values (trimmed, lower case) over the smaller side's. A key needs
     uniqueness on one side and overlap; the best by (overlap, greater uniqueness) is chosen.
+
+    One scan of each table sketches all columns. Pairs that could still be the key by the sketches' error bounds are counted exactly, all by one more scan of each table; the
+    others keep their estimates (exact is false, but for columns of up to SKETCHED values). The chosen pair is always exact.
     """
     names = {normal_name(c): c for c in b.columns}
     pairs = [(c, names[normal_name(c)]) for c in a.columns if normal_name(c) in names][:most]
-    schema = "left_column string, right_column string, left_uniqueness double, right_uniqueness double, overlap double, chosen boolean"
+    schema = "left_column string, right_column string, left_uniqueness double, right_uniqueness double, overlap double, exact boolean, chosen boolean"
     if not pairs:
         return a.sparkSession.createDataFrame([], schema)
-    text = lambda c: F.lower(F.trim(F.col(f"`{c}`").cast("string")))
-    out = None
-    for left, right in pairs:
-        x = a.where(F.col(f"`{left}`").isNotNull()).groupBy(text(left).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        y = b.where(F.col(f"`{right}`").isNotNull()).groupBy(text(right).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        both = x.withColumnRenamed("n", "x").join(y.withColumnRenamed("n", "y"), "v", "full_outer")
-        row = both.agg(F.count("x").alias("dx"), F.count("y").alias("dy"), F.sum("x").alias("nx"), F.sum("y").alias("ny"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("shared")).select(
-            F.lit(left).alias("left_column"), F.lit(right).alias("right_column"), F.try_divide("dx", "nx").alias("left_uniqueness"), F.try_divide("dy", "ny").alias("right_uniqueness"), F.coalesce(F.try_divide("shared", F.least("dx", "dy")), F.lit(0.0)).alias("overlap"),
-        )
-        out = row if out is None else out.unionByName(row)
-    most_unique = F.greatest("left_uniqueness", "right_uniqueness")
-    good = (most_unique >= unique) & (F.col("overlap") >= overlap)
-    best = out.agg(F.max(F.when(good, F.struct(F.col("overlap").alias("o"), most_unique.alias("u"), F.col("left_column").alias("c")))).alias("best"))
-    return out.crossJoin(F.broadcast(best)).withColumn("chosen", F.coalesce(F.col("left_column") == F.col("best.c"), F.lit(False))).drop("best")
+    wide = _sketches(a, [x for x, _ in pairs], "x").crossJoin(_sketches(b, [y for _, y in pairs], "y"))  # one row each
+    size = lambda s: F.theta_sketch_estimate(s)
+    row = wide.select(*(e.alias(f"{k}{i}") for i in range(len(pairs)) for k, e in (
+        ("nx", F.col(f"nx{i}")), ("ny", F.col(f"ny{i}")), ("dx", size(f"sx{i}")), ("dy", size(f"sy{i}")), ("both", size(F.theta_intersection(f"sx{i}", f"sy{i}"))),
+    ))).first()
+    found = {i: tuple(row[f"{k}{i}"] or 0 for k in ("nx", "ny", "dx", "dy", "both")) for i in range(len(pairs))}
+    known = {i for i, (_, _, dx, dy, _) in found.items() if max(dx, dy) < SKETCHED}
+    near = {i: _bounds(*found[i], i in known) for i in found}
+    sure = max((low for low, _, u_low, _ in near.values() if u_low >= unique and low >= overlap), default=overlap)
+    final = [i for i, (_, high, _, u_high) in near.items() if u_high >= unique and high >= sure and i not in known]
+    if final:
+        x, y = _value_counts(a, {i: pairs[i][0] for i in final}, "x"), _value_counts(b, {i: pairs[i][1] for i in final}, "y")
+        sums = x.join(y, ["i", "v"], "full_outer").groupBy("i").agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"), F.count("x").alias("dx"), F.count("y").alias("dy"), F.count(F.col("x") + F.col("y")).alias("both"))
+        found |= {r["i"]: tuple(r[k] or 0 for k in ("nx", "ny", "dx", "dy", "both")) for r in sums.collect()}  # a row for each pair
+    exact = known | set(final)
+    share = lambda n, m: n / m if m else None
+    out = [(*pairs[i], share(dx, nx), share(dy, ny), share(both, min(dx, dy)) or 0.0, i in exact) for i, (nx, ny, dx, dy, both) in found.items()]
+    good = [(r[4], max(r[2] or 0, r[3] or 0), r[0]) for r in out if r[5] and max(r[2] or 0, r[3] or 0) >= unique and r[4] >= overlap]
+    best = max(good)[2] if good else None
+    return a.sparkSession.createDataFrame([(*r, r[0] == best) for r in out], schema)
+
+
+def _bounds(nx: float, ny: float, dx: float, dy: float, both: float, known: bool) -> tuple[float, float, float, float]:
+    """(least and greatest overlap, least and greatest uniqueness of the better side) that sketches leave possible: four standard errors, and ten unseen values for a shared one."""
+    u, small = max(dx / nx if nx else 0, dy / ny if ny else 0), min(dx, dy)
+    o = both / small if small else 0
+    if known or not small:
+        return o, o, u, u
+    union = max(dx + dy - both, 1)
+    off = (4 * (both * union / SKETCHED) ** 0.5 + 10 * union / SKETCHED) / small + 4 * o / SKETCHED**0.5
+    far = 4 * u / SKETCHED**0.5
+    return max(0.0, o - off), o + off, u - far, u + far
 
 
 def relational_join(a: DataFrame, b: DataFrame, left: str, right: str, name_a: str = "a", name_b: str = "b", null_safe: bool = False) -> tuple[DataFrame, DataFrame]:

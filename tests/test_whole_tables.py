@@ -175,3 +175,18 @@ def test_join_report_counts_by_keys(spark, null_safe):
     assert joined.count() == r["rows"]
     plan = info._jdf.queryExecution().toString()
     assert "monotonically_increasing_id" not in plan and "distinct" not in plan.lower()
+
+
+def test_join_key_of_many_values(spark):
+    """Beyond what a sketch holds: pairs that may be the key are counted exactly, a hopeless one keeps its estimate."""
+    left = spark.range(30_000).select((F.col("id") % 20_000).alias("key"), F.col("id").alias("Row No"), (F.col("id") % 7).alias("kind"))
+    right = spark.range(20_000).select((F.col("id") + 5_000).alias("Key"), (F.col("id") + 1_000_000).alias("row_no"), (F.col("id") % 5).alias("Kind"))
+    got = {r["left_column"]: r for r in J.detect_join_key(left, right).collect()}
+    key = got["key"]
+    assert key["exact"] and key["chosen"]
+    assert (key["left_uniqueness"], key["right_uniqueness"], key["overlap"]) == (20_000 / 30_000, 1.0, 0.75)
+    assert got["Row No"]["overlap"] == 0 and not got["Row No"]["chosen"] and not got["Row No"]["exact"]
+    assert got["kind"]["exact"] and got["kind"]["overlap"] == 1.0 and not got["kind"]["chosen"]
+    blank = spark.createDataFrame([(None, 1)], "key string, x int")
+    none = J.detect_join_key(blank, right).collect()
+    assert [(r["left_uniqueness"], r["overlap"], r["chosen"]) for r in none] == [(None, 0.0, False)]
