@@ -158,8 +158,8 @@ def breakdown(df: DataFrame, col: str, mapping: dict[str, str], n: int = 15) ->
 
 def all_breakdowns(df: DataFrame, mapping: dict[str, str], cols: list[str], n: int = 15, most: int = 6) -> DataFrame:
     """(column, label, revenue, profit, margin_pct): `breakdown` of up to six columns with few distinct values, by one pass for all of them."""
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count_distinct(c).alias(c) for c in cols)).first()
-    use = [c for c in cols if 2 <= row[c] <= min(30, max(row["rows"] / 2, 2))][:most]
+    rows, distinct = C.few_distinct(df, cols, 30)
+    use = [c for c in cols if 2 <= distinct.get(c, 0) <= min(30, max(rows / 2, 2))][:most]
     if not use:
         return df.sparkSession.createDataFrame([], "column string, label string, revenue double, profit double, margin_pct double")
     long = df.select(number(mapping["revenue"]).alias("r"), number(mapping["profit"]).alias("p"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("label")) for c in use))).alias("d"))

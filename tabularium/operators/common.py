@@ -148,6 +148,17 @@ def kth_largest(rows: DataFrame, value: str, k: int) -> tuple[float, int, int]:
         inside = (v > low) & (v < high)
 
 
+def few_distinct(df: DataFrame, cols: list[str], most: int) -> tuple[int, dict[str, int]]:
+    """(rows, {column: different values}) of the columns with about `most` values or fewer: estimated first, and only those with at most twice as many are counted, so that
+    no task sends more than a few values of a column.
+    """
+    near = [F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *near).first()
+    few = [c for i, c in enumerate(cols) if row[f"d{i}"] <= 2 * most]
+    exact = df.agg(*(F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(few))).first() if few else []
+    return row["rows"], dict(zip(few, exact, strict=True))
+
+
 def top(df: DataFrame, value: str, label: str, n: int) -> DataFrame:
     """The n rows with the greatest values; ties by label, nulls last."""
     return df.orderBy(F.desc_nulls_last(value), F.asc(label)).limit(n)

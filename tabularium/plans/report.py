@@ -10,7 +10,7 @@ from tabularium.operators import aggregates as A
 from tabularium.operators import quality as Q
 from tabularium.operators import relations as R
 from tabularium.operators import series as S
-from tabularium.operators.common import number
+from tabularium.operators.common import few_distinct, number
 
 COLUMNS = "analysis string, subject string, label string, other string, value double"
 
@@ -84,7 +84,8 @@ def full_report(df: DataFrame, overrides: dict[str, str] | None = None, points:
 
     Trend of the primary measure; histograms of all measures and a box plot of the primary one; for all pairs of measures the points of one
     sample of rows, with r for three measures or more; counts and sums by each chartable dimension; a cross-tab of the two best dimensions of at most ten values. A
-    table without measures gets its frequencies. The columns needed are kept (persisted) for the passes over them.
+    table without measures gets its frequencies. The columns needed are kept (persisted) for the passes over them
+    and let go when the result is there: it is short (bins, months, the first labels of each dimension, `points` rows) and comes to the driver.
     """
     p = Q.understand(df, overrides)
     planned = plan(p)
@@ -115,6 +116,11 @@ def full_report(df: DataFrame, overrides: dict[str, str] | None = None, points:
         out = parts[0]
         for more in parts[1:]:
             out = out.union(more)
+        try:
+            rows = out.collect()
+        finally:
+            kept.unpersist()
+        out = df.sparkSession.createDataFrame(rows, COLUMNS)
     first = top_analyses(planned)
     marks = df.sparkSession.createDataFrame([(k, s, i, (k, s) in first) for k, s, i in planned], "analysis string, subject string, importance int, top boolean")
     return out.join(F.broadcast(marks), ["analysis", "subject"], "left")
@@ -122,8 +128,8 @@ def full_report(df: DataFrame, overrides: dict[str, str] | None = None, points:
 
 def filtered_report(df: DataFrame, date: str, metric: str, agg: str, dims: list[str]) -> DataFrame:
     """Seasons, period comparison, drivers and robustness of filtered rows (COLUMNS); dimensions are judged anew on them."""
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count_distinct(c).alias(c) for c in dims)).first()
-    use = [c for c in dims if 2 <= row[c] <= min(30, max(row["rows"] / 2, 2))]
+    rows, distinct = few_distinct(df, dims, 30)
+    use = [c for c in dims if 2 <= distinct.get(c, 0) <= min(30, max(rows / 2, 2))]
     series = A.trend(df, date, metric, agg)
     out = _part(series, "trend", metric, "month", None, "value")
     out = out.unionByName(_part(S.seasonality(series).where("season is not null"), "season", metric, "month", None, "season"))

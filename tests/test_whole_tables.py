@@ -190,3 +190,21 @@ def test_join_key_of_many_values(spark):
     blank = spark.createDataFrame([(None, 1)], "key string, x int")
     none = J.detect_join_key(blank, right).collect()
     assert [(r["left_uniqueness"], r["overlap"], r["chosen"]) for r in none] == [(None, 0.0, False)]
+
+
+def test_few_distinct(spark):
+    """Columns of many values aren't counted; the others are, nulls aside."""
+    rows = spark.range(5_000).select("id", (F.col("id") % 30).alias("a.b"), F.when(F.col("id") % 2 == 0, F.col("id") % 45).alias("c"), F.lit(None).cast("string").alias("none"))
+    assert C.few_distinct(rows, ["id", "a.b", "c", "none"], 30) == (5_000, {"a.b": 30, "c": 45, "none": 0})
+    assert C.few_distinct(rows.limit(0), ["id"], 30) == (0, {"id": 0})
+    assert C.few_distinct(rows, [], 30) == (5_000, {})
+
+
+def test_report_keeps_nothing(spark):
+    """A report lets the columns go that it kept for its passes."""
+    from tabularium.plans import report
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    rows = spark.range(400).select(F.concat(F.lit("g"), F.col("id") % 4).alias("Region"), (F.col("id") * 1.5).alias("Sales"), (F.col("id") % 50 + 0.25).alias("Profit"))
+    assert {r["analysis"] for r in report.full_report(rows).collect()} == {"histogram", "box", "scatter", "count", "by"}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
