@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabularium.operators import common as C
-from tabularium.operators.common import agg_of, number, quantiles, rows_from, top
+from tabularium.operators.common import agg_of, by_pair, number, quantiles, rows_from, top
 
 
 def analysis_slice(df: DataFrame, date: str | None, dimensions: list[str], measures: list[str]) -> DataFrame:
@@ -106,13 +106,10 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     if not pairs:
         return df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "col1 string, col2 string, r double")
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        both = number(a).isNotNull() & number(b).isNotNull()
-        aggs.append(F.coalesce(F.nanvl(F.corr(F.when(both, number(a)), F.when(both, number(b))), F.lit(0.0)), F.lit(0.0)).alias(f"r{i}"))
-    cell = lambda a, b, r: F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), r.alias("r"))
-    cells = [cell(c, c, F.lit(1.0)) for c in cols] + [cell(*p, F.col(f"r{i}")) for i, (a, b) in enumerate(pairs) for p in ((a, b), (b, a))]
-    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    by = by_pair(df, pairs, lambda x, y: [F.nanvl(F.corr(x, y), F.lit(0.0)).alias("r")])
+    cells = [(c, c, None) for c in cols] + [(*p, i) for i, (a, b) in enumerate(pairs) for p in ((a, b), (b, a))]
+    grid = df.sparkSession.createDataFrame(cells, "col1 string, col2 string, i int")
+    return grid.join(F.broadcast(by), "i", "left").select("col1", "col2", F.when(F.col("i").isNull(), 1.0).otherwise(F.coalesce("r", F.lit(0.0))).alias("r"))
 
 
 def boxplot(df: DataFrame, col: str) -> DataFrame:

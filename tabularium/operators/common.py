@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +19,23 @@ def number(col: str | Column) -> Column:
     return F.nullif(c.try_cast("double"), F.lit(float("nan")))
 
 
+def typed(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """(the columns as doubles, where each is): projected once, as an aggregate that holds a conversion several times makes code too large to be compiled."""
+    names = {c: f"v{i}" for i, c in enumerate(dict.fromkeys(cols))}
+    return df.select(*(number(F.col(f"`{c}`")).alias(v) for c, v in names.items())), {c: F.col(v) for c, v in names.items()}
+
+
+def by_pair(df: DataFrame, pairs: list[tuple[str, str]], of: Callable[[Column, Column], list[Column]]) -> DataFrame:
+    """(i, aggregates of x and y) on rows complete for the i-th pair of columns; a pair without such rows has no row.
+
+    One unpivoted grouping by the pair's number, combined before the shuffle: one small aggregate, compiled, however many pairs.
+    """
+    rows, v = typed(df, [c for p in pairs for c in p])
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), v[a].alias("x"), v[b].alias("y")) for i, (a, b) in enumerate(pairs)))
+    long = rows.select(F.explode(cells).alias("c")).select("c.*").where("x is not null and y is not null")
+    return long.groupBy("i").agg(*of(F.col("x"), F.col("y")))
+
+
 def without_nan(df: DataFrame) -> DataFrame:
     """NaN in double and float columns becomes null: one kind of missing value."""
     return df.withColumns({f.name: F.nullif(F.col(f"`{f.name}`"), F.lit(float("nan")).cast(f.dataType)) for f in df.schema if isinstance(f.dataType, T.DoubleType | T.FloatType)})
@@ -58,20 +79,37 @@ def rows_from(row: DataFrame, columns: dict[str, dict[str, str]], key: str = "co
     return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-#: Values around a quantile that may come to the driver, and the accuracy of the estimates that close in on it.
-CLOSE, ACCURACY = 200_000, 10_000
+#: Values around a quantile that may come to the driver; the size of the KLL sketches that close in on it, and thrice the error of ranks that they state.
+CLOSE, SKETCH, SLACK = 200_000, 8_192, 0.002
+#: Values that an estimate of edges in a selection keeps.
+ACCURACY = 10_000
+
+
+def _sketched(v: Column, shares: list[float]) -> tuple[Column, Callable[[Column], Column]]:
+    """A mergeable sketch of a column, and what tells its values at some shares of the ranks (null without values)."""
+    at = F.array(*(F.lit(min(1.0, max(0.0, s))) for s in shares))
+    return F.kll_sketch_agg_double(v, F.lit(SKETCH)), lambda s: F.when(F.kll_sketch_get_n_double(s) > 0, F.kll_sketch_get_quantile_double(s, at))
+
+
+def _values_at(rows: DataFrame, wanted: dict[str, tuple[Column, list[float]]], extra: list[Column]) -> Row:
+    """Estimated values {name: (column, shares)} of all columns, and further aggregates, by one scan."""
+    made = {name: _sketched(v, shares) for name, (v, shares) in wanted.items()}
+    row = rows.agg(*extra, *(sketch.alias(name) for name, (sketch, _) in made.items()))
+    return row.select("*", *(read(F.col(name)).alias(f"{name}_at") for name, (_, read) in made.items())).drop(*made).first()
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, tuple[int, list[float]]]:
     """{column: (n, its linear quantiles)} of the columns with numbers, exactly, whatever the number of different values.
 
-    Estimates (percentile_approx) bracket each quantile; the brackets are counted, and narrowed again where they hold over CLOSE rows; then their different values
-    with counts, which are few, tell the ranks sought. Every pass serves all columns, with partial aggregates of fixed size.
+    KLL sketches of all columns, merged from the partitions' in one scan, bracket each quantile; the brackets are counted, and narrowed by sketches of what they hold where that is over CLOSE
+    rows; then their different values with counts, which are few, tell the ranks sought. Every pass serves all columns, with partial aggregates of fixed size. A sketch that missed its rank
+    costs a pass, never a right result.
     """
     v = [number(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(cols)]
     rows = df.select(*v)
-    wide = [p for q in probs for p in (max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY))]
-    first = rows.agg(*(F.count(f"v{i}").alias(f"n{i}") for i in range(len(cols))), *(F.percentile_approx(f"v{i}", wide, ACCURACY).alias(f"q{i}") for i in range(len(cols)))).first()
+    wide = [p for q in probs for p in (q - SLACK, q + SLACK)]
+    sketched = _values_at(rows, {f"q{i}": (F.col(f"v{i}"), wide) for i in range(len(cols))}, [F.count(f"v{i}").alias(f"n{i}") for i in range(len(cols))])
+    first = {**{f"n{i}": sketched[f"n{i}"] for i in range(len(cols))}, **{f"q{i}": sketched[f"q{i}_at"] for i in range(len(cols))}}
     sought = [[i, int((first[f"n{i}"] - 1) * q), first[f"q{i}"][2 * j], first[f"q{i}"][2 * j + 1]] for i in range(len(cols)) if first[f"n{i}"] for j, q in enumerate(probs)]
     found: dict[int, list[float]] = {}
     for _ in range(64):
@@ -91,15 +129,15 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, t
         if missed:
             continue
         if large:
-            near = lambda t: [min(1.0, max(0.0, (sought[t][1] + d - row[f"l{t}"]) / row[f"m{t}"] + e)) for d, e in ((0, -2 / ACCURACY), (1, 2 / ACCURACY))]
-            closer = rows.agg(*(F.percentile_approx(F.when(inside[t], F.col(f"v{sought[t][0]}")), near(t), ACCURACY).alias(f"q{t}") for t in large)).first()
+            near = lambda t: [(sought[t][1] + d - row[f"l{t}"]) / row[f"m{t}"] + e for d, e in ((0, -SLACK), (1, SLACK))]
+            closer = _values_at(rows, {f"q{t}": (F.when(inside[t], F.col(f"v{sought[t][0]}")), near(t)) for t in large}, [])
             before = [tuple(x) for x in sought]
             for t in large:
-                sought[t][2:] = closer[f"q{t}"]
+                sought[t][2:] = closer[f"q{t}_at"]
             if [tuple(x) for x in sought] != before:
                 continue
         parts = F.array(*(F.struct(F.lit(t).alias("t"), F.when(x, F.col(f"v{sought[t][0]}")).alias("v")) for t, x in enumerate(inside)))
-        near = rows.select(F.explode(F.filter(parts, lambda s: s["v"].isNotNull())).alias("s")).groupBy("s.t", "s.v").agg(F.count(F.lit(1)).alias("k")).collect()
+        near = rows.where(reduce(or_, inside)).select(F.explode(parts).alias("s")).where("s.v is not null").groupBy("s.t", "s.v").agg(F.count(F.lit(1)).alias("k")).collect()
         for t, (i, rank, _, _) in enumerate(sought):
             values, at, pair = sorted((r["v"], r["k"]) for r in near if r["t"] == t), row[f"l{t}"], []
             for want in (rank, min(rank + 1, first[f"n{i}"] - 1)):

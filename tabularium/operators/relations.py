@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from tabularium.functions import stats as S
 from tabularium.operators import clustering as G
-from tabularium.operators.common import number, rows_from
+from tabularium.operators.common import by_pair, number, rows_from, typed
 from tabularium.operators.quality import fences
 
 
@@ -34,15 +34,11 @@ def correlations(df: DataFrame, cols: list[str], min_r: float = 0.3) -> DataFram
     All pairs in one pass; reported says |r| >= min_r.
     """
     pairs = _pairs(cols)
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        both = _complete([a, b])
-        x, y = F.when(both, number(a)), F.when(both, number(b))
-        aggs += [F.count_if(both).alias(f"n{i}"), _safe_r(F.corr(x, y)).alias(f"r{i}"), (F.stddev_pop(x) * F.stddev_pop(y)).alias(f"s{i}")]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col1 string, col2 string, n long, r double, p_value double, significant boolean, strength string, small_sample boolean, reported boolean")
-    cells = [F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r"), F.col(f"s{i}").alias("s")) for i, (a, b) in enumerate(pairs)]
-    out = df.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("n >= 5 and s > 0 and r is not null").drop("s")
+    by = by_pair(df, pairs, lambda x, y: [F.count(F.lit(1)).alias("n"), _safe_r(F.corr(x, y)).alias("r"), (F.stddev_pop(x) * F.stddev_pop(y)).alias("s")])
+    names = df.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, col1 string, col2 string")
+    out = names.join(F.broadcast(by), "i").select("col1", "col2", "n", "r", "s").where("n >= 5 and s > 0 and r is not null").drop("s")
     t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))
     p = F.when(F.abs("r") >= 1, 0.0).otherwise(S.t_p(t, F.col("n") - 2))
     strength = F.when(F.abs("r") >= 0.7, "strong").when(F.abs("r") >= 0.5, "moderate").otherwise("weak")
@@ -242,15 +238,17 @@ def robust_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFram
 
     effect: flips (both |r| >= 0.1), lost_significance, weakens or strengthens (by 0.15), holds.
     """
-    found = fences(df, sorted({c for p in pairs for c in p}))
-    aggs, cells = [], []
+    cols = sorted({c for p in pairs for c in p})
+    found = fences(df, cols)
+    rows, v = typed(df, cols)
+    aggs, cells, marks = [], [], []
     for i, (a, b) in enumerate(pairs):
-        both = _complete([a, b])
-        inside = both & number(a).between(found[a][3], found[a][4]) & number(b).between(found[b][3], found[b][4])
-        for k, rows in (("f", both), ("t", inside)):
-            aggs += [_safe_r(F.corr(F.when(rows, number(a)), F.when(rows, number(b)))).alias(f"r{k}{i}"), F.count_if(rows).alias(f"n{k}{i}")]
+        marks += [(v[a].isNotNull() & v[b].isNotNull()).alias(f"f{i}"), (v[a].between(found[a][3], found[a][4]) & v[b].between(found[b][3], found[b][4])).alias(f"t{i}")]
+        for k in "ft":
+            mark = F.col(f"{k}{i}")
+            aggs += [_safe_r(F.corr(F.when(mark, v[a]), F.when(mark, v[b]))).alias(f"r{k}{i}"), F.count_if(mark).alias(f"n{k}{i}")]
         cells.append(F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"rf{i}").alias("r"), F.col(f"nf{i}").alias("n"), F.col(f"rt{i}").alias("inside_r"), F.col(f"nt{i}").alias("inside_n")))
-    out = df.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("inside_n >= 10 and r is not null and inside_r is not null")
+    out = rows.select("*", *marks).agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("inside_n >= 10 and r is not null and inside_r is not null")
     p = lambda r, n: S.t_p(F.col(r) * F.sqrt(F.try_divide(F.col(n) - 2, 1 - F.col(r) * F.col(r))), F.col(n) - 2)
     out = out.withColumns({"p_value": p("r", "n"), "inside_p": p("inside_r", "inside_n")})
     diff = F.abs("inside_r") - F.abs("r")

@@ -10,7 +10,7 @@ from tabularium.operators import aggregates as A
 from tabularium.operators import quality as Q
 from tabularium.operators import relations as R
 from tabularium.operators import series as S
-from tabularium.operators.common import few_distinct, number
+from tabularium.operators.common import few_distinct, number, typed
 
 COLUMNS = "analysis string, subject string, label string, other string, value double"
 
@@ -53,7 +53,8 @@ def top_analyses(planned: list[tuple[str, str, int]], n: int = 3) -> list[tuple[
 
 def histograms(df: DataFrame, cols: list[str], bins: int = 10) -> DataFrame:
     """(column, bin, low, high, n) of all columns: their ends in one pass, their bins in another. See aggregates.histogram."""
-    v = [number(F.col(f"`{c}`")) for c in cols]
+    df, by = typed(df, cols)
+    v = [by[c] for c in cols]
     row = df.agg(*(f(x).alias(f"{k}{i}") for i, x in enumerate(v) for k, f in (("a", F.min), ("b", F.max), ("d", F.approx_count_distinct)))).first()
     few = [i for i in range(len(cols)) if row[f"d{i}"] <= 5 * bins]
     exact = df.agg(*(F.count_distinct(v[i]).alias(f"d{i}") for i in few)).first() if few else {}
