@@ -19,18 +19,44 @@ STOP_WORDS = (
 ).split()
 
 
+#: Words that the sketch of a task keeps, words it names, and how far, as a share of all words, its counts may be too high (3.5 over its table's size, of which three quarters are used).
+TRACKED, NAMED = 16_384, 300
+EXCESS = 3.5 * 0.75
+
+
 def keywords(df: DataFrame, col: str, n: int = 15, least: int = 10) -> DataFrame:
-    """(word, n, entries_pct): runs of three or more ASCII letters in lower case, stop words aside.
+    """(word, n, entries_pct): runs of three or more ASCII letters in lower case, stop words aside; the n most frequent, ties by word.
 
-    Needs `least` non-blank entries of two words or more on average. An entry sends its words, and once more the different ones, so that one grouping counts both words and entries.
+    Needs `least` non-blank entries of two words or more on average. Heavy-hitter sketches, one a task, name the words that may be among the n most frequent; a second scan counts only these exactly.
+    The sketches' error bounds what any other word may count: where the n-th exact count does not exceed it, all words are counted.
     """
     texts = df.select(F.col(col).alias("t")).where("trim(t) <> ''")
-    ok = texts.agg(F.count(F.lit(1)).alias("entries"), F.avg(F.size(F.filter(F.split(F.trim("t"), r"\s+"), lambda w: w != ""))).alias("words")).where((F.col("entries") >= least) & (F.col("words") >= 2))
-    words = texts.select(F.regexp_extract_all(F.lower("t"), F.lit("[a-z]{3,}"), 0).alias("w"))
+    words = F.filter(F.regexp_extract_all(F.lower("t"), F.lit("[a-z]{3,}"), 0), lambda w: ~w.isin(STOP_WORDS))
+    size = F.size(F.filter(F.split(F.trim("t"), r"\s+"), lambda w: w != ""))
+    each = texts.select(size.alias("size"), words.alias("w")).select("size", F.posexplode_outer("w").alias("at", "word"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0  # one row of each entry
+    row = each.agg(F.count_if(first).alias("entries"), F.avg(F.when(first, F.col("size"))).alias("words"), F.count("word").alias("total"), F.expr(f"approx_top_k(word, {NAMED}, {TRACKED})").alias("named")).first()
+    if row["entries"] < least or row["words"] < 2:
+        return df.sparkSession.createDataFrame([], "word string, n long, entries_pct double")
+    excess = EXCESS / TRACKED * row["total"]
+    named = {r["item"]: r["count"] for r in row["named"] if r["item"] is not None}
+    estimates = sorted(named.values(), reverse=True)
+    likely = [w for w, k in named.items() if k >= estimates[min(n, len(estimates)) - 1] - excess]
+    counted = _word_counts(texts, F.filter(words, lambda w: w.isin(likely))).collect() if likely else []  # at most NAMED rows
+    # what a word that is not named may count
+    ceiling = max(2 * excess, estimates[-1] if len(row["named"]) == NAMED else 0)
+    best = sorted(counted, key=lambda r: (-r["n"], r["word"]))[:n]
+    if (best[n - 1]["n"] if len(best) == n else 1) > ceiling:
+        return df.sparkSession.createDataFrame([(r["word"], r["n"], r["e"] * 100.0 / row["entries"]) for r in best], "word string, n long, entries_pct double")
+    by = _word_counts(texts, words)
+    return by.select("word", "n", (F.col("e") * 100.0 / F.lit(row["entries"])).alias("entries_pct")).orderBy(F.desc("n"), "word").limit(n)
+
+
+def _word_counts(texts: DataFrame, words: Column) -> DataFrame:
+    """(word, n, e): occurrences and entries. An entry sends its words, and once more the different ones, so that one grouping, combined before the shuffle, counts both."""
     once = lambda w, n, e: F.struct(w.alias("word"), F.lit(n).alias("n"), F.lit(e).alias("e"))
-    each = words.select(F.explode(F.concat(F.transform("w", lambda w: once(w, 1, 0)), F.transform(F.array_distinct("w"), lambda w: once(w, 0, 1)))).alias("x")).select("x.*")
-    by = each.where(~F.col("word").isin(STOP_WORDS)).groupBy("word").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
-    return by.crossJoin(F.broadcast(ok)).select("word", "n", (F.col("e") * 100.0 / F.col("entries")).alias("entries_pct")).orderBy(F.desc("n"), "word").limit(n)
+    each = texts.select(words.alias("w")).select(F.explode(F.concat(F.transform("w", lambda w: once(w, 1, 0)), F.transform(F.array_distinct("w"), lambda w: once(w, 0, 1)))).alias("x")).select("x.*")
+    return each.groupBy("word").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
 
 
 #: What e-mail addresses, government numbers, IP addresses, phone and card numbers look like. All runs are bounded.

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from tabularium.operators import entities as E
 from tabularium.operators import findings as K
 from tabularium.operators import inference as I
 from tabularium.operators import relations as R
+from tabularium.operators import text as X
 
 
 @pytest.mark.parametrize("values", [[1.0], [2.0] * 50, [float(i % 7) for i in range(300)], [random.Random(3).gauss(0, 1e6) for _ in range(2000)], [-1.5, 0.0, -0.0, 3.0, 3.0]])
@@ -208,3 +210,21 @@ def test_report_keeps_nothing(spark):
     rows = spark.range(400).select(F.concat(F.lit("g"), F.col("id") % 4).alias("Region"), (F.col("id") * 1.5).alias("Sales"), (F.col("id") % 50 + 0.25).alias("Profit"))
     assert {r["analysis"] for r in report.full_report(rows).collect()} == {"histogram", "box", "scatter", "count", "by"}
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+@pytest.mark.parametrize(("tracked", "named"), [(16_384, 300), (64, 20), (16, 4)])
+def test_keywords_are_exact(spark, monkeypatch, tracked, named):
+    """Heavy words, ties and a long tail, whether the sketches part them or all words must be counted."""
+    monkeypatch.setattr(X, "TRACKED", tracked)
+    monkeypatch.setattr(X, "NAMED", named)
+    rng = np.random.default_rng(11)
+    tail = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(3_000)]
+    texts = [" ".join([*(w for w, k in (("alpha", 3), ("beta", 2), ("gamma", 2), ("the", 9)) for _ in range(k * (i % 3 > 0))), *rng.choice(tail, 5), "Delta-x"]) for i in range(600)]
+    want_n, want_e = collections.Counter(), collections.Counter()
+    for t in texts:
+        found = [w for w in re.findall("[a-z]{3,}", t.lower()) if w not in X.STOP_WORDS]
+        want_n.update(found)
+        want_e.update(set(found))
+    df = spark.createDataFrame([(t,) for t in [*texts, "", None]], "t string").repartition(6)
+    got = [(r["word"], r["n"], round(r["entries_pct"], 6)) for r in X.keywords(df, "t", n=12).collect()]
+    assert got == [(w, k, round(want_e[w] * 100 / 600, 6)) for w, k in sorted(want_n.items(), key=lambda x: (-x[1], x[0]))[:12]]
