@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +57,10 @@ def strongest(pairs: DataFrame) -> DataFrame:
 
 def moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, means, sample covariances) on complete rows: one row to the driver."""
-    aggs = [F.count(F.lit(1)).alias("n"), *(F.avg(number(c)).alias(f"m{i}") for i, c in enumerate(cols))]
-    aggs += [F.covar_samp(number(cols[i]), number(cols[j])).alias(f"c{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
-    row = df.where(_complete(cols)).agg(*aggs).first()
+    rows, v = typed(df, cols)
+    aggs = [F.count(F.lit(1)).alias("n"), *(F.avg(v[c]).alias(f"m{i}") for i, c in enumerate(cols))]
+    aggs += [F.covar_samp(v[cols[i]], v[cols[j]]).alias(f"c{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
+    row = rows.where(reduce(and_, (x.isNotNull() for x in v.values()), F.lit(True))).agg(*aggs).first()
     k = len(cols)
     cov = np.zeros((k, k))
     for i in range(k):
