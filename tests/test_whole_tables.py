@@ -228,3 +228,21 @@ def test_keywords_are_exact(spark, monkeypatch, tracked, named):
     df = spark.createDataFrame([(t,) for t in [*texts, "", None]], "t string").repartition(6)
     got = [(r["word"], r["n"], round(r["entries_pct"], 6)) for r in X.keywords(df, "t", n=12).collect()]
     assert got == [(w, k, round(want_e[w] * 100 / 600, 6)) for w, k in sorted(want_n.items(), key=lambda x: (-x[1], x[0]))[:12]]
+
+
+def test_join_key_counts_all_pairs(spark):
+    """Every pair is counted, also one that can't be the key, whose overlap a sketch only estimates."""
+    left = spark.range(30_000).select((F.col("id") % 20_000).alias("key"), F.col("id").alias("Row No"), (F.col("id") % 7).alias("kind"), F.lit(None).cast("string").alias("none"))
+    right = spark.range(20_000).select((F.col("id") + 5_000).alias("Key"), (F.col("id") + 29_877).alias("row_no"), (F.col("id") % 5).alias("Kind"), F.lit(None).cast("string").alias("None"))
+    out = J.detect_join_key(left, right, whole=True)
+    assert "exact" not in out.columns
+    got = {r["left_column"]: tuple(r)[2:] for r in out.collect()}
+    assert got == {"key": (20_000 / 30_000, 1.0, 0.75, True), "Row No": (1.0, 1.0, 123 / 20_000, False), "kind": (7 / 30_000, 5 / 20_000, 1.0, False), "none": (None, None, 0.0, False)}
+    assert J.detect_join_key(left.select("kind"), right.select("row_no"), whole=True).columns == out.columns
+
+
+def test_join_key_query_has_no_estimates(spark, sf):
+    """The registered query and its SQL state counts alone."""
+    from tabularium.plans import registry
+
+    assert "exact" not in registry.oracle_sql()["detect_join_key"] and "exact" not in registry.queries()["detect_join_key"](spark, sf).columns
