@@ -178,27 +178,27 @@ def segments(df: DataFrame, cols: list[str], k_range: tuple[int, int] = (2, 5),
     Segments are numbered by size; the summary has a row for each segment and measure: mean, z and whether |z| >= 0.35 makes it a trait (two at most).
     """
     use = cols[:6]
+    schema = "segment int, size long, measure string, mean double, z double, trait boolean"
     n, mean, cov = moments(df, use)
     keep = [i for i in range(len(use)) if cov[i, i] > 0]
     if n < 30 or len(keep) < 2:
-        return df.withColumn("segment", F.lit(None).cast("int")), df.sparkSession.createDataFrame([], "segment int, size long, measure string, mean double, z double, trait boolean")
+        return df.withColumn("segment", F.lit(None).cast("int")), df.sparkSession.createDataFrame([], schema)
     names = [use[i] for i in keep]
     sd = {c: float(np.sqrt(cov[i, i] * (n - 1) / n)) for c, i in zip(names, keep, strict=True)}
     mid = {c: float(mean[i]) for c, i in zip(names, keep, strict=True)}
     scaled = df.where(_complete(names)).withColumns({f"__z{i}": (number(c) - mid[c]) / sd[c] for i, c in enumerate(names)})
     zs = [f"__z{i}" for i in range(len(names))]
-    points = scaled.select(*zs).persist()
-    try:
-        centres, _ = G.kmeans(points, zs, n, range(k_range[0], k_range[1] + 1), seed)
-        sizes = [(rows, -j) for j, (rows, *_) in enumerate(G.cluster_sums(points, zs, {len(centres): centres})[len(centres)])]
-    finally:
-        points.unpersist()
-    order = sorted(range(len(centres)), key=lambda j: sizes[j], reverse=True)
+    centres, _, found = G.fitted(scaled.select(*zs), zs, n, range(k_range[0], k_range[1] + 1), seed)
+    order = sorted(range(len(centres)), key=lambda j: (found[j][0], -j), reverse=True)
     assigned = scaled.withColumn("segment", G.nearest(zs, centres[order])["j"])
-    parts = F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), number(c).alias("value"), F.col(f"__z{i}").alias("z")) for i, c in enumerate(names))))
-    summary = assigned.select("segment", parts.alias("m")).groupBy("segment", "m.measure").agg(F.count(F.lit(1)).alias("size"), F.avg("m.value").alias("mean"), F.avg("m.z").alias("z"))
-    rank = F.row_number().over(Window.partitionBy("segment").orderBy(F.desc(F.abs("z")), "measure"))
-    return assigned.drop(*zs), summary.select("segment", "size", "measure", "mean", "z", ((F.abs("z") >= 0.35) & (rank <= 2)).alias("trait"))
+    rows = []
+    for place, j in enumerate(order):
+        size, sums = found[j]
+        if size:
+            z = {c: float(s / size) for c, s in zip(names, sums, strict=True)}
+            most = sorted(names, key=lambda c: (-abs(z[c]), c))[:2]
+            rows += [(place, int(size), c, mid[c] + sd[c] * z[c], z[c], abs(z[c]) >= 0.35 and c in most) for c in names]
+    return assigned.drop(*zs), df.sparkSession.createDataFrame(rows, schema)
 
 
 def benford(df: DataFrame, cols: list[str], most: int = 3) -> DataFrame:

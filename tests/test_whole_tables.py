@@ -246,3 +246,23 @@ def test_join_key_query_has_no_estimates(spark, sf):
     from tabularium.plans import registry
 
     assert "exact" not in registry.oracle_sql()["detect_join_key"] and "exact" not in registry.queries()["detect_join_key"](spark, sf).columns
+
+
+def test_segments_go_over_blocks(spark):
+    """Passes are over kept blocks of doubles: no pass explodes rows by model, and the summary follows from the last pass's sums, whatever the partitions."""
+    x = blobs(20_000)
+    points = spark.createDataFrame(x.tolist(), "a double, b double").repartition(5)
+    packed = G.blocks(points, ["a", "b"])
+    assert packed.count() < 20 and sorted(map(tuple, G.unpacked(packed, ["a", "b"]).collect())) == sorted(map(tuple, points.collect()))
+    models = {k: np.random.default_rng(k).normal(size=(k, 2)) * 4 for k in (2, 3)}
+    got = G.cluster_sums(points, ["a", "b"], models)
+    for k, m in models.items():
+        d = ((x[:, None] - m) ** 2).sum(2)
+        own = d.argmin(1)
+        for j, (n, sums, square, cost) in enumerate(got[k]):
+            assert n == sum(own == j)
+            assert not n or sums == pytest.approx(x[own == j].sum(0)) and (square, cost) == pytest.approx(((x[own == j] ** 2).sum(), d[own == j].min(1).sum()))
+    out, summary = R.segments(points, ["a", "b"])
+    assert "Generate" not in summary._jdf.queryExecution().toString()
+    means = {(r["segment"], m): r[m] for r in out.groupBy("segment").avg("a", "b").withColumnsRenamed({"avg(a)": "a", "avg(b)": "b"}).collect() for m in "ab"}
+    assert {(r["segment"], r["measure"]): pytest.approx(r["mean"]) for r in summary.collect()} == means
