@@ -128,7 +128,20 @@ def full_report(df: DataFrame, overrides: dict[str, str] | None = None, points:
 
 
 def filtered_report(df: DataFrame, date: str, metric: str, agg: str, dims: list[str]) -> DataFrame:
-    """Seasons, period comparison, drivers and robustness of filtered rows (COLUMNS); dimensions are judged anew on them."""
+    """Seasons, period comparison, drivers and robustness of filtered rows (COLUMNS); dimensions are judged anew on them.
+
+    The columns needed are kept (persisted) for the passes over them, so that joins and filters behind df run once, and let go when the result is there: it is short (months and segments) and
+    comes to the driver.
+    """
+    kept = df.select(*(F.col(f"`{c}`") for c in dict.fromkeys([date, metric, *dims]))).persist()
+    try:
+        rows = _filtered_parts(kept, date, metric, agg, dims).collect()
+    finally:
+        kept.unpersist()
+    return df.sparkSession.createDataFrame(rows, COLUMNS)
+
+
+def _filtered_parts(df: DataFrame, date: str, metric: str, agg: str, dims: list[str]) -> DataFrame:
     rows, distinct = few_distinct(df, dims, 30)
     use = [c for c in dims if 2 <= distinct.get(c, 0) <= min(30, max(rows / 2, 2))]
     series = A.trend(df, date, metric, agg)
