@@ -150,7 +150,20 @@ def weak_points(df: DataFrame, date: str | None, metric: str, agg: str, dims: li
     Each claim is checked by a Poisson bootstrap of the rows that it stands on, all claims in one pass (rows are told apart by `key`, see bootstrap.bootstrap); missing data is a fact about all rows
     and isn't checked. An interval that excludes the reference confirms a claim, whichever side it lies on; with `one_sided` only if it lies on the claim's. With `whole_years` a last year
     that has no December is left out of the decline.
+
+    The columns needed are kept (persisted) for the passes over them, so that joins behind df run once for them and once for the missing data, and let go when the result is there: it has n rows at
+    most and comes to the driver.
     """
+    used = [*([date] if date else []), metric, *dims, *([profit] if profit else []), *(key or [])]
+    kept = df.select(*(F.col(f"`{c}`") for c in dict.fromkeys(used))).persist()
+    try:
+        out = _weak_points(df, kept, date, metric, agg, dims, profit, n, key, one_sided, whole_years)
+        return df.sparkSession.createDataFrame(out.collect(), out.schema)
+    finally:
+        kept.unpersist()
+
+
+def _weak_points(whole: DataFrame, df: DataFrame, date: str | None, metric: str, agg: str, dims: list[str], profit: str | None, n: int, key: list[str] | None, one_sided: bool, whole_years: bool) -> DataFrame:
     facts: list[DataFrame] = []
     claims: list[B.Claim] = []
 
@@ -161,7 +174,7 @@ def weak_points(df: DataFrame, date: str | None, metric: str, agg: str, dims: li
             side = claim.pop("side") if one_sided else claim.pop("side") and None
             claims.append(B.Claim(str(len(claims)), kind, claim.pop("value", metric), side=side, **claim))
 
-    add(missing_data(df, list(df.columns)).withColumn("significant", F.lit(None).cast("boolean")))
+    add(missing_data(whole, list(whole.columns)).withColumn("significant", F.lit(None).cast("boolean")))
     if date:
         years = df
         if whole_years:

@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from tabularium.operators import findings as K
 from tabularium.plans import report
 
 
@@ -26,3 +27,12 @@ def test_filtered_report_goes_through_its_rows_once(spark):
     rows = report.filtered_report(df, "day", "v", "sum", ["g"]).collect()
     assert {r["analysis"] for r in rows} >= {"trend", "period", "robust", "driver"} and made.value == 2_000
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_weak_points_go_through_their_rows_twice(spark):
+    """Once for the kept columns, once for the missing data of all columns."""
+    df, made = counted(spark)
+    df = df.withColumn("profit", F.when(F.col("g") == "a", -F.col("v")).otherwise(F.col("v"))).withColumn("gap", F.when(F.col("id") % 2 == 0, 1))
+    got = {r["kind"]: r for r in K.weak_points(df, "day", "v", "sum", ["g"], "profit", key=["id"]).collect()}
+    assert got["missing"]["value"] == 50.0 and got["losing_segment"]["significant"] and made.value == 4_000
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
