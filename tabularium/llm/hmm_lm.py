@@ -4,13 +4,16 @@ The states emit the FREQUENT most counted tokens and one class for all others; a
 class by its count. Token counts cover the whole training corpus; only the frequent tokens' numbers (a fixed bound) go to every task,
 all others are joined.
 
-How a token spreads over the states is shrunk towards how all tokens do, by a weight that is fitted on training text held back from a
-pass: rare tokens say little of the state. The states' mixture keeps every token's unigram probability, so without any evidence the model is its own base.
+The states start from all training documents: each has a short vector of its frequent tokens, the vectors' clusters are split along their widest
+direction until there is one for each state, and a pass over all tokens counts them by their documents' clusters.
+
+How a token spreads over the states is shrunk towards how all tokens do, by a weight that is fitted across two halves of the training
+documents: rare tokens say little of the state. The states' mixture keeps every token's unigram probability, so without any evidence the model is its own base.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import CACHE, fold, hash_sample, in_slices, release, split_words, written
+from tabularium.llm.common import CACHE, SLICE, fold, in_slices, mix, release, split_words, written
 
 STATES = 5
 #: The most tokens with emission probabilities of their own, the end of a text included.
@@ -27,13 +30,13 @@ FREQUENT = 1 << 17
 #: Tokens of a training segment, and those on both sides that the messages over its borders run through first: a long text's segments go side by side, and every
 #: token and transition counts in one of them.
 SEGMENT, RUN_UP = 256, 32
-#: Baum-Welch passes over the whole training corpus, and those over the sample that the states start from.
-PASSES, SAMPLE_PASSES = 2, 4
-#: The bounded sample that the states start from: about so many training documents, picked by hash, and so many characters at a hashed place of a longer one.
-SAMPLE, SAMPLE_CHARS = 1500, 6_000
-#: Weights (in tokens) of the states' shares in how one token spreads over them, of which the best is taken on about HELD_BACK training
-#: documents that a pass leaves out; the weight before that; the weight of a flat distribution in the transitions.
-WEIGHTS, HELD_BACK, WEIGHT, FLAT = (0.1, 0.5, 2.0, 8.0, 32.0, 256.0), 400, 2.0, 1.0
+#: Baum-Welch passes over the whole training corpus.
+PASSES = 2
+#: Numbers of a document's vector; the share of all tokens from which on a token weighs less in it; passes over all vectors after the last split.
+WIDE, COMMON, SETTLE = 64, 1e-3, 4
+#: Weights (in tokens) of the states' shares in how one token spreads over them, of which the best is taken; the weight before that; the weight
+#: of a flat distribution in the transitions.
+WEIGHTS, WEIGHT, FLAT = (0.1, 0.5, 2.0, 8.0, 32.0, 256.0), 2.0, 1.0
 #: The hash of a text's end; no word has it but by chance of 2**-64.
 END = -1
 #: Tokens of a block of the exact forward recursion.
@@ -212,35 +215,127 @@ def improved(m: Model, starts: np.ndarray, moves: np.ndarray, emissions: np.ndar
     return Model(m.hashes, m.count, m.total, m.distinct, start, move, emitting(m, emissions, weight))
 
 
-def _first(m: Model, texts: list[bytes]) -> Model:
-    """Start values from the sample: a mixture of unigrams over texts gives the states, Baum-Welch sets their moves."""
-    index = Index({int(h): i for i, h in enumerate(m.hashes)}, len(m.hashes))
-    k = len(m.start)
-    parts = [_tokens([t], index)[0] for t in texts]
-    if not parts:
-        return m
-    rng = np.random.default_rng(0)
-    ids = np.concatenate(parts)
-    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    of = np.repeat(np.arange(len(parts)), np.diff(ends))
-    share = rng.dirichlet(np.full(k, 0.3), len(parts))
-    for _ in range(15):
-        emit = np.stack([np.bincount(ids, weights=share[of, s], minlength=len(m.emit)) for s in range(k)], axis=1)
-        emit = emitting(m, emit, WEIGHT)
-        logs = np.add.reduceat(np.log(emit)[ids], ends[:-1], axis=0) + np.log(share.mean(axis=0) + 1e-9)
-        share = np.exp(logs - logs.max(axis=1, keepdims=True))
-        share /= share.sum(axis=1, keepdims=True)
-    weight = share.mean(axis=0) + 0.01
-    m = Model(m.hashes, m.count, m.total, m.distinct, weight / weight.sum(), 0.9 * np.eye(k) + 0.1 / k, emit)
-    for _ in range(SAMPLE_PASSES):
-        emissions = np.zeros_like(m.emit)
-        starts, moves = expected(ids, ends, m, emissions)
-        m = improved(m, starts, moves, emissions)
-    return m
+def _vectors(ids: np.ndarray, ends: np.ndarray, m: Model) -> np.ndarray:
+    """A vector of length 1 for each text: its frequent tokens, common ones weighing less, are added with a hashed sign to one of WIDE numbers."""
+    h = mix(m.hashes.view(np.uint64))
+    place = np.append(h % np.uint64(WIDE), 0).astype(np.int64)
+    weight = np.minimum(1.0, np.sqrt(COMMON * max(m.total, 1) / np.maximum(m.count, 1))) * np.where(h >> np.uint64(63), -1.0, 1.0)
+    weight = np.append(weight, 0.0)  # all others
+    weight[0] = 0.0  # the end
+    n = len(ends) - 1
+    out = np.bincount(np.repeat(np.arange(n) * WIDE, np.diff(ends)) + place[ids], weights=weight[ids], minlength=n * WIDE).reshape(n, WIDE)
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return (out / np.where(size > 0, size, 1)).astype("<f4")
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Each text's numbers as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _placed(docs: DataFrame, m: Model, text_col: str, id_col: str) -> DataFrame:
+    """(ids binary, n int, vector binary, half int) of all documents, written once for all passes.
+
+    A text's token places (four bytes each) and how many, its vector (four bytes a number), and which half its id is dealt to.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(Model(m.hashes, m.count, m.total, m.distinct, m.start, m.move, m.emit[:0]))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        index = Index({int(h): i for i, h in enumerate(m.hashes)}, len(m.hashes))
+        for batch in batches:
+            for lo, hi, texts in in_slices(batch.column(0)):
+                ids, ends, _ = _tokens(texts, index)
+                vectors = _binary(_vectors(ids, ends, m), np.arange(hi - lo + 1) * WIDE)
+                columns = [_binary(ids.astype("<i4"), ends), pa.array(np.diff(ends).astype(np.int32)), vectors, batch.column(1).slice(lo, hi - lo)]
+                yield pa.RecordBatch.from_arrays(columns, names=["ids", "n", "vector", "half"])
+
+    half = F.pmod(F.xxhash64(id_col, F.lit(37)), F.lit(2)).cast("int")
+    return written(docs.select(text_col, half.alias("half")).mapInArrow(place, "ids binary, n int, vector binary, half int"), "token-places")
+
+
+def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Token places of some texts in a row, and where each text's begin."""
+    return np.frombuffer(b"".join(parts), "<i4"), np.cumsum([0, *map(len, parts)]) // 4
+
+
+def _totals(df: DataFrame, add: Callable[[pa.RecordBatch, np.ndarray], None], rows: int, k: int) -> np.ndarray:
+    """A matrix (rows x k) of sums: each task adds its batches' to one, Spark sums the tasks'."""
+    names = [f"e{s}" for s in range(k)]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        out = np.zeros((rows, k))
+        for batch in batches:
+            add(batch, out)
+        at = np.flatnonzero(out.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(out[at, s]) for s in range(k))], names=["at", *names])
+
+    got = df.mapInArrow(sums, "at int, " + ", ".join(f"{c} double" for c in names)).groupBy("at").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    out = np.zeros((rows, k))
+    for s, c in enumerate(names):
+        out[got.column("at").to_numpy(), s] = got.column(c).to_numpy()
+    return out
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.argmin((centers**2).sum(axis=1) - 2 * x @ centers.T, axis=1)
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors.to_pylist()), "<f4").reshape(-1, WIDE).astype(float)
+
+
+def _centers(places: DataFrame, k: int) -> np.ndarray:
+    """k centers of all documents' vectors, each document weighing its tokens: the cluster that is widest in one direction is split along it, again and again."""
+    vectors = places.select("n", "vector")
+    vectors = vectors.coalesce(max(1, vectors.rdd.getNumPartitions() // 4))  # they are a small part of the table that Spark cuts into partitions
+    centers = np.zeros((1, WIDE))
+    for _ in range(k - 1 + SETTLE):
+        split = len(centers) < k
+
+        def add(batch: pa.RecordBatch, out: np.ndarray, centers: np.ndarray = centers, split: bool = split) -> None:
+            x, n = _matrix(batch.column("vector")), batch.column("n").to_numpy()
+            near = _nearest(x, centers)
+            for c in range(len(centers)):
+                y, w = x[near == c], n[near == c]
+                out[0, c] += w.sum()
+                out[1 : WIDE + 1, c] += w @ y
+                if split:
+                    out[WIDE + 1 :, c] += ((y.T * w) @ y).ravel()
+
+        got = _totals(vectors, add, 1 + WIDE + WIDE**2 * split, len(centers))
+        n = np.maximum(got[0], 1)
+        centers = np.where(got[0] > 0, got[1 : WIDE + 1] / n, centers.T).T
+        if split:
+            spread = got[WIDE + 1 :].T.reshape(-1, WIDE, WIDE) - got[0][:, None, None] * centers[:, :, None] * centers[:, None, :]
+            values, axes = np.linalg.eigh(spread)
+            c = int(values[:, -1].argmax())
+            axis = axes[c, :, -1] * np.sign(axes[c, np.abs(axes[c, :, -1]).argmax(), -1])
+            step = axis * np.sqrt(max(values[c, -1], 0) / n[c])
+            centers = np.vstack([centers, centers[c] + step])
+            centers[c] -= step
+    return centers
+
+
+def _first(m: Model, places: DataFrame) -> Model:
+    """Start values: each document's cluster is the state of all its tokens; Baum-Welch sets the moves."""
+    k, rows = len(m.start), len(m.emit)
+    held = places.sparkSession.sparkContext.broadcast(_centers(places, k))
+
+    def add(batch: pa.RecordBatch, out: np.ndarray) -> None:
+        near = _nearest(_matrix(batch.column("vector")), held.value)
+        for lo, hi, parts in in_slices(batch.column("ids")):
+            ids, ends = _joined(parts)
+            out += np.bincount(ids * np.int64(k) + np.repeat(near[lo:hi], np.diff(ends)), minlength=rows * k).reshape(rows, k)
+
+    emissions = _totals(places.select("ids", "vector"), add, rows, k)
+    share = emissions.sum(axis=0) / max(emissions.sum(), 1) + 0.01
+    return Model(m.hashes, m.count, m.total, m.distinct, share / share.sum(), 0.9 * np.eye(k) + 0.1 / k, emitting(m, emissions, WEIGHT))
 
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", states: int = STATES, passes: int = PASSES, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
-    """The model, and the table of all token counts (h, n)."""
+    """The model, and the table of all token counts (h, n). Start values, weight and all passes are of all docs."""
     counts = written(token_counts(docs, text_col), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = most_counted(counts.where(F.col("h") != END), frequent - 1).toArrow()
@@ -248,70 +343,41 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", state
     hashes = np.append(END, top.column("h").to_numpy())
     count = np.append(ends, top.column("n").to_numpy()).astype(np.int64)
     m = Model(hashes, count, int(total), int(distinct), np.full(states, 1 / states), np.full((states, states), 1 / states), np.zeros((len(hashes) + 1, states)))
-    m.emit = np.repeat(m.unigram[:, None] / m.unigram.sum(), states, axis=1)
-    n = docs.count()
-    place = F.pmod(F.xxhash64(id_col, F.lit(31)), F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
-    texts = hash_sample(docs.where(F.col(text_col).isNotNull()), n, SAMPLE, id_col, seed=29).select(id_col, F.substring(F.col(text_col), place.cast("int"), F.lit(SAMPLE_CHARS))).collect()
-    m = _first(m, [r[1].encode() for r in sorted(texts, key=lambda r: (r[0] is not None, r[0], r[1]))])
-    back = F.pmod(F.xxhash64(id_col, F.lit(37)), F.lit(1 << 40)) < int((1 << 40) * min(0.1, HELD_BACK / max(n, 1)))
-    sums = _pass(docs.where(~back).select(text_col), m)
-    weight = _best_weight(docs.where(back).select(text_col), m, sums)
-    m = improved(m, *sums, weight)
+    places = _placed(docs, m, text_col, id_col)
+    m = _first(m, places)
+    starts, moves, halves = _pass(places, m, 2)
+    weight = _best_weight(m, *halves)
+    m = improved(m, starts, moves, halves.sum(axis=0), weight)
     for _ in range(passes - 1):
-        m = improved(m, *_pass(docs.select(text_col), m), weight)
+        starts, moves, emissions = _pass(places, m)
+        m = improved(m, starts, moves, emissions[0], weight)
     return m, counts
 
 
-def _best_weight(docs: DataFrame, m: Model, sums: tuple) -> float:
-    """The weight under which documents that the sums don't know are likeliest."""
-    held = docs.sparkSession.sparkContext.broadcast((m, sums))
-
-    def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, sums = held.value
-        models = [improved(m, *sums, w) for w in WEIGHTS]
-        index = Index({int(h): i for i, h in enumerate(m.hashes)}, len(m.hashes))
-        out = np.zeros(len(WEIGHTS))
-        for batch in batches:
-            for _, _, texts in in_slices(batch.column(0)):
-                ids, ends, _ = _tokens(texts, index)
-                out += [log10_forward(ids, ends, x).sum() for x in models]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(WEIGHTS), dtype=np.int32)), pa.array(out)], names=["weight", "value"])
+def _best_weight(m: Model, one: np.ndarray, other: np.ndarray) -> float:
+    """The weight under which each half's expected emissions are likeliest by what the other half's give."""
+    if not (one.any() and other.any()):
+        return WEIGHT
+    values = [float((one * np.log(emitting(m, other, w)) + other * np.log(emitting(m, one, w))).sum()) for w in WEIGHTS]
+    return WEIGHTS[int(np.argmax(np.round(values, 6)))]
 
-    got = docs.coalesce(8).mapInArrow(likelihoods, "weight int, value double").groupBy("weight").agg(F.sum("value").alias("value")).collect()
-    best = max(got, key=lambda r: (round(r["value"], 6), r["weight"]), default=None)
-    return WEIGHTS[best["weight"]] if best and best["value"] < 0 else WEIGHT
 
+def _pass(places: DataFrame, model: Model, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, moves, emissions) of one Baum-Welch pass over all documents; emissions apart for each half if there are two parts."""
+    k, rows = len(model.start), len(model.emit)
+    held = places.sparkSession.sparkContext.broadcast(model)
 
-def _pass(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, moves, emissions) of one Baum-Welch pass over all of docs: each task sums its expectations, Spark sums the tasks'."""
-    k = len(model.start)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "token int, " + ", ".join(f"e{s} double" for s in range(k))
+    def add(batch: pa.RecordBatch, out: np.ndarray) -> None:
+        part = batch.column("half").to_numpy() % parts
+        for lo, hi, texts in in_slices(batch.column("ids"), parts * SLICE):
+            for p in range(parts):
+                some = [t for t, x in zip(texts, part[lo:hi], strict=True) if x == p]
+                starts, moves = expected(*_joined(some), held.value, out[p * rows : (p + 1) * rows])
+                out[parts * rows] += starts
+                out[parts * rows + 1 :] += moves
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        index = Index({int(h): i for i, h in enumerate(m.hashes)}, len(m.hashes))
-        emissions, starts, moves = np.zeros_like(m.emit), np.zeros(k), np.zeros((k, k))
-        for batch in batches:
-            for _, _, texts in in_slices(batch.column(0)):
-                ids, ends, _ = _tokens(texts, index)
-                s, v = expected(ids, ends, m, emissions)
-                starts += s
-                moves += v
-        at = np.flatnonzero(emissions.any(axis=1))
-        # starts are token -1, moves from state s token -2 - s
-        tokens = np.concatenate([at, -1 - np.arange(k + 1)]).astype(np.int32)
-        values = np.concatenate([emissions[at], starts[None], moves])
-        yield pa.RecordBatch.from_arrays([pa.array(tokens), *(pa.array(values[:, s]) for s in range(k))], names=["token", *(f"e{s}" for s in range(k))])
-
-    got = docs.mapInArrow(sums, schema).groupBy("token").agg(*(F.sum(f"e{s}").alias(f"e{s}") for s in range(k))).toArrow()
-    tokens = got.column("token").to_numpy()
-    values = np.stack([got.column(f"e{s}").to_numpy() for s in range(k)], axis=1) if len(tokens) else np.zeros((0, k))
-    emissions = np.zeros_like(model.emit)
-    emissions[tokens[tokens >= 0]] = values[tokens >= 0]
-    starts = values[tokens == -1].sum(axis=0) if len(tokens) else np.zeros(k)
-    moves = np.stack([values[tokens == -2 - s].sum(axis=0) for s in range(k)]) if len(tokens) else np.zeros((k, k))
-    return starts, moves, emissions
+    got = _totals(places.select("ids", "half"), add, parts * rows + 1 + k, k)
+    return got[parts * rows], got[parts * rows + 1 :], got[: parts * rows].reshape(parts, rows, k)
 
 
 def log10_forward(ids: np.ndarray, ends: np.ndarray, m: Model) -> np.ndarray:

@@ -79,3 +79,46 @@ def test_long_texts_give_start_values(spark):
     model, counts = hmm_lm.train(docs.where("doc_id < 10"), states=2)
     r = hmm_lm.score(docs.where("doc_id >= 10"), model, counts).agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > 0.9 * r[1] and r[0] > r[1]
+
+
+def test_start_values_weight_and_passes_take_all_documents(spark, monkeypatch):
+    """No pass leaves out a document, and the states start from a topic that a sample may miss."""
+    rng = np.random.default_rng(6)
+    prose = lambda c, n: " ".join(f"{c}{j}" for j in rng.integers(0, 40, n))
+    docs = spark.createDataFrame([(i, prose("a", 20)) for i in range(4000)], "doc_id long, text string")
+    rare = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 40)) > (1 << 39)  # not among the 1,500 that start values once came from
+    ids = [r[0] for r in docs.where(rare).limit(400).collect()]
+    docs = docs.where(~F.col("doc_id").isin(ids)).unionByName(spark.createDataFrame([(i, prose("b", 20)) for i in ids], docs.schema))
+    seen, were = [], hmm_lm.improved
+    monkeypatch.setattr(hmm_lm, "improved", lambda m, starts, moves, emissions, *w: seen.append(emissions.sum()) or were(m, starts, moves, emissions, *w))
+    model, _ = hmm_lm.train(docs, states=2)
+    assert seen == pytest.approx([model.total] * hmm_lm.PASSES) and model.total == 4000 * 21
+    of = {c: [i for i, h in enumerate(model.hashes) if h in {hmm_lm._hash(f"{c}{j}".encode()) for j in range(40)}] for c in "ab"}
+    share = {c: model.emit[at].sum(axis=0) for c, at in of.items()}
+    assert share["b"].argmax() != share["a"].argmax() and share["b"].max() > 0.9 and share["b"].min() < 0.01
+
+
+def test_the_best_weight_is_taken_across_halves():
+    """Halves that agree on the tokens' states ask for no shrinking, halves that contradict each other for the most."""
+    m = random_model(np.random.default_rng(7), tokens=300)
+    one = np.random.default_rng(8).dirichlet(np.full(3, 0.2), 301) * 4
+    assert hmm_lm._best_weight(m, one, one) == min(hmm_lm.WEIGHTS) and hmm_lm._best_weight(m, one, np.roll(one, 1, axis=0)) == max(hmm_lm.WEIGHTS)
+    assert hmm_lm._best_weight(m, one, 0 * one) == hmm_lm.WEIGHT
+
+
+def test_expectations_of_tables_are_those_of_texts(spark):
+    """The passes over written token places give what each text gives alone: repeated, empty and null texts, and any partitions."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(list("abcdefg"), n)) for n in (1, 5, 40, 300, 700)] * 2 + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = random_model(rng, tokens=6)
+    m.hashes = np.array([hmm_lm.END, *(hmm_lm._hash(c.encode()) for c in "abcde")])
+    places = hmm_lm._placed(docs.repartition(3), m, "text", "doc_id")
+    index = hmm_lm.Index({int(h): i for i, h in enumerate(m.hashes)}, 6)
+    ids, ends, _ = hmm_lm._tokens([t and t.encode() for t in texts], index)
+    want = np.zeros_like(m.emit)
+    starts, moves = hmm_lm.expected(ids, ends, m, want)
+    for parts in (1, 2):
+        got = hmm_lm._pass(places, m, parts)
+        assert got[0] == pytest.approx(starts) and got[1] == pytest.approx(moves) and got[2].sum(axis=0) == pytest.approx(want) and len(got[2]) == parts
+    assert places.agg(F.sum("n"), F.max(F.length("vector")), F.min(F.length("vector"))).first()[:] == (len(ids), 4 * hmm_lm.WIDE, 4 * hmm_lm.WIDE)
